@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestor.llm import repetition, setsketch
+from attestor.llm import kdtree, raking, repetition, setsketch, winnowing
 from attestor.llm.frames import table
 
 
+def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = raking.with_probabilities(table(spark, sf_dir, "documents"))
+    return marked.select(
+        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"),
+        F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"),
+    )
+
+
+def op3_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kdtree.assign(table(spark, sf_dir, "documents"), kdtree.Tree(shards=16))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents"))
 
@@ -16,7 +29,15 @@ def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), setsketch.Sketch(words=2))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
+    "op2_raking": op2_raking,
+    "op3_kdtree": op3_kdtree,
+    "op10_winnowing": op10_winnowing,
     "op6_repetition": op6_repetition,
     "op8_setsketch": op8_setsketch,
 }
