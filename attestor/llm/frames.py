@@ -47,14 +47,14 @@ def drop_kept(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def map_chunks(df: DataFrame, fn, schema, column: str = "text") -> DataFrame:
+def map_chunks(df: DataFrame, fn, schema, column: str = "text", limit: int = 6 << 20) -> DataFrame:
     """mapInArrow with fn applied to slices of bounded text size; fn returns a RecordBatch or None."""
 
     def run(batches):
         from attestor.llm.text import chunks
 
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, limit):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out

@@ -386,3 +386,11 @@ def _with_text(classes: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFra
     found = classes.join(wanted, "class", "left_semi").select("class", "doc_id")
     texts = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"])).select("class", "text")
     return keep(texts.groupBy("class").agg(F.max("text").alias("text")), "texts")
+
+
+def drop_copies(docs: DataFrame, sketch: Sketch = Sketch(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each group, the one with the least id, with all columns; of rows with equal id and text, one."""
+    kept = near_duplicates(docs, sketch, id_column, text_column).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    left = docs.join(kept, docs[id_column].eqNullSafe(kept["_kept"]), "left_semi")
+    repeated = docs.groupBy(id_column).count().where("count > 1").limit(1).count()
+    return left.dropDuplicates([id_column, text_column]) if repeated else left

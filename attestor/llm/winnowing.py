@@ -159,10 +159,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, winnow: Winnow = Winnow
     """One row per document: doc_id, n_words, n_hit, items (ids found, as sorted strings), contaminated."""
     windows = keep(fingerprints(benchmark, winnow), "windows")
     seen = keep(suspects(docs, windows, winnow), "suspects")
-    hits = _hits(seen, windows)
-    return seen.drop("_windows").join(hits, "_key", "left").select(
+    none = F.array().cast("array<string>")
+    hit = seen.where("_key IS NOT NULL").drop("_windows").join(_hits(seen, windows), "_key", "left")
+    rest = seen.where("_key IS NULL").drop("_windows").select("_key", *(c for c in hit.columns if c in ("doc_id", "_words")), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+    return hit.unionByName(rest).select(
         "doc_id", F.col("_words").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("items", none).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
@@ -170,4 +172,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, winnow: Winnow = Wi
     """The rows of docs without a benchmark window, with all their columns."""
     windows = keep(fingerprints(benchmark, winnow), "windows")
     seen = keep(suspects(docs, windows, winnow, passing=True), "suspects")
-    return seen.join(_hits(seen, windows).select("_key"), "_key", "left_anti").select(*docs.columns)
+    left = seen.where("_key IS NOT NULL").join(_hits(seen, windows).select("_key"), "_key", "left_anti")
+    return seen.where("_key IS NULL").select(*docs.columns).unionByName(left.select(*docs.columns))
