@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestor.llm import kdtree, pfor, raking, repetition, setsketch, tokencount, warc, winnowing
+from attestor.llm import kdtree, pfor, raking, repetition, secrets, setsketch, tokencount, warc, winnowing
 from attestor.llm.frames import table
 
 
@@ -26,6 +26,10 @@ def op4_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op5_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_entropy": op5_entropy,
     "op4_whole_tokens": op4_whole_tokens,
     "op7_pfor": op7_pfor,
     "op9_warc": op9_warc,
