@@ -34,17 +34,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     executor costs nothing that was written."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_kept(df: DataFrame) -> None:
-    """Deletes the files of a table made by keep()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/attestor/" in path:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by keep() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_kept_at", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def map_chunks(df: DataFrame, fn, schema, column: str = "text", limit: int = 6 << 20) -> DataFrame:

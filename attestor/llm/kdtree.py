@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from attestor.llm.frames import keep
+from attestor.llm.frames import drop, keep
 
 _DIGITS = (47, 31, 15, 0)  # shifts of the digits of a key of 31 + 16 + 16 bits
 
@@ -46,7 +46,9 @@ def _prepared(docs: DataFrame, tree: Tree, id_column: str, text_column: str) ->
     # labels are placed by name order, sizes by their logarithm
     spread = {d: F.conv(F.substring(F.hex(F.rpad(F.col(f"_{d}"), 3, "\x00").cast("binary")), 1, 6), 16, 10).cast("long") for d in labels}
     spread["size"] = F.floor(F.log2("size") * 1048576).cast("long")
-    return keep(rows.select("doc_id", "size", "text_crc32", "group", *(spread[d].alias(f"x{i}") for i, d in enumerate(tree.dimensions)), F.lit(0).alias("node")), "kd-rows")
+    placed = keep(rows.select("doc_id", "size", "text_crc32", "group", *(spread[d].alias(f"x{i}") for i, d in enumerate(tree.dimensions)), F.lit(0).alias("node")), "kd-rows")
+    drop(slim)
+    return placed
 
 
 def _key(dims: int):
@@ -109,7 +111,9 @@ def assign(docs: DataFrame, tree: Tree = Tree(), id_column: str = "doc_id", text
         planned = {p[0]: p for p in plan}
         splits = spark.createDataFrame([(*planned[node][:4], cut) for node, cut in _cuts(rows, plan, dims)], "node int, axis int, low long, high long, cut long")
         right = F.when(F.col("cut").isNull(), F.col("node") * 2).otherwise(F.col("node") * 2 + (_key(dims) >= F.col("cut")).cast("int"))
+        before = rows
         rows = keep(rows.join(F.broadcast(splits), "node", "left").withColumn("node", right).select(*rows.columns), "kd-rows")
+        drop(before)
         new_leaves, new_first = {}, {}
         for node, n in leaves.items():
             half = n // 2 if node in planned else 0

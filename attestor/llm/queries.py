@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestor.llm import kdtree, pfor, raking, repetition, secrets, setsketch, tokencount, warc, winnowing
+from attestor.llm import kdtree, mixing_lm, pfor, raking, repetition, secrets, setsketch, tokencount, warc, winnowing
 from attestor.llm.frames import table
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = raking.with_probabilities(table(spark, sf_dir, "documents"))
     return marked.select(
@@ -53,6 +57,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op5_entropy": op5_entropy,
     "op4_whole_tokens": op4_whole_tokens,
     "op7_pfor": op7_pfor,

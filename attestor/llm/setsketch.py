@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attestor.llm.frames import keep, map_chunks
+from attestor.llm.frames import drop, keep, map_chunks
 from attestor.llm.text import Texts, mix, shingle_sets, space_words
 
 
@@ -232,7 +232,9 @@ def _cross_links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, sketch
                         b.append(other)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return left.toDF("ka", "kb", "a", "text_a", "bs").groupBy("ka", "kb").cogroup(right.toDF("ka", "kb", "b", "text_b").groupBy("ka", "kb")).applyInArrow(run, "a binary, b binary")
+    links = keep(left.toDF("ka", "kb", "a", "text_a", "bs").groupBy("ka", "kb").cogroup(right.toDF("ka", "kb", "b", "text_b").groupBy("ka", "kb")).applyInArrow(run, "a binary, b binary"), "confirmed")
+    drop(found, mine, texts)
+    return links
 
 
 def _meetings(sketch: Sketch, wide: int):
@@ -342,10 +344,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionByName(floor.selectExpr("u", "m AS v"))
         new = keep(small.distinct(), "links")
-        if new.join(links, ["u", "v"], "left_anti").isEmpty() and links.join(new, ["u", "v"], "left_anti").isEmpty():
-            links = new
-            break
+        settled = new.join(links, ["u", "v"], "left_anti").isEmpty() and links.join(new, ["u", "v"], "left_anti").isEmpty()
+        drop(links)
         links = new
+        if settled:
+            break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.selectExpr("v AS node").distinct().selectExpr("node", "node AS root")
@@ -365,13 +368,17 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch(), id_column: str =
     shared = keep(buckets.join(hubs, ["band", "key"]), "buckets")
     star = shared.where("class <> hub").selectExpr("least(class, hub) AS a", "greatest(class, hub) AS b", "hub").groupBy("a", "b").agg(F.min("hub").alias("hub")).selectExpr("hub AS a", "CASE WHEN hub = a THEN b ELSE a END AS b")
     first = keep(likely(star, classes, sketch), "pairs")
-    links = keep(confirmed(first, _with_text(classes, slim, first), sketch), "confirmed")
+    texts = _with_text(classes, slim, first)
+    links = keep(confirmed(first, texts, sketch), "confirmed")
+    drop(first, texts)
     labels = components(links)
     # second pass: buckets whose classes are still in more than one component
     labelled = shared.join(labels.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_buckets = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "key", "n")
     left = keep(labelled.join(open_buckets, ["band", "key"]).select("band", "key", "class", "root", "n"), "open")
-    more = keep(_cross_links(left, classes, slim, sketch), "confirmed")
+    drop(shared)
+    more = _cross_links(left, classes, slim, sketch)
+    drop(left)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = classes.select("class", "doc_id").join(labels.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
