@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from attestor.plans import scoring_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "m32_leaderboard"
+MODULES = (scoring_queries,)
+QUERIES = {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
