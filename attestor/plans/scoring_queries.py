@@ -145,8 +145,12 @@ _NANO = lambda e: f"sum(CAST(floor(({e})::DOUBLE * 1000000000.0::DOUBLE + 0.5::D
 _MEAN = lambda k: r(f"({_NANO(f'd.sentiment_{k} * a.independence')} / 1000000000.0::DOUBLE) / nullif({_NANO('a.independence')} / 1000000000.0::DOUBLE, 0)", 4)
 
 
-@query("m31_sentiment", f"""{SCORES_SQL}, s AS (SELECT a.entity_id, a.association_id, {_MEAN('positive')} AS positive, {_MEAN('negative')} AS negative, {_MEAN('neutral')} AS neutral FROM adscores a JOIN docs d USING (document_id) GROUP BY 1, 2)
-SELECT *, CASE WHEN positive IS NULL THEN 'unknown' WHEN negative > 0.5 THEN 'negative' WHEN positive > 0.5 THEN 'positive' ELSE 'mixed/neutral' END AS label FROM s""")
+SENTIMENT = f"""
+sent_s AS (SELECT a.entity_id, a.association_id, {_MEAN('positive')} AS positive, {_MEAN('negative')} AS negative, {_MEAN('neutral')} AS neutral FROM adscores a JOIN docs d USING (document_id) GROUP BY 1, 2),
+sent AS (SELECT *, CASE WHEN positive IS NULL THEN 'unknown' WHEN negative > 0.5 THEN 'negative' WHEN positive > 0.5 THEN 'positive' ELSE 'mixed/neutral' END AS label FROM sent_s)"""
+
+
+@query("m31_sentiment", f"{SCORES_SQL}, {SENTIMENT} SELECT * FROM sent")
 def sentiment(spark, sf):
     return S.sentiment(_scores(spark, sf), star.documents(spark, sf))
 
@@ -172,20 +176,28 @@ def monthly_metrics(spark, sf):
 
 
 def _leaderboard_sql(window: str | None = None) -> str:
+    """CTEs to board, and all of it."""
     inside = f"a.effective_date >= now_ts - INTERVAL {window}" if window else "TRUE"
     counted = f"effective_date >= now_ts - INTERVAL {window}" if window else "TRUE"
     parts = [
         _components_sql("life", inside, counted), _components_sql("cur", f"{inside} AND a.effective_date >= {CUTOFF}", f"effective_date >= {CUTOFF}"),
         _components_sql("past", f"{inside} AND (a.effective_date IS NULL OR a.effective_date < {CUTOFF})", f"{counted} AND effective_date < {CUTOFF}"), MOMENTUM,
     ]
+    return f"""{_board_ctes(parts)} SELECT * FROM board"""
+
+
+def _board_ctes(parts: list[str]) -> str:
     return f"""{SCORES_SQL}, {', '.join(parts)},
-mass AS (SELECT *, sum(historical_evidence) OVER (PARTITION BY entity_id) AS total_mass FROM cur_pias)
-SELECT l.entity_id, l.association_id, l.pias, {_band('l.pias')} AS band, coalesce(c.pias, 0.0) AS current_pias, {_band('coalesce(c.pias, 0.0)')} AS current_band, coalesce(p.pias, 0.0) AS historical_pias,
+mass AS (SELECT *, sum(historical_evidence) OVER (PARTITION BY entity_id) AS total_mass FROM cur_pias),
+board AS (SELECT l.entity_id, l.association_id, l.pias, {_band('l.pias')} AS band, coalesce(c.pias, 0.0) AS current_pias, {_band('coalesce(c.pias, 0.0)')} AS current_band, coalesce(p.pias, 0.0) AS historical_pias,
   {_band('coalesce(p.pias, 0.0)')} AS historical_band, l.documents, l.domains, l.raw_mentions, l.independent_sources, l.authority_evidence, coalesce(c.documents, 0) AS current_documents, coalesce(c.domains, 0) AS current_domains,
   l.corpus_share, coalesce(c.corpus_share, 0.0) AS current_corpus_share, coalesce(p.corpus_share, 0.0) AS historical_corpus_share,
   coalesce({r('c.historical_evidence / nullif(c.total_mass, 0)', 4)}, 0.0) AS current_association_share, l.recency_ratio, {r('l.documents::DOUBLE / n.entity_documents', 6)} AS corpus_conditional_score, m.bucket AS momentum
 FROM life_pias l LEFT JOIN mass c ON c.entity_id = l.entity_id AND c.association_id = l.association_id LEFT JOIN past_pias p ON p.entity_id = l.entity_id AND p.association_id = l.association_id
-JOIN life_n n ON n.entity_id = l.entity_id JOIN mom m ON m.entity_id = l.entity_id AND m.association_id = l.association_id"""
+JOIN life_n n ON n.entity_id = l.entity_id JOIN mom m ON m.entity_id = l.entity_id AND m.association_id = l.association_id)"""
+
+
+BOARD_SQL = _leaderboard_sql().removesuffix(" SELECT * FROM board")
 
 
 @query("m32_leaderboard", _leaderboard_sql())
