@@ -1,52 +1,18 @@
-"""Shared plumbing: table access, durable intermediate tables and size checks."""
+"""Shared plumbing of the corpus operators: tables, and texts in chunks of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestor.durable import drop, fresh_path, keep
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        checkpointed = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if checkpointed.isDefined():
-            return checkpointed.get()
-        found = tempfile.mkdtemp(prefix="attestor-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/attestor/{name}-{uuid.uuid4().hex}"
+__all__ = ["drop", "fresh_path", "keep", "map_chunks", "rows_per_batch", "table"]
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back: lineage ends, nothing is computed twice, and a lost
-    executor costs nothing that was written."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    kept._kept_at = path
-    return kept
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by keep() that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_kept_at", None)
-        if path:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_chunks(df: DataFrame, fn, schema, column: str = "text", limit: int = 6 << 20) -> DataFrame:
@@ -62,3 +28,15 @@ def map_chunks(df: DataFrame, fn, schema, column: str = "text", limit: int = 6 <
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Within it, jobs hand rows to Python in batches of ``rows``: for tables whose rows are megabytes each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from attestor.llm.frames import drop, keep, map_chunks
+from attestor.llm.frames import drop, keep, map_chunks, rows_per_batch
 from attestor.llm.text import Texts, Words, mix, space_words, word_hashes
 
 END = b"\n"
@@ -53,7 +53,7 @@ class Model:
     often: int = 4
     frequent: int = 64
     states: int = 8
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 12 << 20
     #: Chunks whose words meet in one range.
     fan_in: int = 6
     step_words: int = 512
@@ -90,18 +90,25 @@ def encode_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return code(zeros) | code(ones) << np.uint16(8)
 
 
-def logits(smooth: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every pair of codes ln((ones + s) / (zeros + s)); and so with one zero, or one one, taken out.
+@dataclass
+class Logits:
+    """Tables over pairs of codes: ln((ones + s) / (zeros + s)), 0 without evidence; ``less`` and ``left`` at bit * 65536 +
+    codes: the same with one occurrence of that bit taken out, and whether any evidence is left then."""
+
+    plain: np.ndarray
+    less: np.ndarray
+    left: np.ndarray
 
-    Pairs without evidence give 0.
-    """
-    zeros, ones = np.tile(_LEVELS, 256), np.repeat(_LEVELS, 256)
+    @classmethod
+    def of(cls, smooth: float) -> Logits:
+        zeros, ones = np.tile(_LEVELS, 256), np.repeat(_LEVELS, 256)
 
-    def of(z, o):
-        z, o = np.maximum(z, 0), np.maximum(o, 0)
-        return np.where(z + o > 0, np.log((o + smooth) / (z + smooth)), 0.0).astype(np.float32)
+        def table(z, o):
+            z, o = np.maximum(z, 0), np.maximum(o, 0)
+            return np.where(z + o > 0, np.log((o + smooth) / (z + smooth)), 0.0).astype(np.float32)
 
-    return of(zeros, ones), of(zeros - 1, ones), of(zeros, ones - 1)
+        some = lambda z, o: np.maximum(z, 0) + np.maximum(o, 0) > 0
+        return cls(table(zeros, ones), np.concatenate([table(zeros - 1, ones), table(zeros, ones - 1)]), np.concatenate([some(zeros - 1, ones), some(zeros, ones - 1)]))
 
 
 # ---- code -----------------------------------------------------------------------------------------------------
@@ -188,9 +195,10 @@ def gated(values: list[np.ndarray], seen: list[np.ndarray], at: np.ndarray) -> n
 
 
 def mixed(values: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    total = weights[gate, ORDERS].astype(np.float32)
-    for k, v in enumerate(values):
-        total += weights[:, k].astype(np.float32)[gate] * v
+    columns = weights.T.astype(np.float32)
+    total = columns[ORDERS][gate]
+    for column, v in zip(columns, values):
+        total += column[gate] * v
     return np.clip(total, -14, 14)
 
 
@@ -211,26 +219,40 @@ def start_weights() -> np.ndarray:
 def log10_words(data, first, states, tables, learned: Learned, model: Model, luts) -> np.ndarray:
     """log10 probability of each spelled word."""
     out = np.zeros(len(first) - 1)
-    step = 1 << 15  # bytes at a time
+    half, one, refine = np.float32(0.5), np.float32(1), learned.refine.astype(np.float32)
+    step = 1 << 14  # bytes at a time
     cuts = [0]
     while cuts[-1] < len(first) - 1:
         cuts.append(min(len(first) - 1, max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + step, side="right")) - 1)))
     for a, b in zip(cuts, cuts[1:]):
         bit, at, owner, slots = decisions(data[first[a] : first[b]], first[a : b + 1] - first[a], states[a:b], learned, model)
         codes = [t[s] for t, s in zip(tables, slots)]
-        values = [luts[0][c] for c in codes]
+        values = [luts.plain[c] for c in codes]
         gate = gated(values, [c != 0 for c in codes], at)
         logit = mixed(values, gate, learned.weights)
-        p = 0.5 / (1 + np.exp(-logit)) + 0.5 * learned.refine[bucket_of(logit, gate)]
-        out[a:b] = np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), b - a)
+        p = half / (one + np.exp(-logit)) + half * refine[bucket_of(logit, gate)]
+        out[a:b] = np.bincount(owner, np.log(np.where(bit == 1, p, one - p)), b - a)
+    out /= np.log(10)
     return out
 
 
 # ---- chunks ---------------------------------------------------------------------------------------------------
 
 
-def _list(array: np.ndarray) -> bytes:
-    return array.tobytes()
+def _ints(array: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the narrowest of 1, 2, 4 or 8 bytes each, led by that width."""
+    top = int(array.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + array.astype(f"<u{width}").tobytes()
+
+
+def _read(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _read_small(data: bytes) -> np.ndarray:
+    """Numbers known to fit in 31 bits, as a chunk's word numbers and places do."""
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
 
 
 def _chunked(docs: DataFrame, model: Model) -> DataFrame:
@@ -249,18 +271,18 @@ def _chunked(docs: DataFrame, model: Model) -> DataFrame:
         mask = np.ones(len(tokens), bool)
         mask[ends] = False
         tokens[mask] = which + 1
-        first = np.concatenate([[0], ends + 1]).astype(np.uint32)
+        first = np.concatenate([[0], ends + 1])
         ids = [x.as_py() for x in part.column(0)]
         held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i in ids])
         taught = tokens[~np.repeat(held, np.diff(first))]
-        counts = np.bincount(taught, minlength=len(spelled)).astype(np.uint32)
+        counts = np.bincount(taught, minlength=len(spelled))
         lengths = np.array([len(x) for x in spelled])
         data = np.frombuffer(b"".join(spelled), np.uint8)
-        seen = np.bincount(data, np.repeat(counts, lengths), 256).astype(np.uint64)
+        seen = np.bincount(data, np.repeat(counts, lengths), 256)
         all_hashes = np.concatenate([[np.uint64(1)], mix(distinct)])
         cols = [
-            pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(part.schema.field(0).type)), pa.array([held.tolist()]), pa.array([_list(first)]), pa.array([_list((tokens & 0xFFFF).astype(np.uint16))]),
-            pa.array([_list((tokens >> 16).astype(np.uint8 if len(spelled) < 1 << 24 else np.uint16))]), pa.array([data.tobytes()]), pa.array([_list(lengths.astype(np.uint32))]), pa.array([_list(all_hashes)]), pa.array([_list(counts)]), pa.array([_list(seen)]),
+            pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(part.schema.field(0).type)), pa.array([held.tolist()]), pa.array([_ints(first)]), pa.array([_ints(tokens & 0xFFFF)]), pa.array([_ints(tokens >> 16)]),
+            pa.array([data.tobytes()]), pa.array([_ints(lengths)]), pa.array([all_hashes.tobytes()]), pa.array([_ints(counts)]), pa.array([_ints(seen)]),
         ]
         return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "held", "first", "low", "high", "data", "lengths", "hashes", "counts", "seen"])
 
@@ -269,18 +291,20 @@ def _chunked(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    low = np.frombuffer(row["low"], np.uint16)
-    high = np.frombuffer(row["high"], np.uint8 if len(row["high"]) == len(low) else np.uint16)
-    return low.astype(np.int64) | high.astype(np.int64) << 16, np.frombuffer(row["first"], np.uint32).astype(np.int64)
+    return _read_small(row["low"]) | _read_small(row["high"]) << 16, _read(row["first"])
 
 
 def _states(tokens: np.ndarray, first: np.ndarray, marker: np.ndarray) -> np.ndarray:
     """The state of each token: the marker number (from 1) of the last marked word before it in its text, else 0."""
     marks = marker[tokens]
-    at = np.where(marks > 0, np.arange(len(tokens)), -1)
-    last = np.concatenate([[-1], np.maximum.accumulate(at)[:-1]]) if len(tokens) else at
-    begin = np.repeat(first[:-1], np.diff(first))
-    return np.where(last >= begin, marks[np.maximum(last, 0)], 0)
+    if not len(tokens):
+        return marks
+    last = np.where(marks > 0, np.arange(len(tokens), dtype=np.int32), np.int32(-1))
+    np.maximum.accumulate(last, out=last)
+    last[1:] = last[:-1].copy()
+    last[0] = -1
+    begin = np.repeat(first[:-1].astype(np.int32), np.diff(first))
+    return np.where(last >= begin, marks[np.maximum(last, 0)], np.int32(0))
 
 
 def _rows(batches):
@@ -288,37 +312,44 @@ def _rows(batches):
         yield from batch.to_pylist()
 
 
+def _dealt(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk's words go to the ranges, and each range's part of it."""
+    part = hashes % np.uint64(ranges)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(ranges + 1))
+
+
 def _word_sums(chunks: DataFrame, ranges: int) -> DataFrame:
-    """By hash range: a row with the range's words (sorted hashes, training counts), and for every chunk the sums of its words."""
+    """By hash range: a row on the range's words (how many are known, their tokens, the most frequent), and for every chunk
+    that sent words the sums of these words over all training texts, in the order sent."""
 
     def parts(batches):
         for row in _rows(batches):
-            hashes, counts = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-            order = np.argsort(hashes % np.uint64(ranges), kind="stable")
-            cut = np.searchsorted((hashes % np.uint64(ranges))[order], np.arange(ranges + 1))
+            hashes, counts = np.frombuffer(row["hashes"], np.uint64), _read(row["counts"])
+            order, cut = _dealt(hashes, ranges)
             for r, (a, b) in enumerate(zip(cut, cut[1:])):
                 if b > a:
-                    mine = order[a:b]
-                    yield pa.RecordBatch.from_pydict({"r": [r], "chunk": [row["chunk"]], "at": [mine.astype(np.uint32).tobytes()], "hashes": [hashes[mine].tobytes()], "counts": [counts[mine].tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"r": [r], "chunk": [row["chunk"]], "hashes": [hashes[order[a:b]].tobytes()], "counts": [_ints(counts[order[a:b]])]})
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         hashes = np.concatenate([np.frombuffer(x["hashes"], np.uint64) for x in rows])
-        counts = np.concatenate([np.frombuffer(x["counts"], np.uint32) for x in rows])
+        counts = np.concatenate([_read(x["counts"]) for x in rows])
         words, which = np.unique(hashes, return_inverse=True)
-        total = np.bincount(which, counts, len(words)).astype(np.uint64)
-        sizes = np.cumsum([0, *(len(x["at"]) // 4 for x in rows)])
-        replies = [total[which[a:b]].tobytes() for a, b in zip(sizes, sizes[1:])]
+        total = np.bincount(which, counts, len(words)).astype(np.int64)
+        sizes = np.cumsum([0, *(len(x["hashes"]) // 8 for x in rows)])
+        replies = [_ints(total[which[a:b]]) for a, b in zip(sizes, sizes[1:])]
         known = total > 0
-        top = np.argsort(-total[known].astype(np.int64), kind="stable")[:256]
+        top = np.argsort(-total[known], kind="stable")[:256]
+        none = [None] * len(rows)
         return pa.table({
-            "chunk": pa.array([None, *(x["chunk"] for x in rows)], pa.string()), "at": pa.array([None, *(x["at"] for x in rows)], pa.binary()), "sums": pa.array([None, *replies], pa.binary()),
-            "v": pa.array([int(known.sum()), *[None] * len(rows)], pa.int64()), "n": pa.array([int(total.sum()), *[None] * len(rows)], pa.int64()),
-            "top": pa.array([[{"hash": int(h), "c": int(c)} for h, c in zip(words[known][top].view(np.int64), total[known][top])], *[None] * len(rows)], pa.list_(pa.struct([("hash", pa.int64()), ("c", pa.int64())]))),
+            "r": pa.array([rows[0]["r"]] * (len(rows) + 1), pa.int64()), "chunk": pa.array([None, *(x["chunk"] for x in rows)], pa.string()), "sums": pa.array([None, *replies], pa.binary()),
+            "v": pa.array([int(known.sum()), *none], pa.int64()), "n": pa.array([int(total.sum()), *none], pa.int64()),
+            "top": pa.array([[{"hash": int(h), "c": int(c)} for h, c in zip(words[known][top].view(np.int64), total[known][top])], *none], pa.list_(pa.struct([("hash", pa.int64()), ("c", pa.int64())]))),
         })
 
-    split = chunks.select("chunk", "hashes", "counts").mapInArrow(parts, "r long, chunk string, at binary, hashes binary, counts binary")
-    return split.groupBy("r").applyInArrow(add, "chunk string, at binary, sums binary, v long, n long, top array<struct<hash:long,c:long>>")
+    split = chunks.select("chunk", "hashes", "counts").mapInArrow(parts, "r long, chunk string, hashes binary, counts binary")
+    return split.groupBy("r").applyInArrow(add, "r long, chunk string, sums binary, v long, n long, top array<struct<hash:long,c:long>>")
 
 
 def _clusters(counts: np.ndarray, states: int) -> np.ndarray:
@@ -342,10 +373,10 @@ def _clusters(counts: np.ndarray, states: int) -> np.ndarray:
 def _marker(row: dict, frequent: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     hashes = np.frombuffer(row["hashes"], np.uint64)
     if not len(frequent):
-        return np.zeros(len(hashes), np.int64)
+        return np.zeros(len(hashes), np.int32)
     order = np.argsort(frequent)
     at = np.minimum(np.searchsorted(frequent[order], hashes), len(frequent) - 1)
-    return np.where(frequent[order][at] == hashes, numbers[order][at], 0)
+    return np.where(frequent[order][at] == hashes, numbers[order][at], 0).astype(np.int32)
 
 
 def _transitions(chunks: DataFrame, frequent: np.ndarray) -> np.ndarray:
@@ -360,7 +391,7 @@ def _transitions(chunks: DataFrame, frequent: np.ndarray) -> np.ndarray:
             marker = _marker(row, shared.value, np.arange(1, n + 1))
             before, marks = _states(tokens, first, marker), marker[tokens]
             taught = ~np.repeat(np.array(row["held"], bool), np.diff(first)) & (before > 0) & (marks > 0)
-            total += np.bincount(before[taught] * (n + 1) + marks[taught], minlength=len(total))
+            total += np.bincount(before[taught].astype(np.int64) * (n + 1) + marks[taught], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
@@ -375,14 +406,16 @@ def _pairs(row: dict, frequent: np.ndarray, clusters: np.ndarray):
     """Of one chunk: each token's (state, word) as a number among the distinct ones; their states and words."""
     tokens, first = _tokens(row)
     state = _states(tokens, first, _marker(row, frequent, clusters))
-    words = len(row["lengths"]) // 4
-    distinct, which = np.unique(state * words + tokens, return_inverse=True)
+    words = len(row["hashes"]) // 8
+    joint = state * np.int32(words) + tokens if words < 1 << 26 else state.astype(np.int64) * words + tokens
+    distinct, which = np.unique(joint, return_inverse=True)
+    distinct = distinct.astype(np.int64)
     return first, which, distinct // words, distinct % words
 
 
 def _spelled(row: dict, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the chunk's given words end to end, and their offsets."""
-    data, lengths = np.frombuffer(row["data"], np.uint8), np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+    data, lengths = np.frombuffer(row["data"], np.uint8), _read(row["lengths"])
     starts = np.cumsum(lengths) - lengths
     n = lengths[words]
     first = np.concatenate([[0], np.cumsum(n)])
@@ -401,35 +434,31 @@ def _pair_sums(chunks: DataFrame, ranges: int, frequent: np.ndarray, clusters: n
             used = np.flatnonzero(counts)
             states, words, counts = states[used], words[used], counts[used]
             keys = mix(np.frombuffer(row["hashes"], np.uint64)[words] + states.astype(np.uint64) * _R)
-            part = (keys % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(ranges + 1))
+            order, cut = _dealt(keys, ranges)
             for r, (a, b) in enumerate(zip(cut, cut[1:])):
                 if b > a:
                     mine = order[a:b]
                     data, offsets = _spelled(row, words[mine])
-                    yield pa.RecordBatch.from_pydict({"r": [r], "keys": [keys[mine].tobytes()], "counts": [counts[mine].astype(np.uint32).tobytes()], "states": [states[mine].astype(np.uint8).tobytes()], "lengths": [np.diff(offsets).astype(np.uint32).tobytes()], "data": [data.tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"r": [r], "keys": [keys[mine].tobytes()], "counts": [_ints(counts[mine])], "states": [_ints(states[mine])], "lengths": [_ints(np.diff(offsets))], "data": [data.tobytes()]})
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        take = lambda name, kind: np.concatenate([np.frombuffer(x[name], kind) for x in rows])
-        keys, counts, states = take("keys", np.uint64), take("counts", np.uint32), take("states", np.uint8)
-        lengths, data = take("lengths", np.uint32).astype(np.int64), take("data", np.uint8)
+        counts, states, lengths = (np.concatenate([_read(x[name]) for x in rows]) for name in ("counts", "states", "lengths"))
+        keys, data = (np.concatenate([np.frombuffer(x[name], kind) for x in rows]) for name, kind in (("keys", np.uint64), ("data", np.uint8)))
         starts = np.cumsum(lengths) - lengths
         _, at, which = np.unique(keys, return_index=True, return_inverse=True)
         n = lengths[at]
         first = np.concatenate([[0], np.cumsum(n)])
         spelled = data[np.repeat(starts[at] - first[:-1], n) + np.arange(first[-1])]
-        total = np.bincount(which, counts, len(at)).astype(np.uint64)
-        return pa.table({"r": pa.array([rows[0]["r"]], pa.int64()), "data": [spelled.tobytes()], "lengths": [n.astype(np.uint32).tobytes()], "states": [states[at].tobytes()], "counts": [total.tobytes()]})
+        total = np.bincount(which, counts, len(at)).astype(np.int64)
+        return pa.table({"r": pa.array([rows[0]["r"]], pa.int64()), "data": [spelled.tobytes()], "lengths": [_ints(n)], "states": [_ints(states[at])], "counts": [_ints(total)]})
 
     split = chunks.select("low", "high", "first", "held", "hashes", "lengths", "data").mapInArrow(parts, "r long, keys binary, counts binary, states binary, lengths binary, data binary")
     return split.groupBy("r").applyInArrow(add, "r long, data binary, lengths binary, states binary, counts binary")
 
 
 def _unpacked(row: dict):
-    lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
-    return np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(lengths)]), np.frombuffer(row["states"], np.uint8).astype(np.int64), np.frombuffer(row["counts"], np.uint64).astype(np.int64)
+    return np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(_read(row["lengths"]))]), _read(row["states"]), _read(row["counts"])
 
 
 def _word_steps(first: np.ndarray, size: int):
@@ -464,13 +493,13 @@ def _counters(pairs: DataFrame, learned: Learned, model: Model) -> list[np.ndarr
             for at in range(0, len(t), 2 * span):
                 used = np.flatnonzero(part := t[at : at + 2 * span])
                 if len(used):
-                    yield pa.RecordBatch.from_pydict({"k": [k], "at": [at // 2], "cells": [used.astype(np.uint16 if 2 * span <= 65536 else np.uint32).tobytes()], "n": [part[used].astype(np.uint64).tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"k": [k], "at": [at // 2], "cells": [_ints(used)], "n": [_ints(part[used])]})
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         total = np.zeros(2 * span, np.int64)
         for x in rows:
-            total[np.frombuffer(x["cells"], np.uint16)] += np.frombuffer(x["n"], np.uint64).astype(np.int64)
+            total[_read(x["cells"])] += _read(x["n"])
         return pa.table({"k": pa.array([rows[0]["k"]], pa.int64()), "at": [rows[0]["at"]], "codes": [encode_counts(total[::2], total[1::2]).tobytes()]})
 
     sums = pairs.drop("r").mapInArrow(count, "k long, at long, cells binary, n binary").groupBy("k", "at").applyInArrow(add, "k long, at long, codes binary")
@@ -487,7 +516,7 @@ def _fitted(pairs: DataFrame, tables, learned: Learned, model: Model) -> Learned
 
     def learn(batches):
         tables, learned = shared.value
-        luts = logits(model.smooth)
+        luts = Logits.of(model.smooth)
         for row in _rows(batches):
             data, first, states, counts = _unpacked(row)
             weights, weight_sum, steps = start_weights(), np.zeros((GATES, ORDERS + 1)), 0
@@ -500,13 +529,12 @@ def _fitted(pairs: DataFrame, tables, learned: Learned, model: Model) -> Learned
                 values, seen = [], []
                 for k, s in enumerate(slots):
                     code = tables[k][s]
-                    less = np.where(bit == 1, luts[2][code], luts[1][code])  # without its own occurrence
-                    zero, one = _LEVELS[code & 255] - (bit == 0), _LEVELS[code >> 8] - (bit == 1)
-                    if k >= ORDERS - 2:
-                        less = np.where(long, less, luts[0][code])
-                        zero, one = np.where(long, zero, _LEVELS[code & 255]), np.where(long, one, _LEVELS[code >> 8])
+                    own = code.astype(np.int64) + (bit.astype(np.int64) << 16)
+                    less, left = luts.less[own], luts.left[own]  # without its own occurrence
+                    if k >= ORDERS - 2:  # rare words are not counted there
+                        less, left = np.where(long, less, luts.plain[code]), np.where(long, left, code != 0)
                     values.append(less)
-                    seen.append(zero + one > 0)
+                    seen.append(left)
                 gate = gated(values, seen, at)
                 logit = mixed(values, gate, weights)
                 p = 1 / (1 + np.exp(-logit))
@@ -540,6 +568,15 @@ def scores(docs: DataFrame, model: Model = Model(), id_column: str = "doc_id", t
     spark = docs.sparkSession
     slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     chunks = keep(_chunked(slim, model), "chunks")
+    with rows_per_batch(spark, 1):  # a chunk's row is some megabytes
+        found = keep(_scored(chunks, model, slim.schema["doc_id"].dataType.simpleString()), "scores")
+    drop(chunks)
+    return found
+
+
+def _scored(chunks: DataFrame, model: Model, kind: str) -> DataFrame:
+    """Learns from the chunks and scores them."""
+    spark = chunks.sparkSession
     ranges = max(1, -(-chunks.count() // model.fan_in))
     sums = keep(_word_sums(chunks, ranges), "word-sums")
     ends = sums.where("v IS NOT NULL").agg(F.sum("v"), F.sum("n")).first()
@@ -557,20 +594,21 @@ def scores(docs: DataFrame, model: Model = Model(), id_column: str = "doc_id", t
     learned = _fitted(pairs, tables, learned, model)
     drop(pairs)
     shared = spark.sparkContext.broadcast((tables, learned, frequent, clusters, total, vocabulary))
-    replies = sums.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("at", "sums")).alias("replies"))  # as many words as the chunk has
+    replies = sums.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("r", "sums")).alias("replies"))  # as many words as the chunk has
     joined = chunks.drop("counts", "seen").join(replies, "chunk")
-    kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         tables, learned, frequent, clusters, total, vocabulary = shared.value
-        luts = logits(model.smooth)
+        luts = Logits.of(model.smooth)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 first, which, states, words = _pairs(row, frequent, clusters)
-                c = np.zeros(len(row["lengths"]) // 4, np.float64)
+                hashes = np.frombuffer(row["hashes"], np.uint64)
+                c = np.zeros(len(hashes), np.float64)
+                order, cut = _dealt(hashes, ranges)
                 for x in row["replies"]:
-                    c[np.frombuffer(x["at"], np.uint32)] = np.frombuffer(x["sums"], np.uint64)
+                    c[order[cut[x["r"]] : cut[x["r"] + 1]]] = _read(x["sums"])
                 data, offsets = _spelled(row, words)
                 model_log = log10_words(data, offsets, states, tables, learned, model, luts)
                 base_log = np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))[words]
@@ -589,5 +627,5 @@ def scores(docs: DataFrame, model: Model = Model(), id_column: str = "doc_id", t
 def _byte_sums(batches):
     total = np.zeros(256, np.int64)
     for row in _rows(batches):
-        total += np.frombuffer(row["seen"], np.uint64).astype(np.int64)
+        total += _read(row["seen"])
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int64()), pa.array(total)], names=["b", "n"])
