@@ -1,6 +1,7 @@
 import numpy as np
 
-from attestor.llm.setsketch import Sketch, components, likeliest_jaccard, near_duplicates, registers
+from attestor.llm.setsketch import Sketch, likeliest_jaccard, near_duplicates, registers
+from attestor.operators.graph import components
 
 from tests.llm.cases import LOWER, SPACE_WORD, clashing, edge_docs, empty_docs
 
