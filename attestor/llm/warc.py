@@ -31,9 +31,10 @@ INDEX = "page_id long, file string, offset long, length long, url string, payloa
 @dataclass(frozen=True)
 class Archive:
     least_bytes: int = 0
-    #: Gaps that a range may span, and its size.
+    #: Gaps that a range may span, its size, and the bytes that one task reads.
     gap: int = 64 << 10
     range_bytes: int = 8 << 20
+    task_bytes: int = 16 << 20
     date: str = "2024-01-01T00:00:00Z"
 
 
@@ -144,7 +145,9 @@ def ranges(index: DataFrame, archive: Archive = Archive()) -> DataFrame:
 
 def read_records(index: DataFrame, archive: Archive = Archive(), payloads: bool = False) -> DataFrame:
     """The selected records: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload)."""
-    picked = ranges(index, archive).repartition("file", "start")
+    # index rows are small beside what they stand for: the number of tasks follows the bytes to be read
+    wanted = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    picked = ranges(index, archive).repartition(max(1, -(-wanted // archive.task_bytes)), "file", "start")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 6 + payloads]
     names = [x.split()[0] for x in schema.split(", ")]
