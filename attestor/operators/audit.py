@@ -17,15 +17,30 @@ from attestor.model import MENTION_CAP
 CLASS_ORDER = ("statutory_register", "professional_body", "academic_institutional", "press_other", "self_asserted")
 VERIFIABLE = CLASS_ORDER[:3]
 CLASS_PATTERNS = {
-    "statutory_register": (r"\.gov(\.[a-z]{2})?$", r"sec\.gov$", r"companieshouse"), "professional_body": (r"finra\.org$", r"(bar|medical|engineering)(council|association)"),
-    "academic_institutional": (r"\.edu(\.[a-z]{2})?$", r"\.ac\.[a-z]{2}$"), "self_asserted": (r"(linkedin|crunchbase|medium|about)\.(com|me)$",),
+    "statutory_register": (r"(^|\.)gov$", r"\.gov\.[a-z]{2}$", r"(^|\.)sec\.gov$", r"(^|\.)finra\.org$", r"(^|\.)fca\.org\.uk$", r"(^|\.)sra\.org\.uk$", r"companieshouse"),
+    "professional_body": (r"americanbar\.org$", r"cfainstitute\.org$", r"cfp\.net$", r"lawsociety\.org\.uk$", r"aicpa\.org$", r"nasaa\.org$", r"(^|\.)[a-z]*bar\.org$"),
+    "academic_institutional": (r"\.edu$", r"\.edu\.[a-z]{2}$", r"\.ac\.[a-z]{2}$", r"(^|\.)oyez\.org$", r"(^|\.)si\.edu$"),
+    "self_asserted": (r"linkedin\.com$", r"facebook\.com$", r"instagram\.com$", r"(^|\.)x\.com$", r"twitter\.com$", r"crunchbase\.com$", r"about\.me$"),
 }
-ATTRIBUTION = r"(?i)\b(according to|as reported by|reported that|told|said in|stated that|noted that|wrote that)\b"
+# Constructions that hand a statement to a source, and sentences whose subject is a source.
+ATTRIBUTION = (
+    r"\baccording to\b", r"\bper the\b", r"\bas reported (?:by|in)\b",
+    r"\bthe (?:profile|article|report|piece|story|interview|release|post|feature) (?:states|says|notes|reports|describes|explains|adds|recounts|highlights|mentions)\b",
+    r"\b(?:told|wrote|writes|writing) (?:to|in)\b", r"\bin (?:a|an|the) (?:profile|interview|article|piece|report) (?:published|posted|released) by\b",
+)
+SOURCE_SUBJECTS = (
+    r"^(?:the|this|that) (?:article|profile|report|piece|release|interview|outlet|publication|story|post|feature|site)\b",
+    r"^(?:it|they) (?:says|said|states|stated|notes|noted|reports|reported|describes|described)\b",
+)
 PRONOUN_START = r"(?i)^\s*(?:he|she|his|her|him|they|their)\b"
+# News verbs by the stem that must support them.
 EVENTS = {
-    "founded": r"(?i)\bfound(ed|s|ing)\b", "acquired": r"(?i)\bacqui(red|res|sition)\b", "appointed": r"(?i)\bappoint(ed|s|ment)\b", "launched": r"(?i)\blaunch(ed|es|ing)?\b",
-    "awarded": r"(?i)\baward(ed|s)?\b", "donated": r"(?i)\bdonat(ed|es|ion)\b", "graduated": r"(?i)\bgraduat(ed|es|ion)\b", "resigned": r"(?i)\bresign(ed|s|ation)\b",
+    "join": r"\b(?:joins|joined|joining)\b", "appoint": r"\b(?:appoints|appointed)\b", "hire": r"\b(?:hires|hired)\b", "promot": r"\b(?:promotes|promoted)\b",
+    "launch": r"\b(?:launches|launched)\b", "announc": r"\b(?:announces|announced)\b", "welcom": r"\b(?:welcomes|welcomed)\b", "named": r"\b(?:named (?:as|to)|has been named)\b",
 }
+# How registrations and regulated occupations are written.
+REGISTRATION = r"\b(?:CRD|FINRA|IARD|FRN|FCA|SEC|SRA|NMLS|bar\s*(?:no|number|#)|licen[cs]e|registration)\b"
+REGULATED = r"\b(?:financial (?:advis[eo]r|planner)|wealth (?:manager|advis[eo]r)|broker|investment advis[eo]r|attorney|lawyer|solicitor|barrister|accountant|CPA|physician|surgeon|pharmacist|insurance agent|mortgage)\b"
 
 
 def independence_key(cluster: Column, owner: Column, domain: Column, name: Column) -> Column:
@@ -70,12 +85,26 @@ def sentences_of(texts: DataFrame) -> DataFrame:
 
 
 def attribution_load(sentences: DataFrame, warn: float = 0.2, fail: float = 0.35) -> DataFrame:
-    """Share of sentences that hand a statement to a source."""
-    sums = sentences.groupBy("text_id").agg(F.count("*").alias("sentences"), F.count_if(F.col("sentence").rlike(ATTRIBUTION)).alias("attributed"))
+    """Share of sentences that hand a statement to a source or have a source as their subject."""
+    handed = F.col("sentence").rlike("(?i)" + "|".join((*ATTRIBUTION, *SOURCE_SUBJECTS)))
+    sums = sentences.groupBy("text_id").agg(F.count("*").alias("sentences"), F.count_if(handed).alias("attributed"))
     load = F.col("attributed") / F.col("sentences")
     return sums.select("text_id", "sentences", "attributed", X.half_up(load, 4).alias("load"), F.when(load >= fail, "fail").when(load >= warn, "warn").otherwise("pass").alias("result"))
 
 
+def quotation_check(texts: DataFrame, warn: float = 0.15, fail: float = 0.25, longest: int = 50) -> DataFrame:
+    """How much of a text is quoted, and whether one quotation is too long."""
+    found = texts.select("text_id", quotation_stats(F.col("text")).alias("q")).select("text_id", "q.*")
+    return found.withColumn("result", F.when(F.col("share") >= fail, "fail").when((F.col("share") >= warn) | (F.col("longest") > longest), "warn").otherwise("pass"))
+
+
+def regulated_profiles(markers: DataFrame) -> DataFrame:
+    """markers (entity_id, kind, value): entities in a regulated occupation, and whether a registration is on file."""
+    occupation = (F.col("kind") == "occupation") & F.col("value").rlike("(?i)" + REGULATED)
+    registered = (F.col("kind") == "registration") | F.col("value").rlike("(?i)" + REGISTRATION)
+    return markers.groupBy("entity_id").agg(F.coalesce(F.bool_or(occupation), F.lit(False)).alias("regulated"), F.coalesce(F.bool_or(registered), F.lit(False)).alias("registered"))
+
+
 def quotation_stats(text: Column) -> Column:
     """struct<words, quoted, share, longest>: words inside quotation marks."""
     count = lambda s: F.size(F.filter(F.split(F.trim(s), r"(?U)\s+"), lambda w: w != ""))
@@ -135,13 +164,17 @@ def exclusion_breaches(texts: DataFrame, excluded: Sequence[str]) -> DataFrame:
 
 
 def unsupported_events(texts: DataFrame, passages: Column) -> DataFrame:
-    """(text_id, event): events that a text claims and no passage mentions."""
-    rows = F.array_compact(F.array(*(F.when(F.col("text").rlike(p) & ~_any(passages, p), F.lit(e)) for e, p in EVENTS.items())))
+    """(text_id, event): news verbs in the title, a first-level heading or the first two paragraphs of texts (text_id, title,
+    text) whose stem stands in no passage."""
+    blocks = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    prose = F.slice(F.filter(blocks, lambda p: ~p.rlike(r"^#{1,6}\s")), 1, 2)
+    places = F.concat(F.array_compact(F.array("title")), F.filter(blocks, lambda p: p.rlike(r"^#\s")), prose)
+    rows = F.array_compact(F.array(*(F.when(_any(places, p) & ~_any(passages, rf"\b{stem}"), F.lit(stem)) for stem, p in EVENTS.items())))
     return texts.select("text_id", F.explode(rows).alias("event"))
 
 
 def _any(passages: Column, pattern: str) -> Column:
-    return F.exists(passages, lambda x: x.rlike(pattern))
+    return F.exists(passages, lambda x: x.rlike("(?i)" + pattern))
 
 
 def unverified_quotes(texts: DataFrame, passages: Sequence[str]) -> DataFrame:

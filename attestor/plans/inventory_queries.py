@@ -156,7 +156,7 @@ def target_coverage(spark, sf):
 
 @query("h24_unsupported_events")
 def unsupported_events(spark, sf):
-    return audit.unsupported_events(_docs(spark, sf), F.array(F.lit("")))
+    return audit.unsupported_events(_docs(spark, sf).withColumn("title", F.substring("text", 1, 60)), F.array(F.lit("")))
 
 
 @query("h25_probe_terms", None)

@@ -140,7 +140,11 @@ def test_audit_rules(spark):
     assert (share.sentences, share.client) == (6, 2)
     assert audit.attribution_load(audit.sentences_of(texts)).first().attributed >= 1
     assert [r.quote for r in audit.unverified_quotes(texts, ["nothing like it"]).collect()] == ["we will build more schools"] and audit.unverified_quotes(texts, [text]).count() == 0
-    assert [r.event for r in audit.unsupported_events(texts, F.array(F.lit("no event"))).collect()] == ["resigned"]
+    news = spark.createDataFrame([("x", "Carver appointed", "# Northway launches a fund\n\nHe joined early.\n\nTwo.\n\nThree hired him.")], "text_id string, title string, text string")
+    assert {r.event for r in audit.unsupported_events(news, F.array(F.lit("he joins them"))).collect()} == {"appoint", "launch"}
+    marks = spark.createDataFrame([("a", "occupation", "Financial adviser"), ("a", "other", "FINRA CRD 123"), ("b", "occupation", "painter")], "entity_id string, kind string, value string")
+    assert {r.entity_id: (r.regulated, r.registered) for r in audit.regulated_profiles(marks).collect()} == {"a": (True, True), "b": (False, False)}
+    assert audit.quotation_check(texts).first().longest == 5
     waste = audit.repetition_waste(spark.createDataFrame([("x", "art " * 5)], "text_id string, text string"), {"Art": []}).first()
     assert (waste.mentions, waste.counted, waste.wasted) == (5, 3, 2)
     kinds = spark.createDataFrame([("sec.gov",), ("x.ac.uk",), ("own.example",), ("press.example",)], "d string").select(audit.source_class(F.col("d"), ["own.example"]).alias("c"))
