@@ -33,11 +33,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from attestor.llm.frames import drop, keep, map_chunks, rows_per_batch
-from attestor.llm.text import Texts, Words, mix, space_words, word_hashes
+from attestor.llm.text import Texts, mix, space_words, word_hashes
 
 END = b"\n"
 _R = np.uint64(0x9E3779B97F4A7C15)
