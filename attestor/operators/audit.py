@@ -251,4 +251,4 @@ def adverse_overlap(documents: DataFrame, evidence: DataFrame, adverse: Sequence
     total = bad.groupBy("entity_id").agg(F.count("*").alias("adverse_documents"))
     carried = evidence.where(~F.col("association_id").isin(*adverse)).select("association_id", "document_id").distinct().join(bad, "document_id").groupBy("entity_id", "association_id").agg(F.count("*").alias("shared"))
     share = F.col("shared") / F.col("adverse_documents")
-    return carried.join(F.broadcast(total), "entity_id").where(F.col("adverse_documents") >= least).select("entity_id", "association_id", "shared", X.half_up(share, 4).alias("share"), (share > warn).alias("warn"))
+    return carried.join(total, "entity_id").where(F.col("adverse_documents") >= least).select("entity_id", "association_id", "shared", X.half_up(share, 4).alias("share"), (share > warn).alias("warn"))

@@ -44,15 +44,15 @@ def apply_reviews(documents: DataFrame, evidence: DataFrame, reviews: DataFrame)
     domain's class; exclude_evidence and exclude_association mark evidence, merge_association renames it.
     """
     last = latest(reviews, ["action", "target"], F.desc("reviewed_at"))
-    of = lambda action, *cols: F.broadcast(last.where(F.col("action") == action).select(*cols))
-    verdicts = F.broadcast(last.where(F.col("action").isin("wrong_entity", "right_entity")).select(F.col("target").alias("_doc"), F.when(F.col("action") == "wrong_entity", "reject").otherwise("accept").alias("_verdict")))
+    of = lambda action, *cols: last.where(F.col("action") == action).select(*cols)
+    verdicts = last.where(F.col("action").isin("wrong_entity", "right_entity")).select(F.col("target").alias("_doc"), F.when(F.col("action") == "wrong_entity", "reject").otherwise("accept").alias("_verdict"))
     docs = documents.join(verdicts, documents["document_id"].cast("string") == F.col("_doc"), "left").withColumn("verdict", F.coalesce("_verdict", "verdict")).drop("_doc", "_verdict")
     sources = of("exclude_source", F.col("target").alias("_domain"))
     docs = docs.join(sources, docs["root_domain"].cast("string") == F.col("_domain"), "left_anti")
     tiers = of("set_tier", F.col("target").alias("_domain"), F.col("value").alias("classification"))
     docs = docs.drop("classification").join(tiers, docs["root_domain"].cast("string") == F.col("_domain"), "left").drop("_domain")
     merges = last.where(F.col("action") == "merge_association").select(F.col("target").alias("id"), F.col("value").alias("merged_into"))
-    targets = F.broadcast(follow_merges(merges.unionByName(merges.selectExpr("merged_into AS id", "CAST(NULL AS STRING) AS merged_into").join(merges.select("id"), "id", "left_anti")).distinct()))
+    targets = follow_merges(merges.unionByName(merges.selectExpr("merged_into AS id", "CAST(NULL AS STRING) AS merged_into").join(merges.select("id"), "id", "left_anti")).distinct())
     ev = evidence.join(targets, evidence["association_id"] == targets["id"], "left").withColumn("association_id", F.coalesce("target", "association_id")).drop("id", "target")
     gone = of("exclude_association", F.col("target").alias("_gone"))
     return docs, ev.join(gone, ev["association_id"] == F.col("_gone"), "left_anti")

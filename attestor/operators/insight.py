@@ -33,7 +33,7 @@ def related(evidence: DataFrame, documents: DataFrame, floor: int = 2, limit: in
     pairs = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.association_id") != F.col("b.association_id")))
     shared = pairs.groupBy(F.col("a.entity_id").alias("entity_id"), F.col("a.association_id").alias("association_id"), F.col("b.association_id").alias("other_id")).agg(F.count("*").alias("shared")).where(F.col("shared") >= floor)
     mine, other = size.withColumnRenamed("n", "mine"), size.select("entity_id", F.col("association_id").alias("other_id"), F.col("n").alias("documents"))
-    joined = shared.join(F.broadcast(mine), KEYS).join(F.broadcast(other), ["entity_id", "other_id"]).join(F.broadcast(total), "entity_id")
+    joined = shared.join(mine, KEYS).join(other, ["entity_id", "other_id"]).join(total, "entity_id")
     this, that = F.col("shared") / F.col("mine"), F.col("shared") / F.col("documents")
     lift = X.safe_div(F.col("shared"), X.safe_div(F.col("mine") * F.col("documents"), F.col("total")))
     rows = joined.select(
@@ -77,7 +77,7 @@ def retrieval_scores(classified: DataFrame) -> DataFrame:
     page = weighed.select("entity_id", "rank", "w").distinct().groupBy("entity_id").agg(F.sum("w").alias("total"))
     carried = weighed.where(F.col("association_id").isNotNull()).select("entity_id", "rank", "w", "association_id").distinct()
     return (
-        carried.groupBy(*KEYS).agg(F.sum("w").alias("w"), F.count("*").alias("results")).join(F.broadcast(page), "entity_id")
+        carried.groupBy(*KEYS).agg(F.sum("w").alias("w"), F.count("*").alias("results")).join(page, "entity_id")
         .select(*KEYS, X.half_up(F.col("w") / 10, 4).alias("weight"), X.half_up(F.col("w") / F.col("total") * 100, 1).alias("grs"), "results")
     )
 
@@ -247,7 +247,7 @@ def project_decay(scored: DataFrame, now: Column, half_life: float = 365.0, hori
 
 def plan_displacement(board: DataFrame, counts: DataFrame, target: float | None = None) -> DataFrame:
     """Documents without the association that would bring its current share to the target (a third of it by default)."""
-    j = board.join(F.broadcast(counts), "entity_id")
+    j = board.join(counts, "entity_id")
     share = X.safe_div(F.col("current_documents"), F.col("entity_documents"))
     aim = F.lit(target) if target is not None else share / 3
     state = F.when(F.col("current_documents") == 0, "none_to_displace").when(aim >= share, "at_target").when(share < 0.02, "too_few").otherwise("applicable")

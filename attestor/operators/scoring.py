@@ -106,7 +106,7 @@ def components(scores: DataFrame, documents: DataFrame, counts: DataFrame, now:
         total(relation * F.col("reliability") * weight * F.col("capped_weight")).alias("authority"), total(undecayed * decay).alias("current"),
         (F.sum("undecayed_micros") / MICRO).alias("historical"), total(relation * F.col("best_proximity") * weight).alias("mass"),
     )
-    joined = sums.join(F.broadcast(counts), "entity_id", "left") if counts is not None else sums.withColumn("entity_documents", F.lit(0))
+    joined = sums.join(counts, "entity_id", "left") if counts is not None else sums.withColumn("entity_documents", F.lit(0))
     corroboration = F.log1p("sources") if model.log_corroboration else F.col("sources")
     return joined.select(
         *KEYS, "documents", "domains", "raw_mentions", X.half_up(F.col("sources"), 3).alias("independent_sources"), X.half_up(corroboration, 4).alias("corroboration_raw"),
@@ -213,7 +213,7 @@ def leaderboard(documents: DataFrame, evidence: DataFrame, now: Column, window_d
     )
     past = past.select(*KEYS, F.col("pias").alias("historical_pias"), F.col("band").alias("historical_band"), F.col("corpus_share").alias("historical_corpus_share"))
     zero = {"current_pias": 0.0, "historical_pias": 0.0, "current_documents": 0, "current_domains": 0, "current_corpus_share": 0.0, "historical_corpus_share": 0.0, "current_association_share": 0.0, "current_band": "marginal", "historical_band": "marginal"}
-    joined = life.join(now_part, KEYS, "left").join(past, KEYS, "left").fillna(zero).join(F.broadcast(lifetime_docs), "entity_id")
+    joined = life.join(now_part, KEYS, "left").join(past, KEYS, "left").fillna(zero).join(lifetime_docs, "entity_id")
     moved = momentum(scores, now).select(*KEYS, F.col("bucket").alias("momentum"))
     return joined.join(moved, KEYS).select(
         *KEYS, "pias", "band", "current_pias", "current_band", "historical_pias", "historical_band", "documents", "domains", "raw_mentions", "independent_sources", "authority_evidence",

@@ -66,7 +66,7 @@ def surfaces(classified: DataFrame, signals: DataFrame, labels: DataFrame) -> Da
     organic = classified.where("rank <= 10 AND association_id IS NOT NULL").groupBy(*KEYS).agg(F.countDistinct("rank").alias("organic"))
     named = match_by_text(signals.select("entity_id", F.struct("surface", F.xxhash64("text").alias("k")).alias("rank"), F.col("text").alias("title")), labels)
     seen = named.groupBy(*KEYS).agg(*(F.max(F.col("rank.surface") == s).alias(s) for s in ("related", "questions", "stories", "panel")))
-    joined = labels.select(*KEYS).join(organic, KEYS, "left").join(seen, KEYS, "left").join(F.broadcast(page), "entity_id")
+    joined = labels.select(*KEYS).join(organic, KEYS, "left").join(seen, KEYS, "left").join(page, "entity_id")
     return joined.select(*KEYS, X.half_up(X.safe_div(F.coalesce("organic", F.lit(0)), F.col("results")), 4).alias("organic_share"), *(F.coalesce(s, F.lit(False)).alias(s) for s in ("related", "questions", "stories", "panel")))
 
 

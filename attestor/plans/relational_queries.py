@@ -139,7 +139,7 @@ def scalar_subqueries(spark, sf):
     n = t(spark, sf, "nation").select("n_nationkey")
     c = t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
     s = t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
-    return n.join(F.broadcast(c), "n_nationkey", "left").join(F.broadcast(s), "n_nationkey", "left").fillna(0)
+    return n.join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").fillna(0)
 
 
 @query("c20_asof_prior", "SELECT e.event_id, p.event_id AS prior_id FROM events e ASOF JOIN events p ON e.user_id = p.user_id AND p.ts < e.ts WHERE e.event_type = 'purchase'")

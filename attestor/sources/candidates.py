@@ -10,7 +10,7 @@ import ipaddress
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as Ty
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as Ty
 
 from attestor.functions import exprs as X
 from attestor.functions.html import host_of
@@ -98,8 +98,9 @@ def phrase_trends(documents: DataFrame, granularity: str, now: Column) -> DataFr
 def content_summary(documents: DataFrame, facet: str, top: int = 10) -> DataFrame:
     """The largest groups of a facet and their shares."""
     counts = documents.groupBy(facet).agg(F.count("*").alias("documents"))
-    total = F.sum("documents").over(Window.partitionBy())
-    return counts.withColumn("share", X.half_up(F.col("documents") / total, 4)).orderBy(F.desc("documents"), facet).limit(top)
+    total = documents.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))  # one row
+    best = counts.orderBy(F.desc("documents"), facet).limit(top).withColumn("_one", F.lit(1))
+    return best.join(F.broadcast(total), "_one").select(facet, "documents", X.half_up(F.col("documents") / F.col("total"), 4).alias("share"))
 
 
 @F.pandas_udf(Ty.BooleanType())
