@@ -95,21 +95,25 @@ def entity_documents(documents: DataFrame, since: Column | None = None, until: C
 
 
 def components(scores: DataFrame, documents: DataFrame, counts: DataFrame, now: Column, half_life: float | None = None, model: Model = DEFAULT) -> DataFrame:
-    """One row per (entity, association) of the given document scores; counts: entity_id, entity_documents."""
+    """One row per (entity, association) of the given document scores; counts: entity_id, entity_documents.
+
+    If the scores have a column ``window``, one row per window too, and counts are per window.
+    """
+    split = ["window"] if "window" in scores.columns else []
     domains = documents.select("document_id", "root_domain")
     decay = X.recency(F.col("effective_date"), now, half_life, model)
     total = lambda c: X.unscaled(F.sum(X.scaled(c)))
     weight, relation = F.col("independence"), F.col("max_relationship")
     undecayed = F.col("undecayed_micros") / MICRO
-    sums = scores.join(domains, "document_id").groupBy(*KEYS).agg(
+    sums = scores.join(domains, "document_id").groupBy(*KEYS, *split).agg(
         F.count("*").alias("documents"), F.countDistinct("root_domain").alias("domains"), F.sum("raw_mentions").alias("raw_mentions"), total(weight).alias("sources"),
         total(relation * F.col("reliability") * weight * F.col("capped_weight")).alias("authority"), total(undecayed * decay).alias("current"),
         (F.sum("undecayed_micros") / MICRO).alias("historical"), total(relation * F.col("best_proximity") * weight).alias("mass"),
     )
-    joined = sums.join(counts, "entity_id", "left") if counts is not None else sums.withColumn("entity_documents", F.lit(0))
+    joined = sums.join(counts, ["entity_id", *split], "left") if counts is not None else sums.withColumn("entity_documents", F.lit(0))
     corroboration = F.log1p("sources") if model.log_corroboration else F.col("sources")
     return joined.select(
-        *KEYS, "documents", "domains", "raw_mentions", X.half_up(F.col("sources"), 3).alias("independent_sources"), X.half_up(corroboration, 4).alias("corroboration_raw"),
+        *KEYS, *split, "documents", "domains", "raw_mentions", X.half_up(F.col("sources"), 3).alias("independent_sources"), X.half_up(corroboration, 4).alias("corroboration_raw"),
         X.half_up(F.col("authority"), 4).alias("authority_evidence"), X.half_up(F.col("current"), 4).alias("current_evidence"), X.half_up(F.col("historical"), 4).alias("historical_evidence"),
         X.half_up(X.safe_div(F.col("current"), F.col("historical")), 4).alias("recency_ratio"), X.half_up(X.safe_div(F.col("mass"), F.col("sources")), 4).alias("relationship_quality"),
         X.half_up(X.safe_div(F.col("documents"), F.col("entity_documents")), 4).alias("corpus_share"),
@@ -118,7 +122,7 @@ def components(scores: DataFrame, documents: DataFrame, counts: DataFrame, now:
 
 def pias(parts: DataFrame, model: Model = DEFAULT) -> DataFrame:
     """components() with the five parts, each within the entity's largest, and their weighted sum."""
-    w, entity = model["pias"], Window.partitionBy("entity_id")
+    w, entity = model["pias"], Window.partitionBy("entity_id", *(["window"] if "window" in parts.columns else []))
     within = lambda c: X.normalise_within(F.col(c), F.max(c).over(entity))
     scored = parts.select(
         "*", within("corroboration_raw").alias("p_corroboration"), within("authority_evidence").alias("p_authority"), (X.clamp(F.col("recency_ratio")) * 100).alias("p_recency"),
@@ -201,19 +205,25 @@ def leaderboard(documents: DataFrame, evidence: DataFrame, now: Column, window_d
     window_start = X.days_before(now, window_days) if window_days else None
     current_start = cutoff if cutoff is not None else X.days_before(now, model.current_window_days)
     inside = scores.where(_since(F.col("effective_date"), window_start, None))
-    current, historical = split_windows(inside, current_start)
-    lifetime_docs, current_docs, historical_docs = entity_documents(documents, window_start), entity_documents(documents, current_start), entity_documents(documents, window_start, current_start)
-    life = pias(components(inside, documents, lifetime_docs, now, half_life, model), model)
-    now_part = pias(components(current, documents, current_docs, now, half_life, model), model)
-    past = pias(components(historical, documents, historical_docs, now, half_life, model), model)
-    mass = F.sum("historical_evidence").over(Window.partitionBy("entity_id"))
-    now_part = now_part.select(
-        *KEYS, F.col("pias").alias("current_pias"), F.col("band").alias("current_band"), F.col("documents").alias("current_documents"), F.col("domains").alias("current_domains"),
-        F.col("corpus_share").alias("current_corpus_share"), X.half_up(X.safe_div(F.col("historical_evidence"), mass), 4).alias("current_association_share"),
+    is_current = F.coalesce(F.col("effective_date") >= current_start, F.lit(False))
+    windows = {"life": (window_start, None), "current": (current_start, None), "past": (window_start, current_start)}
+    counts = None
+    for name, (since, until) in windows.items():
+        one = entity_documents(documents, since, until).withColumn("window", F.lit(name))
+        counts = one if counts is None else counts.unionByName(one)
+    # every score counts for the lifetime and for one of the other windows: one aggregation for all three
+    tagged = inside.withColumn("window", F.explode(F.array(F.lit("life"), F.when(is_current, "current").otherwise("past"))))
+    scored = pias(components(tagged, documents, counts, now, half_life, model), model)
+    of = lambda window, column, name: F.max(F.when(F.col("window") == window, F.col(column))).alias(name)
+    life = ("pias", "band", "documents", "domains", "raw_mentions", "independent_sources", "authority_evidence", "corpus_share", "recency_ratio")
+    board = scored.groupBy(*KEYS).agg(
+        *(of("life", c, c) for c in life), *(of("current", c, f"current_{c}") for c in ("pias", "band", "documents", "domains", "corpus_share")), of("current", "historical_evidence", "current_mass"),
+        *(of("past", c, f"historical_{c}") for c in ("pias", "band", "corpus_share")),
     )
-    past = past.select(*KEYS, F.col("pias").alias("historical_pias"), F.col("band").alias("historical_band"), F.col("corpus_share").alias("historical_corpus_share"))
+    mass = F.sum("current_mass").over(Window.partitionBy("entity_id"))
     zero = {"current_pias": 0.0, "historical_pias": 0.0, "current_documents": 0, "current_domains": 0, "current_corpus_share": 0.0, "historical_corpus_share": 0.0, "current_association_share": 0.0, "current_band": "marginal", "historical_band": "marginal"}
-    joined = life.join(now_part, KEYS, "left").join(past, KEYS, "left").fillna(zero).join(lifetime_docs, "entity_id")
+    shared = board.withColumn("current_association_share", X.half_up(X.safe_div(F.col("current_mass"), mass), 4)).fillna(zero)
+    joined = shared.join(entity_documents(documents, window_start), "entity_id")
     moved = momentum(scores, now).select(*KEYS, F.col("bucket").alias("momentum"))
     return joined.join(moved, KEYS).select(
         *KEYS, "pias", "band", "current_pias", "current_band", "historical_pias", "historical_band", "documents", "domains", "raw_mentions", "independent_sources", "authority_evidence",
