@@ -113,8 +113,8 @@ def likeliest_jaccard(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b:
 
 
 def sketches(docs: DataFrame, sketch: Sketch, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: its id, the size and digest of its set, its registers and its band keys."""
-    slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
+    """One row per row of docs: its id, the digest of its text, the size and digest of its set, its registers and its band keys."""
+    slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"), _digest(docs[text_column]).alias("digest"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,11 +127,16 @@ def sketches(docs: DataFrame, sketch: Sketch, id_column: str = "doc_id", text_co
         digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets, offsets[1:])]
         flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, sketch.bands, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
         return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary()), flat],
-            names=["doc_id", "n_shingles", "class", "registers", "bands"],
+            [part.column(0), part.column(2), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary()), flat],
+            names=["doc_id", "digest", "n_shingles", "class", "registers", "bands"],
         )
 
-    return map_chunks(slim, rows, f"doc_id {kind}, n_shingles long, class binary, registers binary, bands array<long>")
+    return map_chunks(slim, rows, f"doc_id {kind}, digest binary, n_shingles long, class binary, registers binary, bands array<long>")
+
+
+def _digest(text):
+    """Of a text as it stands: with the id it names a row, which the id alone does not where it is null or repeated."""
+    return F.unhex(F.md5(text))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
@@ -329,13 +334,14 @@ def _packed(i, j, names, wide):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["ka", "kb", "a", "bs"])
 
 
-def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+def _grouped(docs: DataFrame, sketch: Sketch, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """sketches() of docs, and of every class (class, least, root): its row with the least id and its component."""
     slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     rows = keep(sketches(slim, sketch), "sketches")
     full = rows.where("class IS NOT NULL")
-    # the row that speaks for a class: of all documents with that set the one with the least id
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands"))
+    # the row that speaks for a class: of all documents with that set the one with the least id, nulls last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("least")
+    classes = full.groupBy("class").agg(least, F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands"))
     classes = keep(classes, "classes")
     buckets = classes.select("class", F.posexplode("bands").alias("band", "key"))
     hubs = buckets.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("class", "band").alias("order"), F.col("class").alias("hub"))).alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "key", "least.hub")
@@ -355,23 +361,33 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch(), id_column: str =
     drop(left)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    named = classes.select("class", "doc_id").join(labels.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows, classes.select("class", "least").join(labels.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+    rows, named = _grouped(docs, sketch, id_column, text_column)
+    ids = named.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
     found = rows.select("doc_id", "n_shingles", "class").join(named.select("class", "root").join(ids, "root").select("class", "component_id"), "class", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def _with_text(classes: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The classes that occur in pairs, with the text of one of their documents."""
+    """The classes that occur in pairs, with the text of the row that speaks for them."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    found = classes.join(wanted, "class", "left_semi").select("class", "doc_id")
-    texts = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"])).select("class", "text")
+    found = classes.join(wanted, "class", "left_semi").select("class", "least.doc_id", "least.digest")
+    texts = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]) & (_digest(docs["text"]) == found["digest"])).select("class", "text")
     return keep(texts.groupBy("class").agg(F.max("text").alias("text")), "texts")
 
 
 def drop_copies(docs: DataFrame, sketch: Sketch = Sketch(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group, the one with the least id, with all columns; of rows with equal id and text, one."""
-    kept = near_duplicates(docs, sketch, id_column, text_column).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, docs[id_column].eqNullSafe(kept["_kept"]), "left_semi")
+    """One document of each group, the one with the least id, with all columns; of rows with equal id and text, one.
+
+    Rows are told apart by id and text: of a group whose least id is null or stands on several texts, one text is left.
+    """
+    rows, named = _grouped(docs, sketch, id_column, text_column)
+    least = named.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.digest")
+    kept = least.union(rows.where("class IS NULL").select("doc_id", "digest").distinct()).toDF("_kept", "_digest")
+    left = docs.join(kept, docs[id_column].eqNullSafe(kept["_kept"]) & _digest(docs[text_column]).eqNullSafe(kept["_digest"]), "left_semi")
     repeated = docs.groupBy(id_column).count().where("count > 1").limit(1).count()
     return left.dropDuplicates([id_column, text_column]) if repeated else left

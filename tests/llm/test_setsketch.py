@@ -1,6 +1,6 @@
 import numpy as np
 
-from attestor.llm.setsketch import Sketch, likeliest_jaccard, near_duplicates, registers
+from attestor.llm.setsketch import Sketch, drop_copies, likeliest_jaccard, near_duplicates, registers
 from attestor.operators.graph import components
 
 from tests.llm.cases import LOWER, SPACE_WORD, clashing, edge_docs, empty_docs
@@ -64,6 +64,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(21)) and all(got[i] == 100 for i in range(100, 130))
 
 
+def shared_id_rows():
+    """Two null ids and one repeated id, each on two texts of different sets, and near copies of all of them."""
+    texts = {x: [f"{x}{i}" for i in range(60)] for x in "abcd"}
+    near = lambda x, k: " ".join([*texts[x][:-k], *(f"{x}z{k}{i}" for i in range(k))])
+    rows = [(None, " ".join(texts["a"])), (None, " ".join(texts["b"])), (None, near("a", 1)), (None, near("b", 2)), (7, " ".join(texts["c"])), (7, " ".join(texts["d"])), (7, near("c", 1)), (8, near("d", 1)), (9, near("c", 2)), (10, near("d", 2))]
+    return rows + [(11, None), (11, None), (None, "")]
+
+
+def test_null_and_repeated_ids_are_compared_by_their_own_texts(spark):
+    check(spark.createDataFrame(shared_id_rows(), "doc_id long, text string"), Sketch(words=2))
+
+
+def test_one_row_of_each_group_is_left_where_ids_are_null_or_repeated(spark):
+    left = drop_copies(spark.createDataFrame(shared_id_rows(), "doc_id long, text string"), Sketch(words=2)).collect()
+    groups = sorted((str(r.doc_id), r.text[0]) for r in left if r.text)
+    assert groups == [("7", "c"), ("7", "d"), ("None", "a"), ("None", "b")]
+    assert sorted(str(r.doc_id) for r in left if not r.text) == ["11", "None"]
+
+
 def test_likelihood_estimates_similarity():
     rng = np.random.default_rng(0)
     sketch = Sketch(words=2, bands=256)
