@@ -34,11 +34,15 @@ COLUMNS = (
 @dataclass(frozen=True)
 class Limits:
     """A text is rejected if its repeats of min_words words or more cover over max_covered of its words, or one
-    of them is longer than max_longest words."""
+    of them is longer than max_longest words.
+
+    Each covered word also counts for the base rule, so max_covered decides only below that rule's half.  Of sf0.1's 8,884
+    documents that pass the base rule, 0.247 is the most covered (0.182 of those labelled good) and 13 words the longest.
+    """
 
     min_words: int = 10
-    max_covered: float = 0.5
-    max_longest: int = 400
+    max_covered: float = 0.25
+    max_longest: int = 100
 
 
 def repeats(keys: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -64,5 +64,23 @@ def test_repeats_over_the_limits_are_rejected(spark):
     assert got[2].longest_repeat == 0 and got[2].kept
 
 
+def test_covered_words_alone_reject(spark):
+    block, rest = ([f"{c}{i}" for i in range(n)] for c, n in (("u", 90), ("v", 420)))
+    long, other = ([f"{c}{i}" for i in range(n)] for c, n in (("u", 170), ("v", 360)))
+    short, more = ([f"{c}{i}" for i in range(n)] for c, n in (("u", 40), ("v", 420)))
+    rows = [(1, " ".join(block + rest + block)), (2, " ".join(long + other + long)), (3, " ".join(short + more + short))]
+    got = {r.doc_id: r for r in measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].covered_words, got[1].longest_repeat, got[1].base_failed, got[1].kept) == (180, 90, False, False)
+    assert got[1].longest_repeat <= Limits().max_longest
+    assert (got[2].covered_words, got[2].base_failed, got[2].kept) == (340, False, False)
+    assert got[3].covered_words == 80 and got[3].kept
+
+
+def test_clean_documents_stay(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = measure(docs).where("NOT base_failed").join(labels.where("quality = 1"), "doc_id")
+    assert found.count() > 0 and found.where("NOT kept").count() == 0
+
+
 def test_empty_table(spark):
     assert measure(empty_docs(spark)).count() == 0
