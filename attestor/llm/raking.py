@@ -5,6 +5,10 @@ dimension's values match the target shares; a cell's weight is raked tokens over
 probability min(1, s * weight), s set so that the expected tokens are ``keep_tokens`` of all, and its draw is a hash
 of its id, so the same documents are drawn again on any cluster.
 
+Where s * weight passes 1 a cell gives all it has and stays short of its raked tokens, so the sample's marginals lie
+between the documents' own and the targets.  Without ``keep_tokens`` s is 1 / the greatest weight: the largest sample
+whose expected marginals are the targets.
+
 Cells are few (products of category values) and are counted before anything is read to the driver; beyond
 ``most_cells`` the same fitting runs as DataFrame aggregations.
 
@@ -33,7 +37,8 @@ class Mix:
     dimensions: tuple[str, ...] = ("source", "lang", "topic")
     #: Without given targets a dimension's target shares are its own shares to this power, made to sum to 1.
     flatten: float = 0.7
-    keep_tokens: float = 0.85
+    #: Expected share of the tokens; None: as many as leave the raked marginals whole.
+    keep_tokens: float | None = 0.85
     seed: str = "mix"
     most_cells: int = 200_000
     tolerance: float = 1e-9
@@ -101,7 +106,11 @@ def cell_weights(cells: DataFrame, mix: Mix, targets: Mapping[str, Mapping[str,
     fitted = rake(tokens, codes, wanted, mix.rounds, mix.tolerance)
     weight = np.divide(fitted, tokens, out=np.ones(len(tokens)), where=tokens > 0)
     frame["weight"] = weight
-    frame["probability"] = np.minimum(1.0, weight * min(scale_for(tokens, weight, mix.keep_tokens * tokens.sum()), 1e300))
+    if mix.keep_tokens is None:
+        scale = 1.0 / max(weight[tokens > 0].max(initial=0.0), 1e-300)
+    else:
+        scale = min(scale_for(tokens, weight, mix.keep_tokens * tokens.sum()), 1e300)
+    frame["probability"] = np.minimum(1.0, weight * scale)
     schema = ", ".join([*(f"`{d}` string" for d in dims), "weight double, probability double"])
     return spark.createDataFrame(frame[[*dims, "weight", "probability"]].values.tolist(), schema)
 
@@ -131,6 +140,9 @@ def _cell_weights_distributed(cells: DataFrame, mix: Mix, targets: Mapping[str,
         if worst <= mix.tolerance:
             break
     weighed = keep(fitted.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(1.0)), "weights")
+    if mix.keep_tokens is None:
+        most = weighed.where("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
+        return weighed.select(*dims, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(most)).alias("probability"))
     low, high, wanted = 0.0, 1e9, mix.keep_tokens * total
     for _ in range(60):  # the scale is found by bisection of the expected tokens
         mid = (low * high) ** 0.5 if low else high / 2

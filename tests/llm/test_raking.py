@@ -38,6 +38,27 @@ def test_distributed_fitting_agrees(spark):
         assert abs(near[k].weight - far[k].weight) < 1e-4 and abs(near[k].probability - far[k].probability) < 1e-4
 
 
+def test_sample_without_a_wanted_share_has_the_target_marginals(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = with_probabilities(docs, Mix(keep_tokens=None)).collect()
+    total, kept = sum(r._tokens for r in got), sum(r._tokens * r._probability for r in got)
+    assert max(r._probability for r in got if r._tokens) > 1 - 1e-9
+    for d in ("source", "lang", "_topic"):
+        own, have = {}, {}
+        for r in got:
+            own[r[d]] = own.get(r[d], 0) + r._tokens / total
+            have[r[d]] = have.get(r[d], 0) + r._tokens * r._probability / kept
+        aim = {k: v**0.7 for k, v in own.items()}
+        assert all(abs(have[k] - aim[k] / sum(aim.values())) < 1e-6 for k in have)
+
+
+def test_distributed_sample_without_a_wanted_share_agrees(spark):
+    rows = [(f"s{i % 3}", f"l{i % 2}", f"t{i // 6}", 100 + 37 * i) for i in range(12)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    near, far = ({tuple(r)[:3]: r.probability for r in cell_weights(cells, Mix(keep_tokens=None, tolerance=1e-6, most_cells=n)).collect()} for n in (100, 0))
+    assert near.keys() == far.keys() and all(abs(near[k] - far[k]) < 1e-4 for k in near)
+
+
 def test_sampling_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = with_probabilities(docs).collect()
