@@ -48,8 +48,6 @@ ORDERS = 6
 class Model:
     #: log2 of the slots of each context's table.
     slots: tuple[int, ...] = (16, 18, 20, 21, 21, 21)
-    #: Words seen this often or more also train the two longest contexts.
-    often: int = 4
     frequent: int = 64
     states: int = 8
     chunk_bytes: int = 12 << 20
@@ -481,13 +479,8 @@ def _counters(pairs: DataFrame, learned: Learned, model: Model) -> list[np.ndarr
             for a, b in _word_steps(first, 1 << 16):
                 bit, _, owner, slots = decisions(data[first[a] : first[b]], first[a : b + 1] - first[a], states[a:b], shared.value, model)
                 weight = counts[a:b][owner]
-                long = weight >= model.often
                 for k, s in enumerate(slots):
-                    cell = s * 2 + bit
-                    if k < ORDERS - 2:
-                        np.add.at(tables[k], cell, weight)
-                    else:
-                        np.add.at(tables[k], cell[long], weight[long])
+                    np.add.at(tables[k], s * 2 + bit, weight)
         for k, t in enumerate(tables):
             for at in range(0, len(t), 2 * span):
                 used = np.flatnonzero(part := t[at : at + 2 * span])
@@ -524,16 +517,12 @@ def _fitted(pairs: DataFrame, tables, learned: Learned, model: Model) -> Learned
             for a, b in _word_steps(first, 12 * model.step_words):
                 bit, at, owner, slots = decisions(data[first[a] : first[b]], first[a : b + 1] - first[a], states[a:b], learned, model)
                 times = counts[a:b][owner].astype(np.float64)
-                long = times >= model.often
                 values, seen = [], []
                 for k, s in enumerate(slots):
                     code = tables[k][s]
                     own = code.astype(np.int64) + (bit.astype(np.int64) << 16)
-                    less, left = luts.less[own], luts.left[own]  # without its own occurrence
-                    if k >= ORDERS - 2:  # rare words are not counted there
-                        less, left = np.where(long, less, luts.plain[code]), np.where(long, left, code != 0)
-                    values.append(less)
-                    seen.append(left)
+                    values.append(luts.less[own])  # without its own occurrence
+                    seen.append(luts.left[own])
                 gate = gated(values, seen, at)
                 logit = mixed(values, gate, weights)
                 p = 1 / (1 + np.exp(-logit))

@@ -63,6 +63,12 @@ def test_scores_do_not_depend_on_chunks(spark):
     assert all(one[k] == pytest.approx(two[k], rel=1e-3) for k in one)
 
 
+def test_a_word_seen_once_counts_in_all_contexts(spark):
+    row = (0, bytearray(b"ab "), bytearray(M._ints(np.array([3]))), bytearray(M._ints(np.array([0]))), bytearray(M._ints(np.array([1]))))
+    pairs = spark.createDataFrame([row], "r long, data binary, lengths binary, states binary, counts binary")
+    assert all(t.any() for t in M._counters(pairs, M.prefix_code(np.ones(256)), SMALL))
+
+
 def test_count_codes_are_exact_when_small_and_near_when_large():
     for n in (0, 1, 7, 63):
         assert M._LEVELS[M.encode_counts(np.array([n]), np.array([0]))[0] & 255] == n
