@@ -1,27 +1,30 @@
 """Language-model scores by logistic context mixing.
 
 Text model: a text is its lower-cased words, each closed by a blank, and one end mark.  Bytes are spelled as the binary
-decisions of a prefix code fitted to the training bytes.  For every decision six contexts (the last 1, 2, 3, 4 and 6
-bytes of the word and the whole word so far, all but the fifth along with the document's state) are hashed to slots
-of counters.  A gate, the longest context with evidence together with the place in the code, picks the weights by which
-the predictors' logits are added; an adaptive map per gate then refines the mixed probability.  The state is causal:
+decisions of a prefix code fitted to the training bytes.  For every decision seven contexts are hashed to slots of counters:
+the last 1, 2, 3, 4 and 6 bytes of the word, and the whole word so far, alone and with the document's state (the first four
+have the state too).  A gate, the longest context with evidence together with the place in the code, picks the weights by
+which the predictors' logits are added; an adaptive map per gate then refines the mixed probability.  The state is causal:
 the cluster of the last frequent word before the token, so it follows a document's language or subject.
 
 Learning, over all training documents:
 1. each task splits its texts into chunks and stores every chunk once: words, and tokens as word numbers;
-2. chunks' word counts are added up by hash range; the frequent words come from these sums, and their transitions,
-   counted over all chunks, are clustered into states;
-3. chunks' (state, word) counts are added up by hash range, and each range adds its bytes to the counters;
+2. the frequent words are found from the chunks' own most frequent ones; their transitions, counted over all chunks, are
+   clustered into states;
+3. chunks' (state, word) counts meet in ranges.  Words that begin alike meet in one range (a beginning that too many words
+   share is split by a longer one), so the counters of the whole word so far are the range's own, and their number grows
+   with the words of the corpus.  The counters of the last bytes are added up over all ranges into tables of fixed size;
 4. weights and refinement are learned online, range by range, by gradient steps over the words in hashed order, with each
    decision's own occurrence taken out of its counters; ranges are averaged by their tokens (parameter mixing);
-5. chunks are scored: each distinct (state, word) of a chunk once, then summed per document.
+5. each range scores its (state, word) pairs once and answers the chunks, which add up their documents.
 
-Broadcast data have fixed sizes: counters (two bytes a slot, ``slots``), weights, code, frequent words and states.  Counts
-of words travel by hash range, never to the driver.
+Broadcast data have fixed sizes: the shared counters (two bytes a slot, ``slots``), weights, code, frequent words, states and
+the bit table of long shared beginnings.  Counts of words travel by range, never to the driver.
 
 Defined results: null and empty texts are the end mark alone; a null id counts as the empty text's checksum (training);
 without training documents the counters are empty, N = V = 0, and base_score of a known-free token is log10(0.5 / 0.5) = 0;
-repeated rows are each learned and scored; an empty table gives an empty result.
+repeated rows are each learned and scored, rows with one id and different texts too; a very long text is a chunk of its own
+and a very long word is spelled whole; other columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,26 +37,37 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attestor.llm.frames import drop, keep, map_chunks, rows_per_batch
-from attestor.llm.text import Texts, mix, space_words, word_hashes
+from attestor.llm.text import Texts, Words as Spans, mix, space_words, word_hashes
 
 END = b"\n"
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-ORDERS = 6
+#: A chunk's words that may become frequent words.
+_CANDIDATES = 512
+SHARED = 5
+ORDERS = SHARED + 2
+#: Lengths of the beginnings by which words are dealt to ranges; after the last the whole word decides.
+LEVELS = (3, 6, 12, 24, 48)
 
 
 @dataclass(frozen=True)
 class Model:
-    #: log2 of the slots of each context's table.
-    slots: tuple[int, ...] = (16, 18, 20, 21, 21, 21)
+    #: log2 of the slots of the tables that all ranges share, by context.
+    slots: tuple[int, ...] = (16, 18, 20, 20, 20)
+    #: log2 of the slots of each of a range's own tables.
+    own_slots: int = 20
     frequent: int = 64
     states: int = 8
-    chunk_bytes: int = 12 << 20
-    #: Chunks whose words meet in one range.
-    fan_in: int = 6
-    step_words: int = 512
+    chunk_bytes: int = 4 << 20
+    #: Words, counted once a chunk, that meet in one range, about.
+    range_words: int = 1 << 16
+    #: log2 of the bits of the table of beginnings that are split.
+    split_bits: int = 22
+    #: Bytes learned from in one gradient step, and scored at a time.
+    step_bytes: int = 6 << 10
     rate: float = 0.02
     smooth: float = 0.4
 
@@ -141,49 +155,85 @@ def prefix_code(counts: np.ndarray) -> Learned:
 # ---- contexts -------------------------------------------------------------------------------------------------
 
 
-def decisions(data: np.ndarray, first: np.ndarray, states: np.ndarray, learned: Learned, model: Model):
-    """Of spelled words data[first[i]:first[i + 1]] in the given states: each decision's bit, place, word and slots."""
-    n = len(data)
-    length = np.diff(first)
-    owner = np.repeat(np.arange(len(length)), length)
-    place = np.arange(n) - np.repeat(first[:-1], length)
-    state = (states[owner].astype(np.uint64) + np.uint64(1)) << np.uint64(56)
-    backs = []
-    for k in range(1, 7):
-        back = np.zeros(n, np.uint64)
-        back[k:] = data[:-k] if k < n else 0
-        back[place < k] = 0
-        backs.append(back)
-    keys, run = [], np.zeros(n, np.uint64)
-    for k, back in enumerate(backs):
-        run |= back << np.uint64(8 * k)
-        if k < 4:
-            keys.append(run | state)
-    keys.append(run | np.uint64(1 << 55))
-    powers = np.cumprod(np.full(n, _R)) if n else np.empty(0, np.uint64)
-    inverse = np.cumprod(np.full(n, _RI)) if n else np.empty(0, np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * inverse)])
-    # the word so far, before this byte; scaled so that it does not depend on where the word lies
-    prefix = (total[:-1] - total[np.repeat(first[:-1], length)]) * powers
-    keys.append(mix(prefix) ^ state)
-    bits_of = learned.code_bits[data]
-    row = np.repeat(np.arange(n), bits_of)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(bits_of) - bits_of, bits_of)
-    symbol = data[row]
-    bit, node = learned.code[symbol, at], learned.nodes[symbol, at].astype(np.uint64)
-    salt = mix(node + np.uint64(1))
-    slots = []
-    for k in range(ORDERS):
-        key = mix(keys[k] * _R + np.uint64(k))
-        slots.append(((key[row] ^ salt) * _R >> np.uint64(64 - model.slots[k])).astype(np.int64))
-    return bit, at, owner[row], slots
+@dataclass
+class Words:
+    """Distinct (state, word) pairs, spelled end to end: pair i is data[first[i]:first[i + 1]].
+
+    ``level`` tells by which of LEVELS the pair was dealt; from that place on its range holds all words that begin alike."""
+
+    data: np.ndarray
+    first: np.ndarray
+    states: np.ndarray
+    level: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Words:
+        codes = _read(row["codes"])
+        return cls(np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(_read(row["lengths"]))]), codes >> 3, codes & 7)
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def take(self, which: np.ndarray) -> Words:
+        n = np.diff(self.first)[which]
+        first = np.concatenate([[0], np.cumsum(n)])
+        return Words(self.data[np.repeat(self.first[:-1][which] - first[:-1], n) + np.arange(first[-1])], first, self.states[which], self.level[which])
+
+    def packed(self) -> dict:
+        return {"data": [self.data.tobytes()], "lengths": [_ints(np.diff(self.first))], "codes": [_ints(self.states << 3 | self.level)]}
+
+    def beginnings(self, length: int | None, which: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``length`` bytes of some words."""
+        start, end = self.first[:-1][which], self.first[1:][which]
+        return word_hashes(Texts(np.concatenate([self.data, np.zeros(8, np.uint8)]), self.first[[0, -1]]), Spans(start, end if length is None else np.minimum(end, start + length), which))
+
+
+def decisions(words: Words, learned: Learned, model: Model, size: int, orders=range(ORDERS)):
+    """By steps of ``size`` bytes, within long words too: each decision's bit, place, word, slots (of the given contexts), and
+    whether the range's own contexts may be asked."""
+    data, first = words.data, words.first
+    least = np.array([*LEVELS, 2**62])[words.level]  # words dealt as a whole share no range with those that begin alike
+    carry = np.zeros(1, np.uint64)
+    for a in range(0, len(data), size):
+        part = data[a : a + size]
+        n = len(part)
+        inside = np.arange(a, a + n)
+        whose = np.searchsorted(first, inside, side="right") - 1
+        place = inside - first[whose]
+        state = (words.states[whose].astype(np.uint64) + np.uint64(1)) << np.uint64(56)
+        lead = data[max(0, a - 6) : a]
+        behind = np.concatenate([np.zeros(6 - len(lead), np.uint8), lead, part]).astype(np.uint64)
+        keys, run = [], np.zeros(n, np.uint64)
+        for k in range(6):
+            run |= np.where(place > k, behind[5 - k : 5 - k + n], np.uint64(0)) << np.uint64(8 * k)
+            if k < 4:
+                keys.append(run | state)
+        keys.append(run | np.uint64(1 << 55))
+        # the word so far, before this byte: each byte in turn is added and the sum multiplied
+        powers, inverse = np.cumprod(np.full(n, _R)), np.cumprod(np.full(n, _RI))
+        total = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * inverse)])
+        begin = np.maximum(inside - place - a, 0)
+        prefix = (total[:-1] - total[begin]) * powers
+        old = inside - place < a  # bytes of a word that began before this step
+        prefix[old] += carry * powers[old] * _RI
+        carry = (prefix[-1:] + part[-1:].astype(np.uint64) + np.uint64(1)) * _R
+        keys += [mix(prefix), mix(prefix) ^ state]
+        bits_of = learned.code_bits[part]
+        row = np.repeat(np.arange(n), bits_of)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(bits_of) - bits_of, bits_of)
+        symbol = part[row]
+        bit, node = learned.code[symbol, at], learned.nodes[symbol, at].astype(np.uint64)
+        salt = mix(node + np.uint64(1))
+        widths = (*model.slots, model.own_slots, model.own_slots)
+        slots = [((mix(keys[k] * _R + np.uint64(k))[row] ^ salt) * _R >> np.uint64(64 - widths[k])).astype(np.int64) for k in orders]
+        yield bit, at, whose[row], slots, (place >= least[whose])[row]
 
 
 GATES = (ORDERS + 1) * 3
 _BUCKETS = 49
 
 
-def gated(values: list[np.ndarray], seen: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+def gated(seen: list[np.ndarray], at: np.ndarray) -> np.ndarray:
     """The gate of each decision: the longest context with evidence, and whether the code is at its 1st, 2nd or later bit."""
     longest = np.zeros(len(at), np.int64)
     for k, s in enumerate(seen):
@@ -213,24 +263,32 @@ def start_weights() -> np.ndarray:
     return weights
 
 
-def log10_words(data, first, states, tables, learned: Learned, model: Model, luts) -> np.ndarray:
-    """log10 probability of each spelled word."""
-    out = np.zeros(len(first) - 1)
+def own_tables(words: Words, counts: np.ndarray, learned: Learned, model: Model) -> list[np.ndarray]:
+    """The counters of a range's own contexts, two bytes a slot."""
+    sums = [np.zeros(2 << model.own_slots, np.int64) for _ in range(SHARED, ORDERS)]
+    for bit, _, owner, slots, own in decisions(words, learned, model, 1 << 15, range(SHARED, ORDERS)):
+        weight = counts[owner[own]]
+        for t, s in zip(sums, slots):
+            np.add.at(t, s[own] * 2 + bit[own], weight)
+    return [encode_counts(t[::2], t[1::2]) for t in sums]
+
+
+def _codes(tables: list[np.ndarray], slots: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
+    return [t[s] if k < SHARED else np.where(own, t[s], np.uint16(0)) for k, (t, s) in enumerate(zip(tables, slots))]
+
+
+def log10_words(words: Words, tables: list[np.ndarray], learned: Learned, model: Model, luts: Logits) -> np.ndarray:
+    """log10 probability of each spelled word; tables: the shared ones and the range's own."""
+    out = np.zeros(len(words))
     half, one, refine = np.float32(0.5), np.float32(1), learned.refine.astype(np.float32)
-    step = 1 << 14  # bytes at a time
-    cuts = [0]
-    while cuts[-1] < len(first) - 1:
-        cuts.append(min(len(first) - 1, max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + step, side="right")) - 1)))
-    for a, b in zip(cuts, cuts[1:]):
-        bit, at, owner, slots = decisions(data[first[a] : first[b]], first[a : b + 1] - first[a], states[a:b], learned, model)
-        codes = [t[s] for t, s in zip(tables, slots)]
-        values = [luts.plain[c] for c in codes]
-        gate = gated(values, [c != 0 for c in codes], at)
-        logit = mixed(values, gate, learned.weights)
+    for bit, at, owner, slots, own in decisions(words, learned, model, 1 << 14):
+        codes = _codes(tables, slots, own)
+        gate = gated([c != 0 for c in codes], at)
+        logit = mixed([luts.plain[c] for c in codes], gate, learned.weights)
         p = half / (one + np.exp(-logit)) + half * refine[bucket_of(logit, gate)]
-        out[a:b] = np.bincount(owner, np.log(np.where(bit == 1, p, one - p)), b - a)
-    out /= np.log(10)
-    return out
+        a, b = owner[0], owner[-1] + 1
+        out[a:b] += np.bincount(owner - a, np.log(np.where(bit == 1, p, one - p)), b - a)
+    return out / np.log(10)
 
 
 # ---- chunks ---------------------------------------------------------------------------------------------------
@@ -276,14 +334,16 @@ def _chunked(docs: DataFrame, model: Model) -> DataFrame:
         lengths = np.array([len(x) for x in spelled])
         data = np.frombuffer(b"".join(spelled), np.uint8)
         seen = np.bincount(data, np.repeat(counts, lengths), 256)
+        most = 1 + np.argsort(-counts[1:], kind="stable")[:_CANDIDATES]
         all_hashes = np.concatenate([[np.uint64(1)], mix(distinct)])
         cols = [
-            pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(part.schema.field(0).type)), pa.array([held.tolist()]), pa.array([_ints(first)]), pa.array([_ints(tokens & 0xFFFF)]), pa.array([_ints(tokens >> 16)]),
-            pa.array([data.tobytes()]), pa.array([_ints(lengths)]), pa.array([all_hashes.tobytes()]), pa.array([_ints(counts)]), pa.array([_ints(seen)]),
+            pa.array([uuid.uuid4().bytes]), pa.array([ids], pa.list_(part.schema.field(0).type)), pa.array([held.tolist()]), pa.array([_ints(first)]), pa.array([_ints(tokens & 0xFFFF)]), pa.array([_ints(tokens >> 16)]),
+            pa.array([data.tobytes()]), pa.array([_ints(lengths)]), pa.array([all_hashes.tobytes()]), pa.array([_ints(seen)]),
+            pa.array([len(spelled)]), pa.array([[{"hash": int(h), "c": int(c)} for h, c in zip(all_hashes[most].view(np.int64), counts[most]) if c]], pa.list_(pa.struct([("hash", pa.int64()), ("c", pa.int64())]))),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "held", "first", "low", "high", "data", "lengths", "hashes", "counts", "seen"])
+        return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "held", "first", "low", "high", "data", "lengths", "hashes", "seen", "words", "top"])
 
-    schema = f"chunk string, ids array<{kind}>, held array<boolean>, first binary, low binary, high binary, data binary, lengths binary, hashes binary, counts binary, seen binary"
+    schema = f"chunk binary, ids array<{kind}>, held array<boolean>, first binary, low binary, high binary, data binary, lengths binary, hashes binary, seen binary, words long, top array<struct<hash:long,c:long>>"
     return map_chunks(docs, rows, schema, limit=model.chunk_bytes)
 
 
@@ -316,39 +376,6 @@ def _dealt(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(ranges + 1))
 
 
-def _word_sums(chunks: DataFrame, ranges: int) -> DataFrame:
-    """By hash range: a row on the range's words (how many are known, their tokens, the most frequent), and for every chunk
-    that sent words the sums of these words over all training texts, in the order sent."""
-
-    def parts(batches):
-        for row in _rows(batches):
-            hashes, counts = np.frombuffer(row["hashes"], np.uint64), _read(row["counts"])
-            order, cut = _dealt(hashes, ranges)
-            for r, (a, b) in enumerate(zip(cut, cut[1:])):
-                if b > a:
-                    yield pa.RecordBatch.from_pydict({"r": [r], "chunk": [row["chunk"]], "hashes": [hashes[order[a:b]].tobytes()], "counts": [_ints(counts[order[a:b]])]})
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        hashes = np.concatenate([np.frombuffer(x["hashes"], np.uint64) for x in rows])
-        counts = np.concatenate([_read(x["counts"]) for x in rows])
-        words, which = np.unique(hashes, return_inverse=True)
-        total = np.bincount(which, counts, len(words)).astype(np.int64)
-        sizes = np.cumsum([0, *(len(x["hashes"]) // 8 for x in rows)])
-        replies = [_ints(total[which[a:b]]) for a, b in zip(sizes, sizes[1:])]
-        known = total > 0
-        top = np.argsort(-total[known], kind="stable")[:256]
-        none = [None] * len(rows)
-        return pa.table({
-            "r": pa.array([rows[0]["r"]] * (len(rows) + 1), pa.int64()), "chunk": pa.array([None, *(x["chunk"] for x in rows)], pa.string()), "sums": pa.array([None, *replies], pa.binary()),
-            "v": pa.array([int(known.sum()), *none], pa.int64()), "n": pa.array([int(total.sum()), *none], pa.int64()),
-            "top": pa.array([[{"hash": int(h), "c": int(c)} for h, c in zip(words[known][top].view(np.int64), total[known][top])], *none], pa.list_(pa.struct([("hash", pa.int64()), ("c", pa.int64())]))),
-        })
-
-    split = chunks.select("chunk", "hashes", "counts").mapInArrow(parts, "r long, chunk string, hashes binary, counts binary")
-    return split.groupBy("r").applyInArrow(add, "r long, chunk string, sums binary, v long, n long, top array<struct<hash:long,c:long>>")
-
-
 def _clusters(counts: np.ndarray, states: int) -> np.ndarray:
     """A cluster from 1 for each frequent word, by how they follow each other: k-means of smoothed transition rows."""
     n = len(counts)
@@ -410,77 +437,109 @@ def _pairs(row: dict, frequent: np.ndarray, clusters: np.ndarray):
     return first, which, distinct // words, distinct % words
 
 
-def _spelled(row: dict, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the chunk's given words end to end, and their offsets."""
-    data, lengths = np.frombuffer(row["data"], np.uint8), _read(row["lengths"])
-    starts = np.cumsum(lengths) - lengths
-    n = lengths[words]
-    first = np.concatenate([[0], np.cumsum(n)])
-    return data[np.repeat(starts[words] - first[:-1], n) + np.arange(first[-1])], first
+def _chunk_words(row: dict) -> Words:
+    lengths = _read(row["lengths"])
+    none = np.zeros(len(lengths), np.int64)
+    return Words(np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(lengths)]), none, none)
+
+
+def _split_beginnings(chunks: DataFrame, total: int, n_chunks: int, model: Model) -> np.ndarray:
+    """A bit table of the beginnings that more words share than half a range holds; a bit set in error only splits more."""
+    least = max(16, model.range_words // (4 * max(n_chunks, 1)))
+
+    def count(batches):
+        for row in _rows(batches):
+            words = _chunk_words(row)
+            rest = np.arange(len(words))
+            for level, length in enumerate(LEVELS):
+                hashes, which, n = np.unique(mix(words.beginnings(length, rest) + np.uint64(level)), return_inverse=True, return_counts=True)
+                hot = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[hot].view(np.int64)), pa.array(n[hot])], names=["hash", "n"])
+                rest = rest[hot[which]]
+
+    hot = chunks.select("data", "lengths").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > model.range_words // 2)
+    slots = hot.select(F.col("hash").bitwiseAND((1 << model.split_bits) - 1).alias("slot")).distinct().toPandas()["slot"]  # 2 ** split_bits at most
+    table = np.zeros(1 << model.split_bits, np.uint8)
+    table[slots.to_numpy(dtype=np.int64)] = 1
+    return np.packbits(table, bitorder="little")
+
+
+def _dealt(words: Words, split: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The level by which each word is dealt, and its range."""
+    level, part = np.full(len(words), len(LEVELS)), np.zeros(len(words), np.int64)
+    rest = np.arange(len(words))
+    for k, length in enumerate((*LEVELS, None)):
+        hashes = mix(words.beginnings(length, rest) + np.uint64(k))
+        slot = hashes & np.uint64(len(split) * 8 - 1)
+        shared = (split[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1 if length else np.zeros(len(rest), bool)
+        level[rest[~shared]], part[rest[~shared]] = k, (mix(hashes[~shared]) % np.uint64(ranges)).astype(np.int64)
+        rest = rest[shared]
+    return level, part
+
+
+def _chunk_pairs(row: dict, shared: tuple, ranges: int):
+    """A chunk's tokens as numbers of its (state, word) pairs, these pairs, the order in which they go to the ranges, and
+    each range's part of it."""
+    frequent, clusters, split = shared
+    first, which, states, words = _pairs(row, frequent, clusters)
+    base = _chunk_words(row)
+    base.level, part = _dealt(base, split, ranges)
+    pairs, part = base.take(words), part[words]
+    pairs.states = states
+    order = np.argsort(part, kind="stable")
+    return first, which, pairs, order, np.searchsorted(part[order], np.arange(ranges + 1))
 
 
-def _pair_sums(chunks: DataFrame, ranges: int, frequent: np.ndarray, clusters: np.ndarray) -> DataFrame:
-    """By hash range the training counts of (state, word), spelled out: data, lengths, states, counts."""
-    shared = chunks.sparkSession.sparkContext.broadcast((frequent, clusters))
+def _pair_sums(chunks: DataFrame, ranges: int, shared, model: Model) -> DataFrame:
+    """One row per range: its distinct (state, word) pairs with their training counts, how many words are known and their
+    tokens, and for every chunk that sent pairs their numbers among the distinct ones, in the order sent."""
 
     def parts(batches):
         for row in _rows(batches):
-            first, which, states, words = _pairs(row, *shared.value)
+            first, which, pairs, order, cut = _chunk_pairs(row, shared.value, ranges)
             taught = ~np.repeat(np.array(row["held"], bool), np.diff(first))
-            counts = np.bincount(which[taught], minlength=len(words))
-            used = np.flatnonzero(counts)
-            states, words, counts = states[used], words[used], counts[used]
-            keys = mix(np.frombuffer(row["hashes"], np.uint64)[words] + states.astype(np.uint64) * _R)
-            order, cut = _dealt(keys, ranges)
-            for r, (a, b) in enumerate(zip(cut, cut[1:])):
-                if b > a:
-                    mine = order[a:b]
-                    data, offsets = _spelled(row, words[mine])
-                    yield pa.RecordBatch.from_pydict({"r": [r], "keys": [keys[mine].tobytes()], "counts": [_ints(counts[mine])], "states": [_ints(states[mine])], "lengths": [_ints(np.diff(offsets))], "data": [data.tobytes()]})
+            counts = np.bincount(which[taught], minlength=len(pairs))
+            for r in np.flatnonzero(np.diff(cut)).tolist():
+                mine = order[cut[r] : cut[r + 1]]
+                yield pa.RecordBatch.from_pydict({"r": [r], "chunk": [row["chunk"]], "counts": [_ints(counts[mine])], **pairs.take(mine).packed()})
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        counts, states, lengths = (np.concatenate([_read(x[name]) for x in rows]) for name in ("counts", "states", "lengths"))
-        keys, data = (np.concatenate([np.frombuffer(x[name], kind) for x in rows]) for name, kind in (("keys", np.uint64), ("data", np.uint8)))
-        starts = np.cumsum(lengths) - lengths
-        _, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        n = lengths[at]
-        first = np.concatenate([[0], np.cumsum(n)])
-        spelled = data[np.repeat(starts[at] - first[:-1], n) + np.arange(first[-1])]
+        every = [Words.of(x) for x in rows]
+        starts = np.cumsum([0, *(x.first[-1] for x in every)])
+        words = Words(
+            np.concatenate([x.data for x in every]), np.concatenate([[0], *(x.first[1:] + at for x, at in zip(every, starts))]),
+            np.concatenate([x.states for x in every]), np.concatenate([x.level for x in every]),
+        )
+        counts = np.concatenate([_read(x["counts"]) for x in rows])
+        hashes = words.beginnings(None, np.arange(len(words)))
+        _, at, which = np.unique(mix(hashes + words.states.astype(np.uint64) * _R), return_index=True, return_inverse=True)
         total = np.bincount(which, counts, len(at)).astype(np.int64)
-        return pa.table({"r": pa.array([rows[0]["r"]], pa.int64()), "data": [spelled.tobytes()], "lengths": [_ints(n)], "states": [_ints(states[at])], "counts": [_ints(total)]})
-
-    split = chunks.select("low", "high", "first", "held", "hashes", "lengths", "data").mapInArrow(parts, "r long, keys binary, counts binary, states binary, lengths binary, data binary")
-    return split.groupBy("r").applyInArrow(add, "r long, data binary, lengths binary, states binary, counts binary")
+        _, of = np.unique(hashes[at], return_inverse=True)
+        sizes = np.cumsum([0, *map(len, every)])
+        made = {
+            "r": [rows[0]["r"]], **words.take(at).packed(), "counts": [_ints(total)], "known": [int((np.bincount(of, total) > 0).sum())], "tokens": [int(total.sum())],
+            "chunks": pa.array([[x["chunk"] for x in rows]], pa.list_(pa.binary())), "sent": pa.array([[_ints(which[a:b]) for a, b in zip(sizes, sizes[1:])]], pa.list_(pa.binary())),
+        }
+        return pa.table(made)
 
-
-def _unpacked(row: dict):
-    return np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(_read(row["lengths"]))]), _read(row["states"]), _read(row["counts"])
-
-
-def _word_steps(first: np.ndarray, size: int):
-    """Ranges of words of about size bytes."""
-    a = 0
-    while a < len(first) - 1:
-        b = max(a + 1, int(np.searchsorted(first, first[a] + size, side="right")) - 1)
-        yield a, b
-        a = b
+    split = chunks.select("chunk", "low", "high", "first", "held", "hashes", "lengths", "data").mapInArrow(parts, "r long, chunk binary, counts binary, data binary, lengths binary, codes binary")
+    return split.groupBy("r").applyInArrow(add, "r long, data binary, lengths binary, codes binary, counts binary, known long, tokens long, chunks array<binary>, sent array<binary>")
 
 
 def _counters(pairs: DataFrame, learned: Learned, model: Model) -> list[np.ndarray]:
-    """The counters of all contexts, two bytes a slot."""
+    """The counters of the shared contexts, two bytes a slot."""
     shared = pairs.sparkSession.sparkContext.broadcast(learned)
     span = 1 << 15
 
     def count(batches):
         tables = [np.zeros(2 << s, np.int64) for s in model.slots]
         for row in _rows(batches):
-            data, first, states, counts = _unpacked(row)
-            for a, b in _word_steps(first, 1 << 16):
-                bit, _, owner, slots = decisions(data[first[a] : first[b]], first[a : b + 1] - first[a], states[a:b], shared.value, model)
-                weight = counts[a:b][owner]
-                for k, s in enumerate(slots):
-                    np.add.at(tables[k], s * 2 + bit, weight)
+            counts = _read(row["counts"])
+            for bit, _, owner, slots, _ in decisions(Words.of(row), shared.value, model, 1 << 15, range(SHARED)):
+                weight = counts[owner]
+                for t, s in zip(tables, slots):
+                    np.add.at(t, s * 2 + bit, weight)
         for k, t in enumerate(tables):
             for at in range(0, len(t), 2 * span):
                 used = np.flatnonzero(part := t[at : at + 2 * span])
@@ -494,7 +553,7 @@ def _counters(pairs: DataFrame, learned: Learned, model: Model) -> list[np.ndarr
             total[_read(x["cells"])] += _read(x["n"])
         return pa.table({"k": pa.array([rows[0]["k"]], pa.int64()), "at": [rows[0]["at"]], "codes": [encode_counts(total[::2], total[1::2]).tobytes()]})
 
-    sums = pairs.drop("r").mapInArrow(count, "k long, at long, cells binary, n binary").groupBy("k", "at").applyInArrow(add, "k long, at long, codes binary")
+    sums = pairs.select("data", "lengths", "codes", "counts").mapInArrow(count, "k long, at long, cells binary, n binary").groupBy("k", "at").applyInArrow(add, "k long, at long, codes binary")
     tables = [np.zeros(1 << s, np.uint16) for s in model.slots]
     for r in sums.toLocalIterator():  # the tables' fixed size in all
         part = np.frombuffer(bytes(r["codes"]), np.uint16)
@@ -510,20 +569,18 @@ def _fitted(pairs: DataFrame, tables, learned: Learned, model: Model) -> Learned
         tables, learned = shared.value
         luts = Logits.of(model.smooth)
         for row in _rows(batches):
-            data, first, states, counts = _unpacked(row)
+            counts = _read(row["counts"])
+            taught = np.flatnonzero(counts)
+            words, counts = Words.of(row).take(taught), counts[taught]
+            both = [*tables, *own_tables(words, counts, learned, model)]
             weights, weight_sum, steps = start_weights(), np.zeros((GATES, ORDERS + 1)), 0
             ones, alls = np.zeros(GATES * _BUCKETS), np.zeros(GATES * _BUCKETS)
             squares = np.full((GATES, ORDERS + 1), 1e-3)
-            for a, b in _word_steps(first, 12 * model.step_words):
-                bit, at, owner, slots = decisions(data[first[a] : first[b]], first[a : b + 1] - first[a], states[a:b], learned, model)
-                times = counts[a:b][owner].astype(np.float64)
-                values, seen = [], []
-                for k, s in enumerate(slots):
-                    code = tables[k][s]
-                    own = code.astype(np.int64) + (bit.astype(np.int64) << 16)
-                    values.append(luts.less[own])  # without its own occurrence
-                    seen.append(luts.left[own])
-                gate = gated(values, seen, at)
+            for bit, at, owner, slots, own in decisions(words, learned, model, model.step_bytes):
+                times = counts[owner].astype(np.float64)
+                left = [code.astype(np.int64) + (bit.astype(np.int64) << 16) for code in _codes(both, slots, own)]  # without its own occurrence
+                values = [luts.less[x] for x in left]
+                gate = gated([luts.left[x] for x in left], at)
                 logit = mixed(values, gate, weights)
                 p = 1 / (1 + np.exp(-logit))
                 where = bucket_of(logit, gate)
@@ -540,7 +597,7 @@ def _fitted(pairs: DataFrame, tables, learned: Learned, model: Model) -> Learned
             if steps:
                 yield pa.RecordBatch.from_pydict({"tokens": [float(counts.sum())], "weights": [(weight_sum / steps).ravel().tolist()], "ones": [ones.tolist()], "alls": [alls.tolist()]})
 
-    found = pairs.drop("r").mapInArrow(learn, "tokens double, weights array<double>, ones array<double>, alls array<double>")
+    found = pairs.select("data", "lengths", "codes", "counts").mapInArrow(learn, "tokens double, weights array<double>, ones array<double>, alls array<double>")
     cells = found.select("tokens", F.posexplode(F.arrays_zip(F.expr("concat(weights, array_repeat(0D, greatest(0, size(ones) - size(weights))))").alias("w"), "ones", "alls")).alias("i", "x"))
     sums = cells.groupBy("i").agg((F.sum(F.col("x.w") * F.col("tokens")) / F.sum("tokens")).alias("w"), F.sum("x.ones").alias("ones"), F.sum("x.alls").alias("alls")).collect()  # one row per refined cell
     weights, refine = start_weights().ravel(), 1 / (1 + np.exp(-(np.tile(np.arange(_BUCKETS) - _BUCKETS // 2, GATES) / 3.0)))
@@ -565,11 +622,9 @@ def scores(docs: DataFrame, model: Model = Model(), id_column: str = "doc_id", t
 def _scored(chunks: DataFrame, model: Model, kind: str) -> DataFrame:
     """Learns from the chunks and scores them."""
     spark = chunks.sparkSession
-    ranges = max(1, -(-chunks.count() // model.fan_in))
-    sums = keep(_word_sums(chunks, ranges), "word-sums")
-    ends = sums.where("v IS NOT NULL").agg(F.sum("v"), F.sum("n")).first()
-    vocabulary, total = ends[0] or 0, ends[1] or 0
-    top = sums.where("v IS NOT NULL").select(F.explode("top").alias("x")).select("x.*").where("hash <> 1").orderBy(F.desc("c"), "hash").limit(model.frequent).collect()
+    n_chunks, words = chunks.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    ranges = max(1, -(-words // model.range_words))
+    top = chunks.select(F.explode("top").alias("x")).groupBy("x.hash").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "hash").limit(model.frequent).collect()
     frequent = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
     seen = chunks.select("seen").mapInArrow(_byte_sums, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # 256 rows
     bytes_seen = np.zeros(256, np.int64)
@@ -577,38 +632,45 @@ def _scored(chunks: DataFrame, model: Model, kind: str) -> DataFrame:
         bytes_seen[r["b"]] = r["n"]
     learned = prefix_code(bytes_seen)
     clusters = _clusters(_transitions(chunks, frequent), model.states)
-    pairs = keep(_pair_sums(chunks, ranges, frequent, clusters), "pairs")
+    dealing = spark.sparkContext.broadcast((frequent, clusters, _split_beginnings(chunks, words, n_chunks, model)))
+    pairs = keep(_pair_sums(chunks, ranges, dealing, model), "pairs")
+    ends = pairs.agg(F.sum("known"), F.sum("tokens")).first()
+    vocabulary, total = ends[0] or 0, ends[1] or 0
     tables = _counters(pairs, learned, model)
-    learned = _fitted(pairs, tables, learned, model)
-    drop(pairs)
-    shared = spark.sparkContext.broadcast((tables, learned, frequent, clusters, total, vocabulary))
-    replies = sums.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("r", "sums")).alias("replies"))  # as many words as the chunk has
-    joined = chunks.drop("counts", "seen").join(replies, "chunk")
+    shared = spark.sparkContext.broadcast((tables, _fitted(pairs, tables, learned, model)))
 
-    def run(batches):
-        tables, learned, frequent, clusters, total, vocabulary = shared.value
+    def answer(batches):
+        tables, learned = shared.value
         luts = Logits.of(model.smooth)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                first, which, states, words = _pairs(row, frequent, clusters)
-                hashes = np.frombuffer(row["hashes"], np.uint64)
-                c = np.zeros(len(hashes), np.float64)
-                order, cut = _dealt(hashes, ranges)
-                for x in row["replies"]:
-                    c[order[cut[x["r"]] : cut[x["r"] + 1]]] = _read(x["sums"])
-                data, offsets = _spelled(row, words)
-                model_log = log10_words(data, offsets, states, tables, learned, model, luts)
-                base_log = np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))[words]
-                size = np.diff(offsets)
-                per = lambda x: np.add.reduceat(x[which], first[:-1]) if len(first) > 1 else np.zeros(0)
-                n_bytes, score = per(size), per(model_log)
-                arrays = [
-                    pa.array(row["ids"], batch.schema.field("ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(np.diff(first)), pa.array(per((c[words] > 0).astype(np.int64))),
-                    pa.array(np.full(len(first) - 1, total, np.int64)), pa.array(per(base_log)), pa.array(score), pa.array(n_bytes), pa.array(-score / np.log10(2) / n_bytes),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
+        for row in _rows(batches):
+            words, counts = Words.of(row), _read(row["counts"])
+            logs = log10_words(words, [*tables, *own_tables(words, counts, learned, model)], learned, model, luts).astype("<f4")
+            _, of = np.unique(words.beginnings(None, np.arange(len(words))), return_inverse=True)
+            c = np.bincount(of, counts)[of].astype(np.int64)
+            for chunk, sent in zip(row["chunks"], row["sent"]):
+                which = _read(sent)
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "r": [row["r"]], "logs": [logs[which].tobytes()], "sums": [_ints(c[which])]})
+
+    answers = pairs.drop("known", "tokens").mapInArrow(answer, "chunk binary, r long, logs binary, sums binary")
+    replies = answers.groupBy("chunk").agg(F.collect_list(F.struct("r", "logs", "sums")).alias("replies"))  # as many pairs as the chunk has
+    joined = chunks.drop("seen", "words", "top").join(replies, "chunk")
 
+    def run(batches):
+        for row in _rows(batches):
+            first, which, pairs, order, cut = _chunk_pairs(row, dealing.value, ranges)
+            c, logs = np.zeros(len(pairs)), np.zeros(len(pairs))
+            for x in row["replies"]:
+                mine = order[cut[x["r"]] : cut[x["r"] + 1]]
+                c[mine], logs[mine] = _read(x["sums"]), np.frombuffer(x["logs"], "<f4")
+            per = lambda x: np.add.reduceat(x[which], first[:-1]) if len(first) > 1 else np.zeros(0)
+            n_bytes, score = per(np.diff(pairs.first)), per(logs)
+            arrays = [
+                pa.array(row["ids"], pa_type), pa.array(row["held"], pa.bool_()), pa.array(np.diff(first)), pa.array(per((c > 0).astype(np.int64))),
+                pa.array(np.full(len(first) - 1, total, np.int64)), pa.array(per(np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1))))), pa.array(score), pa.array(n_bytes), pa.array(-score / np.log10(2) / n_bytes),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
+
+    pa_type = to_arrow_type(chunks.schema["ids"].dataType.elementType)
     return joined.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
 
 
