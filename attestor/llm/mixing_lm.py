@@ -295,19 +295,48 @@ def log10_words(words: Words, tables: list[np.ndarray], learned: Learned, model:
 
 
 def _ints(array: np.ndarray) -> bytes:
-    """Whole numbers from 0 in the narrowest of 1, 2, 4 or 8 bytes each, led by that width."""
+    """Whole numbers from 0 in the narrowest of 1, 2, 4 or 8 bytes each, led by that width; led by 0 if it is shorter to
+    store a byte each, 255 for those of at least 255, and these apart."""
     top = int(array.max(initial=0))
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    if width > 1:
+        large = array >= 255
+        if 8 + 8 * int(large.sum()) < (width - 1) * len(array):
+            return bytes([0]) + len(array).to_bytes(8, "little") + np.minimum(array, 255).astype(np.uint8).tobytes() + array[large].astype("<u8").tobytes()
     return bytes([width]) + array.astype(f"<u{width}").tobytes()
 
 
 def _read(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    if data[0]:
+        return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(data[1:9], "little")
+    out = np.frombuffer(data, np.uint8, n, 9).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=9 + n).astype(np.int64)
+    return out
 
 
-def _read_small(data: bytes) -> np.ndarray:
-    """Numbers known to fit in 31 bits, as a chunk's word numbers and places do."""
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
+def _planes(array: np.ndarray) -> bytes:
+    """Numbers under 2 ** 32, all lowest bytes first, then all second ones and so on: what is mostly zero packs well."""
+    width = max(1, -(-int(array.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + array.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+
+
+def _read_planes(data: bytes) -> np.ndarray:
+    out = np.int32(0)
+    for k, plane in enumerate(np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)):
+        out = out | plane.astype(np.int32) << 8 * k
+    return out
+
+
+def _cells(counts: np.ndarray) -> bytes:
+    """Numbers of which many are 0: a bit each, then the others."""
+    return np.packbits(counts > 0).tobytes() + _ints(counts[counts > 0])
+
+
+def _read_cells(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    out[np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8)), count=n).astype(bool)] = _read(data[-(-n // 8) :])
+    return out
 
 
 def _chunked(docs: DataFrame, model: Model) -> DataFrame:
@@ -318,7 +347,11 @@ def _chunked(docs: DataFrame, model: Model) -> DataFrame:
         texts = Texts.of(part.column(1)).lowered()
         words = space_words(texts)
         hashes, n = word_hashes(texts, words), texts.n
-        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, at, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # the most frequent words have the least numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at, which = at[order], rank[which]
         raw = texts.data.tobytes()
         spelled = [END, *(raw[a:b] + b" " for a, b in zip(words.start[at].tolist(), words.end[at].tolist()))]
         tokens = np.zeros(words.n + n, dtype=np.uint32)
@@ -335,20 +368,25 @@ def _chunked(docs: DataFrame, model: Model) -> DataFrame:
         data = np.frombuffer(b"".join(spelled), np.uint8)
         seen = np.bincount(data, np.repeat(counts, lengths), 256)
         most = 1 + np.argsort(-counts[1:], kind="stable")[:_CANDIDATES]
-        all_hashes = np.concatenate([[np.uint64(1)], mix(distinct)])
+        most_hashes = _words(data, lengths).beginnings(None, most)
         cols = [
-            pa.array([uuid.uuid4().bytes]), pa.array([ids], pa.list_(part.schema.field(0).type)), pa.array([held.tolist()]), pa.array([_ints(first)]), pa.array([_ints(tokens & 0xFFFF)]), pa.array([_ints(tokens >> 16)]),
-            pa.array([data.tobytes()]), pa.array([_ints(lengths)]), pa.array([all_hashes.tobytes()]), pa.array([_ints(seen)]),
-            pa.array([len(spelled)]), pa.array([[{"hash": int(h), "c": int(c)} for h, c in zip(all_hashes[most].view(np.int64), counts[most]) if c]], pa.list_(pa.struct([("hash", pa.int64()), ("c", pa.int64())]))),
+            pa.array([uuid.uuid4().bytes]), pa.array([ids], pa.list_(part.schema.field(0).type)), pa.array([held.tolist()]), pa.array([_ints(first)]), pa.array([_planes(tokens)]),
+            pa.array([data.tobytes()]), pa.array([_ints(lengths)]), pa.array([_ints(seen)]),
+            pa.array([len(spelled)]), pa.array([[{"hash": int(h), "c": int(c)} for h, c in zip(most_hashes.view(np.int64), counts[most]) if c]], pa.list_(pa.struct([("hash", pa.int64()), ("c", pa.int64())]))),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "held", "first", "low", "high", "data", "lengths", "hashes", "seen", "words", "top"])
+        return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "held", "first", "tokens", "data", "lengths", "seen", "words", "top"])
 
-    schema = f"chunk binary, ids array<{kind}>, held array<boolean>, first binary, low binary, high binary, data binary, lengths binary, hashes binary, seen binary, words long, top array<struct<hash:long,c:long>>"
+    schema = f"chunk binary, ids array<{kind}>, held array<boolean>, first binary, tokens binary, data binary, lengths binary, seen binary, words long, top array<struct<hash:long,c:long>>"
     return map_chunks(docs, rows, schema, limit=model.chunk_bytes)
 
 
-def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return _read_small(row["low"]) | _read_small(row["high"]) << 16, _read(row["first"])
+def _words(data: np.ndarray, lengths: np.ndarray) -> Words:
+    none = np.zeros(len(lengths), np.int64)
+    return Words(data, np.concatenate([[0], np.cumsum(lengths)]), none, none)
+
+
+def _chunk_words(row: dict) -> Words:
+    return _words(np.frombuffer(row["data"], np.uint8), _read(row["lengths"]))
 
 
 def _states(tokens: np.ndarray, first: np.ndarray, marker: np.ndarray) -> np.ndarray:
@@ -394,10 +432,11 @@ def _clusters(counts: np.ndarray, states: int) -> np.ndarray:
     return near + 1
 
 
-def _marker(row: dict, frequent: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    hashes = np.frombuffer(row["hashes"], np.uint64)
+def _marker(words: Words, frequent: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Of each word its number if it is frequent, else 0."""
     if not len(frequent):
-        return np.zeros(len(hashes), np.int32)
+        return np.zeros(len(words), np.int32)
+    hashes = words.beginnings(None, np.arange(len(words)))
     order = np.argsort(frequent)
     at = np.minimum(np.searchsorted(frequent[order], hashes), len(frequent) - 1)
     return np.where(frequent[order][at] == hashes, numbers[order][at], 0).astype(np.int32)
@@ -411,38 +450,21 @@ def _transitions(chunks: DataFrame, frequent: np.ndarray) -> np.ndarray:
     def count(batches):
         total = np.zeros((n + 1) * (n + 1), np.int64)
         for row in _rows(batches):
-            tokens, first = _tokens(row)
-            marker = _marker(row, shared.value, np.arange(1, n + 1))
+            tokens, first = _read_planes(row["tokens"]), _read(row["first"])
+            marker = _marker(_chunk_words(row), shared.value, np.arange(1, n + 1))
             before, marks = _states(tokens, first, marker), marker[tokens]
             taught = ~np.repeat(np.array(row["held"], bool), np.diff(first)) & (before > 0) & (marks > 0)
             total += np.bincount(before[taught].astype(np.int64) * (n + 1) + marks[taught], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    found = chunks.select("low", "high", "first", "held", "hashes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # (frequent + 1) ** 2 rows at most
+    found = chunks.select("tokens", "first", "held", "data", "lengths").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # (frequent + 1) ** 2 rows at most
     out = np.zeros((n + 1) * (n + 1), np.int64)
     for r in found:
         out[r["at"]] = r["n"]
     return out.reshape(n + 1, n + 1)[1:, 1:]
 
 
-def _pairs(row: dict, frequent: np.ndarray, clusters: np.ndarray):
-    """Of one chunk: each token's (state, word) as a number among the distinct ones; their states and words."""
-    tokens, first = _tokens(row)
-    state = _states(tokens, first, _marker(row, frequent, clusters))
-    words = len(row["hashes"]) // 8
-    joint = state * np.int32(words) + tokens if words < 1 << 26 else state.astype(np.int64) * words + tokens
-    distinct, which = np.unique(joint, return_inverse=True)
-    distinct = distinct.astype(np.int64)
-    return first, which, distinct // words, distinct % words
-
-
-def _chunk_words(row: dict) -> Words:
-    lengths = _read(row["lengths"])
-    none = np.zeros(len(lengths), np.int64)
-    return Words(np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(lengths)]), none, none)
-
-
 def _split_beginnings(chunks: DataFrame, total: int, n_chunks: int, model: Model) -> np.ndarray:
     """A bit table of the beginnings that more words share than half a range holds; a bit set in error only splits more."""
     least = max(16, model.range_words // (4 * max(n_chunks, 1)))
@@ -481,10 +503,13 @@ def _chunk_pairs(row: dict, shared: tuple, ranges: int):
     """A chunk's tokens as numbers of its (state, word) pairs, these pairs, the order in which they go to the ranges, and
     each range's part of it."""
     frequent, clusters, split = shared
-    first, which, states, words = _pairs(row, frequent, clusters)
-    base = _chunk_words(row)
-    base.level, part = _dealt(base, split, ranges)
-    pairs, part = base.take(words), part[words]
+    tokens, first, words = _read_planes(row["tokens"]), _read(row["first"]), _chunk_words(row)
+    state = _states(tokens, first, _marker(words, frequent, clusters))
+    n = len(words)
+    joint, which = np.unique(state * np.int32(n) + tokens if n < 1 << 26 else state.astype(np.int64) * n + tokens, return_inverse=True)
+    states, mine = joint.astype(np.int64) // n, joint.astype(np.int64) % n
+    words.level, part = _dealt(words, split, ranges)
+    pairs, part = words.take(mine), part[mine]
     pairs.states = states
     order = np.argsort(part, kind="stable")
     return first, which, pairs, order, np.searchsorted(part[order], np.arange(ranges + 1))
@@ -523,7 +548,7 @@ def _pair_sums(chunks: DataFrame, ranges: int, shared, model: Model) -> DataFram
         }
         return pa.table(made)
 
-    split = chunks.select("chunk", "low", "high", "first", "held", "hashes", "lengths", "data").mapInArrow(parts, "r long, chunk binary, counts binary, data binary, lengths binary, codes binary")
+    split = chunks.select("chunk", "tokens", "first", "held", "lengths", "data").mapInArrow(parts, "r long, chunk binary, counts binary, data binary, lengths binary, codes binary")
     return split.groupBy("r").applyInArrow(add, "r long, data binary, lengths binary, codes binary, counts binary, known long, tokens long, chunks array<binary>, sent array<binary>")
 
 
@@ -542,18 +567,18 @@ def _counters(pairs: DataFrame, learned: Learned, model: Model) -> list[np.ndarr
                     np.add.at(t, s * 2 + bit, weight)
         for k, t in enumerate(tables):
             for at in range(0, len(t), 2 * span):
-                used = np.flatnonzero(part := t[at : at + 2 * span])
-                if len(used):
-                    yield pa.RecordBatch.from_pydict({"k": [k], "at": [at // 2], "cells": [_ints(used)], "n": [_ints(part[used])]})
+                part = t[at : at + 2 * span]
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"k": [k], "at": [at // 2], "size": [len(part)], "cells": [_cells(part)]})
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         total = np.zeros(2 * span, np.int64)
         for x in rows:
-            total[_read(x["cells"])] += _read(x["n"])
+            total[: x["size"]] += _read_cells(x["cells"], x["size"])
         return pa.table({"k": pa.array([rows[0]["k"]], pa.int64()), "at": [rows[0]["at"]], "codes": [encode_counts(total[::2], total[1::2]).tobytes()]})
 
-    sums = pairs.select("data", "lengths", "codes", "counts").mapInArrow(count, "k long, at long, cells binary, n binary").groupBy("k", "at").applyInArrow(add, "k long, at long, codes binary")
+    sums = pairs.select("data", "lengths", "codes", "counts").mapInArrow(count, "k long, at long, size long, cells binary").groupBy("k", "at").applyInArrow(add, "k long, at long, codes binary")
     tables = [np.zeros(1 << s, np.uint16) for s in model.slots]
     for r in sums.toLocalIterator():  # the tables' fixed size in all
         part = np.frombuffer(bytes(r["codes"]), np.uint16)

@@ -170,8 +170,15 @@ def test_count_codes_are_exact_when_small_and_near_when_large():
 
 
 def test_widths():
-    for top in (0, 255, 256, 70_000, 2**33):
-        assert M._read(M._ints(np.array([0, top]))).tolist() == [0, top]
+    for top in (0, 254, 255, 256, 70_000, 2**33):
+        for zeros in (1, 100):
+            numbers = [*[0] * zeros, top, 254, 255, top]
+            assert M._read(M._ints(np.array(numbers))).tolist() == numbers
+            assert M._read_cells(M._cells(np.array(numbers)), len(numbers)).tolist() == numbers
+            if top < 2**31:
+                assert M._read_planes(M._planes(np.array(numbers))).tolist() == numbers
+    assert M._read_planes(M._planes(np.zeros(3, np.int64))).tolist() == [0, 0, 0]
+    assert M._read(M._ints(np.array([], np.int64))).tolist() == [] == M._read_cells(M._cells(np.zeros(0, np.int64)), 0).tolist()
 
 
 def test_empty_and_untrained(spark):
