@@ -10,7 +10,9 @@ Shannon entropy reaches the threshold of the candidate's character class (hex, o
 span runs from its first hot window's start to its last one's end.  Candidates that match the allow-list (examples,
 placeholders, UUIDs, plain numbers, counting runs) are suppressed.  Entropy spans come on top of the pattern spans.
 
-Defined results: null and empty texts have no spans; repeated rows get a row each; an empty table gives an empty result.
+Defined results: null and empty texts have no spans; repeated rows get a row each, rows with one id and different texts
+too; a very long text or candidate is scanned whole; two kinds may start at one place (ties are listed in the kinds' order);
+other columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 ALLOWED = (
     r"(?i)example|placeholder|dummy|sample|changeme|redacted|xxxx|0123456789|abcdefgh"
-    r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9_-]+$|^(?:[A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$"
+    r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9_-]+$|^(?:[A-Za-z]++[/_-])++[A-Za-z]*+[0-9]{0,4}$"
 )
 
 
@@ -50,18 +52,41 @@ def _scaled(c: int) -> int:
     return round(1_000_000 * c * math.log2(c)) if c else 0
 
 
-def _places(matches: Column, pieces: Column) -> Column:
-    """array<struct<start, stop, text>> of a pattern's matches, given the pieces between them."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,stop:long,text:string>>").alias("out"))
+def _bound(value: Column, fn) -> Column:
+    """fn of a value that is computed once, however often fn's lambdas read it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _running(lengths: Column, total: Column) -> Column:
+    """The running sums from ``total`` after each length; every step copies the sums so far, so only short arrays come here."""
+    zero = F.struct(total.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
+
+    return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
 
-    def step(acc: Column, i: Column) -> Column:
-        text = F.get(matches, i)
-        begin = acc["at"] + F.length(F.get(pieces, i))
-        stop = begin + F.length(text)
-        return F.struct(stop.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(begin.cast("long").alias("start"), stop.cast("long").alias("stop"), text.alias("text")))).alias("out"))
 
-    none = F.array().cast("array<struct<start:long,stop:long,text:string>>")
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"])).otherwise(none)
+def _running_sums(lengths: Column) -> Column:
+    """The running sums of an array of any size: by blocks of about the root of its size, each from where the last one ends."""
+
+    def blocks(p: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(p))).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda k: F.slice(p, k * size + 1, size))
+        ends = _bound(cut, lambda c: F.struct(c.alias("blocks"), _running(F.transform(c, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("ends")))
+        return _bound(ends, lambda e: F.flatten(F.transform(e["blocks"], lambda x, k: _running(x, F.when(k > 0, F.get(e["ends"], k - 1)).otherwise(0)))))
+
+    return F.when(F.size(lengths) > 0, _bound(lengths, blocks)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _places(matches: Column, pieces: Column) -> Column:
+    """array<struct<start, stop, text>> of a pattern's matches, given the pieces between them."""
+    length = lambda x: F.length(x).cast("long")
+    through = _running_sums(F.transform(matches, lambda m, i: length(F.get(pieces, i)) + length(m)))
+    return _bound(
+        F.struct(matches.alias("m"), through.alias("t")),
+        lambda p: F.transform(p["m"], lambda m, i: F.struct((F.get(p["t"], i) - length(m)).alias("start"), F.get(p["t"], i).alias("stop"), m.alias("text"))),
+    )
 
 
 def hot_span(text: Column, entropy: Entropy) -> Column:

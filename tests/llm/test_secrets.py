@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -72,3 +73,15 @@ def test_plan_has_no_python(spark):
 
 def test_empty_table(spark):
     assert digest(scan(empty_docs(spark))).count() == 0
+
+
+def test_very_long_candidates_and_many_matches(spark):
+    """A megabyte of one candidate, of words that an allow-list's pattern walks along, and 100,000 matches in one text."""
+    rng = random.Random(3)
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(1 << 16))
+    many = " ".join(f"token={'abcdef' if i % 3 else 'abc'}{i}" for i in range(100_000))
+    rows = [(1, "a-" * 500_000 + "1x"), (2, "0" * (1 << 20)), (3, "é " + key), (4, many), (5, "a-" * 20_000 + "b7")]
+    got = {r[0]: tuple(r) for r in digest(scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert (got[1][5], got[5][5], got[2][5]) == ("", "", f"hex:0:{1 << 20}")
+    assert "entropy" in got[3][5] and got[3] == brute(*rows[2])
+    assert got[4] == brute(*rows[3]) and got[4][1] > 60_000
