@@ -14,11 +14,9 @@ def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = raking.with_probabilities(table(spark, sf_dir, "documents"))
-    return marked.select(
-        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"),
-        F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"),
-    )
+    docs = table(spark, sf_dir, "documents")
+    names = raking.added(docs)
+    return raking.with_probabilities(docs).select("doc_id", "source", "lang", *(F.col(name).alias(shown) for shown, name in names.items()))
 
 
 def op3_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (one value of every dimension).  The cells' tokens are raked until their sums over each
-dimension's values match the target shares; a cell's weight is raked tokens over tokens.  A document is sampled with
-probability min(1, s * weight), s set so that the expected tokens are ``keep_tokens`` of all, and its draw is a hash
-of its id, so the same documents are drawn again on any cluster.
-
-Where s * weight passes 1 a cell gives all it has and stays short of its raked tokens, so the sample's marginals lie
-between the documents' own and the targets.  Without ``keep_tokens`` s is 1 / the greatest weight: the largest sample
-whose expected marginals are the targets.
-
-Cells are few (products of category values) and are counted before anything is read to the driver; beyond
-``most_cells`` the same fitting runs as DataFrame aggregations.
-
-Defined results: a null in a dimension is a value of its own; null texts have no tokens and are sampled like their
-cell; a cell without tokens has weight 1; values without a target keep their own share; an empty table gives an
-empty result.  Copies of a row are drawn alike.
+dimension's values match the target shares; a cell's weight is raked tokens over tokens.  Documents are sampled with
+calibrated probabilities: starting from the weights, the fitting goes on with every probability kept at 1 or less, so that
+the sample's expected marginals are the targets too.  It keeps the largest share of the tokens, found by bisection, at
+which that is possible (``keep_tokens`` at most).  A document's draw is a hash of its id, so the same documents are drawn
+again on any cluster.
+
+Cells are a catalogue: one row per combination of categories that occurs, counted by Spark.  They are fitted on the driver,
+and a table with more than ``most_cells`` of them is refused with an error: its dimensions are no categories.
+
+Defined results: a null in a dimension is a value of its own; null and empty texts have no tokens and are sampled like their
+cell; a cell without tokens has weight 1; values without a target keep their own share; targets that the cells cannot meet
+are approached, and ``residual`` tells by how much the expected sample misses them; an empty table gives an empty result.
+Copies of a row are drawn alike, and rows of one id (or none) by one draw.  A very long text is counted whole.  Columns of
+docs keep their values whatever their names: those added get names of their own (``added``).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestor.llm.frames import keep
+from attestor.llm.frames import columns, drop, keep, private
 
 #: What a null counts as in a dimension.
 NONE = "\x00null"
@@ -37,12 +37,14 @@ class Mix:
     dimensions: tuple[str, ...] = ("source", "lang", "topic")
     #: Without given targets a dimension's target shares are its own shares to this power, made to sum to 1.
     flatten: float = 0.7
-    #: Expected share of the tokens; None: as many as leave the raked marginals whole.
-    keep_tokens: float | None = 0.85
+    #: Most expected tokens, as a share; None: as many as the targets allow.
+    keep_tokens: float | None = None
     seed: str = "mix"
-    most_cells: int = 200_000
+    most_cells: int = 1_000_000
     tolerance: float = 1e-9
-    rounds: int = 200
+    rounds: int = 500
+    #: How far the expected sample may be off a target, relatively.
+    calibration: float = 1e-6
 
 
 def topic_of(text: Column) -> Column:
@@ -73,26 +75,65 @@ def rake(tokens: np.ndarray, codes: Sequence[np.ndarray], targets: Sequence[np.n
     return fitted
 
 
-def scale_for(tokens: np.ndarray, weights: np.ndarray, wanted: float) -> float:
-    """s with sum(tokens * min(1, s * weights)) = wanted; infinite if even all tokens are too few."""
-    some = (tokens > 0) & (weights > 0)
-    tokens, weights = tokens[some].astype(float), weights[some]
-    if not len(tokens) or tokens.sum() <= wanted:
-        return float("inf")
-    order = np.argsort(-weights)
-    tokens, weights = tokens[order], weights[order]
-    full = np.concatenate([[0.0], np.cumsum(tokens)[:-1]])  # tokens of the cells already at 1
-    rest = np.cumsum((tokens * weights)[::-1])[::-1]
-    scales = (wanted - full) / rest
-    ok = scales * weights <= 1 + 1e-12
-    return float(scales[np.argmax(ok)])
+def missed(fitted: np.ndarray, codes: Sequence[np.ndarray], targets: Sequence[np.ndarray]) -> float:
+    """The largest relative miss of a target."""
+    worst = 0.0
+    for code, target in zip(codes, targets):
+        have = np.bincount(code, fitted, len(target))
+        some = target > 0
+        worst = max(worst, float(np.abs(have[some] / target[some] - 1).max(initial=0)))
+    return worst
+
+
+def bounded(tokens: np.ndarray, start: np.ndarray, codes: Sequence[np.ndarray], targets: Sequence[np.ndarray], mix: Mix) -> tuple[np.ndarray, float]:
+    """Probabilities min(1, start times a factor per value) whose tokens meet the targets, and by how much they miss."""
+    free = start.astype(float)
+    miss = np.inf
+    for k in range(mix.rounds):
+        for code, target in zip(codes, targets):
+            have = np.bincount(code, tokens * np.minimum(1.0, free), len(target))
+            free *= np.divide(target, have, out=np.ones_like(target), where=have > 0)[code]
+            np.minimum(free, 1e9, out=free)
+        if k % 5 == 4:
+            miss = missed(tokens * np.minimum(1.0, free), codes, targets)
+            if miss <= mix.calibration / 2:
+                break
+    return np.minimum(1.0, free), miss
+
+
+def calibrated(tokens: np.ndarray, weights: np.ndarray, codes: Sequence[np.ndarray], targets: Sequence[np.ndarray], mix: Mix) -> tuple[np.ndarray, float]:
+    """Each cell's probability, and the largest relative miss of a target by the expected sample."""
+    total = tokens.sum()
+    if not total:
+        return np.ones(len(tokens)), 0.0
+    at_most = 1.0 if mix.keep_tokens is None else mix.keep_tokens
+    most = max(float(weights[tokens > 0].max()), 1.0)
+    # weights over the greatest weight are always calibrated; no value can give more than all it has
+    least = min(at_most, 1.0 / most)
+    best = np.minimum(1.0, weights * least)
+    miss = missed(tokens * best / least, codes, targets)
+    high = min([at_most, *(float((np.bincount(c, tokens, len(t))[t > 0] / t[t > 0]).min()) for c, t in zip(codes, targets))])
+    if miss > mix.calibration:  # the targets themselves are out of reach
+        return best, miss
+    share = high
+    for _ in range(14):
+        if share <= least:
+            break
+        found, miss_here = bounded(tokens, weights * share, codes, [t * share for t in targets], mix)
+        if miss_here <= mix.calibration:
+            best, miss, least = found, miss_here, share
+        else:
+            high = share
+        share = (least + high) / 2
+    return np.where(tokens > 0, best, least), miss
 
 
 def cell_weights(cells: DataFrame, mix: Mix, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
-    """(dimensions ..., weight, probability) of the cells (dimensions ..., tokens)."""
+    """(dimensions ..., weight, probability, residual) of the cells (dimensions ..., tokens)."""
     spark, dims, targets = cells.sparkSession, list(mix.dimensions), targets or {}
-    if cells.count() > mix.most_cells:
-        return _cell_weights_distributed(cells, mix, targets)
+    found = cells.count()
+    if found > mix.most_cells:
+        raise ValueError(f"{found} combinations of {', '.join(dims)}: more than {mix.most_cells}; group the values of a dimension")
     frame = cells.toPandas()
     tokens = frame["tokens"].to_numpy(dtype=np.int64)
     codes, wanted = [], []
@@ -106,59 +147,33 @@ def cell_weights(cells: DataFrame, mix: Mix, targets: Mapping[str, Mapping[str,
     fitted = rake(tokens, codes, wanted, mix.rounds, mix.tolerance)
     weight = np.divide(fitted, tokens, out=np.ones(len(tokens)), where=tokens > 0)
     frame["weight"] = weight
-    if mix.keep_tokens is None:
-        scale = 1.0 / max(weight[tokens > 0].max(initial=0.0), 1e-300)
-    else:
-        scale = min(scale_for(tokens, weight, mix.keep_tokens * tokens.sum()), 1e300)
-    frame["probability"] = np.minimum(1.0, weight * scale)
-    schema = ", ".join([*(f"`{d}` string" for d in dims), "weight double, probability double"])
-    return spark.createDataFrame(frame[[*dims, "weight", "probability"]].values.tolist(), schema)
-
-
-def _cell_weights_distributed(cells: DataFrame, mix: Mix, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """The same for any number of cells: every step of the fitting is an aggregation and a join by one dimension."""
-    spark, dims = cells.sparkSession, list(mix.dimensions)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    aims = {}
-    for d in dims:
-        share = cells.groupBy(d).agg((F.sum("tokens") / F.lit(max(total, 1))).alias("share"))
-        if d in targets:
-            given = spark.createDataFrame([(str(k), float(v)) for k, v in targets[d].items()], f"`{d}` string, aim double")
-            aim = share.join(given, d, "left").select(d, F.when(F.col("share") > 0, F.coalesce("aim", "share")).otherwise(0.0).alias("aim"))
-        else:
-            aim = share.select(d, F.pow("share", F.lit(mix.flatten)).alias("aim"))
-        whole = aim.agg(F.sum("aim")).first()[0] or 1.0
-        aims[d] = keep(aim.select(d, (F.col("aim") / F.lit(whole) * F.lit(float(total))).alias("aim")), "aims")
-    fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
-    for _ in range(mix.rounds):
-        worst = 0.0
-        for d in dims:
-            factor = fitted.groupBy(d).agg(F.sum("fitted").alias("have")).join(aims[d], d).select(d, F.when(F.col("have") > 0, F.col("aim") / F.col("have")).otherwise(1.0).alias("factor"))
-            fitted = keep(fitted.join(factor, d).withColumn("fitted", F.col("fitted") * F.col("factor")), "fitted")
-            worst = max(worst, fitted.agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
-            fitted = fitted.drop("factor")
-        if worst <= mix.tolerance:
-            break
-    weighed = keep(fitted.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(1.0)), "weights")
-    if mix.keep_tokens is None:
-        most = weighed.where("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
-        return weighed.select(*dims, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(most)).alias("probability"))
-    low, high, wanted = 0.0, 1e9, mix.keep_tokens * total
-    for _ in range(60):  # the scale is found by bisection of the expected tokens
-        mid = (low * high) ** 0.5 if low else high / 2
-        got = weighed.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(mid) * F.col("weight")))).first()[0] or 0.0
-        low, high = (mid, high) if got < wanted else (low, mid)
-    return weighed.select(*dims, "weight", F.least(F.lit(1.0), F.lit(high) * F.col("weight")).alias("probability"))
+    frame["probability"], frame["residual"] = calibrated(tokens, weight, codes, wanted, mix)
+    schema = ", ".join([*(f"`{d}` string" for d in dims), "weight double, probability double, residual double"])
+    return spark.createDataFrame(frame[[*dims, "weight", "probability", "residual"]].values.tolist(), schema)
+
+
+def added(docs: DataFrame) -> dict[str, str]:
+    """The names of the columns that with_probabilities adds to docs."""
+    return private(docs, "tokens", "topic", "weight", "probability", "residual", "sampled")
 
 
 def with_probabilities(docs: DataFrame, mix: Mix = Mix(), targets: Mapping[str, Mapping[str, float]] | None = None, id_column: str = "doc_id", text_column: str = "text", topic: Column | None = None) -> DataFrame:
-    """docs with _tokens, _topic, _weight, _probability and _sampled added; dimensions are columns of docs, or topic."""
-    topic = topic_of(F.col(text_column)) if topic is None else topic
-    marked = docs.withColumn("_topic", topic).withColumn("_tokens", tokens_of(F.col(text_column)))
-    value = {d: F.coalesce(F.col("_topic" if d == "topic" else d).cast("string"), F.lit(NONE)) for d in mix.dimensions}
-    cells = keep(marked.groupBy(*(value[d].alias(d) for d in mix.dimensions)).agg(F.sum("_tokens").alias("tokens")), "cells")
-    weights = cell_weights(cells, mix, targets).toDF(*(f"_cell_{d}" for d in mix.dimensions), "_weight", "_probability")
-    joined = marked.join(weights, [value[d] == weights[f"_cell_{d}"] for d in mix.dimensions], "left").drop(*(f"_cell_{d}" for d in mix.dimensions))
-    digest = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit("|" + mix.seed)))
+    """docs and the columns added(docs): a document's tokens and topic, its cell's weight, probability and residual, and
+    whether it is sampled.  Dimensions are columns of docs, or topic."""
+    names = added(docs)
+    cell = list(private(docs, *(f"cell_{i}" for i in range(len(mix.dimensions)))).values())
+    topic = topic_of(docs[text_column]) if topic is None else topic
+    marked = docs.withColumn(names["topic"], topic).withColumn(names["tokens"], tokens_of(docs[text_column]))
+    value = [F.coalesce((F.col(names["topic"]) if d == "topic" else docs[d]).cast("string"), F.lit(NONE)) for d in mix.dimensions]
+    cells = keep(marked.groupBy(*(v.alias(d) for v, d in zip(value, mix.dimensions))).agg(F.sum(names["tokens"]).alias("tokens")), "cells")
+    weights = cell_weights(cells, mix, targets).toDF(*cell, names["weight"], names["probability"], names["residual"])
+    drop(cells)
+    joined = marked.join(weights, [v == weights[c] for v, c in zip(value, cell)], "left").drop(*cell)
+    digest = F.md5(F.concat(F.coalesce(docs[id_column].cast("string"), F.lit("null")), F.lit("|" + mix.seed)))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    return joined.withColumn("_sampled", draw < F.col("_probability"))
+    return joined.withColumn(names["sampled"], draw < F.col(names["probability"]))
+
+
+def sample(docs: DataFrame, mix: Mix = Mix(), targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """The sampled rows of docs, with its columns."""
+    return with_probabilities(docs, mix, targets).where(F.col(added(docs)["sampled"])).select(*columns(docs))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attestor.llm.frames import map_chunks
+from attestor.llm.frames import map_chunks, same_columns
 from attestor.llm.text import Texts, Words, inside_runs, mix, space_words, word_hashes
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -174,4 +174,4 @@ def measure(docs: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text_column: str = "text") -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     index = docs.columns.index(text_column)
-    return map_chunks(docs, lambda part: part.filter(pa.array(measures(part.column(index), limits)["kept"])), docs.schema, text_column)
+    return same_columns(docs, lambda part: part.filter(pa.array(measures(part.column(index), limits)["kept"])), text_column)

@@ -11,7 +11,9 @@ Nothing sent to all executors grows with either side: the two bit tables have 2
 fills them, more rows reach the join and the result stays the same.
 
 Defined results: null and empty texts have no words and no hits; an item without words is never found; a null item
-id can be hit but is not listed; repeated items count once; repeated documents each get a row.
+id can be hit but is not listed; repeated items count once; repeated documents each get a row, rows with one id and
+different texts too; very long texts are read whole; extra columns keep their values whatever their names; an empty table of
+documents gives an empty result, an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attestor.llm.frames import keep, map_chunks
+from attestor.llm.frames import columns, keep, map_chunks, private, same_columns
 from attestor.llm.text import Texts, alnum_words, inside_runs, mix, run_hashes, word_hashes
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -91,17 +93,17 @@ def _may_be(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def suspects(docs: DataFrame, windows: DataFrame, winnow: Winnow, passing: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: n_words, a row key if any window may be a benchmark's, and those windows (h1, h2, n, at)."""
+    """One row per document: its words, a row key if any window may be a benchmark's, and those windows (h1, h2, n, at); the
+    names of these three are private(docs, "words", "key", "windows") if docs' columns are passing."""
     spark = docs.sparkSession
     short = sorted(r[0] for r in windows.where(F.col("n") < winnow.window).select("n").distinct().collect())  # under window numbers
     tables = spark.sparkContext.broadcast((_bit_table(windows.select("fingerprint"), winnow.bits), _bit_table(windows.select("h1"), winnow.bits)))
     slim = docs if passing else docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     index = slim.columns.index(text_column if passing else "text")
-    shown = [f for f in slim.schema.fields if passing or f.name == "doc_id"]
-    picked = [slim.columns.index(f.name) for f in shown]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown), "_words long, _key string, _windows array<struct<h1:long,h2:long,n:int,at:int>>"])
+    own = private(slim, "words", "key", "windows")
+    more = f"{own['words']} long, {own['key']} string, {own['windows']} array<struct<h1:long,h2:long,n:int,at:int>>"
 
-    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+    def rows(part: pa.RecordBatch) -> list[pa.Array]:
         first_bits, window_bits = tables.value
         texts = Texts.of(part.column(index)).lowered()
         words = alnum_words(texts)
@@ -132,10 +134,11 @@ def suspects(docs: DataFrame, windows: DataFrame, winnow: Winnow, passing: bool
             [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n.astype(np.int32)), pa.array((at - words.first[owner]).astype(np.int32))], names=["h1", "h2", "n", "at"]
         )
         keys = [uuid.uuid4().hex if b > a else None for a, b in zip(offsets, offsets[1:])]
-        arrays = [*(part.column(i) for i in picked), pa.array(np.diff(words.first)), pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), structs)]
-        return pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in shown), "_words", "_key", "_windows"])
+        shown = part.columns if passing else [part.column(0), pa.nulls(part.num_rows, pa.string())]  # the text need not come back
+        return [*shown, pa.array(np.diff(words.first)), pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), structs)]
 
-    return map_chunks(slim, rows, schema, text_column if passing else "text")
+    found = same_columns(slim, rows, slim.columns[index], more)
+    return found if passing else found.drop("text")
 
 
 #: Words in the union of windows sorted by place, each a struct (at, n).
@@ -172,5 +175,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, winnow: Winnow = Wi
     """The rows of docs without a benchmark window, with all their columns."""
     windows = keep(fingerprints(benchmark, winnow), "windows")
     seen = keep(suspects(docs, windows, winnow, passing=True), "suspects")
-    left = seen.where("_key IS NOT NULL").join(_hits(seen, windows).select("_key"), "_key", "left_anti")
-    return seen.where("_key IS NULL").select(*docs.columns).unionByName(left.select(*docs.columns))
+    own = private(docs, "words", "key", "windows")
+    key = F.col(own["key"])
+    hit = _hits(seen.select(key.alias("_key"), F.col(own["windows"]).alias("_windows")), windows).select(F.col("_key").alias(own["words"]))
+    left = seen.where(key.isNotNull()).join(hit, seen[own["key"]] == hit[own["words"]], "left_anti")
+    return seen.where(key.isNull()).select(*columns(docs)).unionByName(left.select(*columns(docs)))

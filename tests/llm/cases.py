@@ -31,11 +31,17 @@ def edge_docs(spark):
     return spark.createDataFrame(edge_rows(), SCHEMA)
 
 
+#: Names that the operators give to columns of their own, and awkward ones.
+OWN_NAMES = (
+    "kept", "shard", "size", "n_words", "weight", "probability", "tokens", "item_id", "key", "class", "group", "node", "text_crc32", "score", "topic", "component_id", "h1", "n",
+    "_tokens", "_topic", "_weight", "_probability", "_residual", "_sampled", "_words", "_key", "_windows", "_kept", "_digest", "_cell_0", "_text", "_lang", "_source", "_rank", "__tokens",
+    "_WORDS_", "digest", "bands", "registers", "root", "part", "slot", "chunk", "r", "data", "axis", "x0", "page_id", "a.b", "`q`", "with blank",
+)
+
+
 def clashing(df):
     """The same with extra columns named like the operators' own."""
-    for name in ("kept", "shard", "size", "n_words", "weight", "probability", "tokens", "item_id", "key", "class", "group", "node", "text_crc32", "score", "topic", "component_id", "h1", "n"):
-        df = df.withColumn(name, F.lit("extra"))
-    return df
+    return df.select("*", *(F.lit("extra").alias(name) for name in OWN_NAMES))
 
 
 def empty_docs(spark):

@@ -1,12 +1,14 @@
 import hashlib
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from attestor.llm.raking import Mix, rake, scale_for
+from attestor.llm.raking import Mix, calibrated, rake
 
 import numpy as np
 
-from tests.llm.cases import SPACE_WORD, clashing, edge_docs
+from tests.llm.cases import OWN_NAMES, SPACE_WORD, clashing, edge_docs
 from tests.llm.test_repetition import brute as quality
 from tests.llm.test_setsketch import brute as near
 from tests.llm.test_winnowing import brute as leaks
@@ -34,7 +36,7 @@ def sampled(rows):
         codes.append(code)
         aims.append(share**mix.flatten / (share**mix.flatten).sum() * tokens.sum())
     weight = rake(tokens, codes, aims, mix.rounds, mix.tolerance) / np.maximum(tokens, 1)
-    p = dict(zip(keys, np.minimum(1, weight * scale_for(tokens, weight, mix.keep_tokens * tokens.sum()))))
+    p = dict(zip(keys, calibrated(tokens, weight, codes, aims, mix)[0]))
     return [r for r in rows if int(hashlib.md5(f"{r[0]}|mix".encode()).hexdigest()[:13], 16) / 2**52 < p[(r[3], r[2], topic(r[1]))]]
 
 
@@ -59,6 +61,8 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
+        extra = [F.col("`" + c.replace("`", "``") + "`") for c in OWN_NAMES]
+        assert out.select(*extra).distinct().collect() == [("extra",) * len(extra)], name
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()

@@ -1,9 +1,11 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from attestor.llm.raking import Mix, cell_weights, rake, scale_for, with_probabilities
+from attestor.llm.frames import columns
+from attestor.llm.raking import Mix, added, calibrated, cell_weights, missed, rake, sample, with_probabilities
 
 from tests.llm.cases import SPACE_WORD, clashing, edge_docs, empty_docs
 
@@ -18,45 +20,67 @@ def test_marginals_match_targets():
         assert np.allclose(np.bincount(code, fitted), target)
 
 
-def test_scale_meets_the_wanted_tokens():
+def flattened(rows, dim):
+    """Target shares of a dimension's values: own shares to the power 0.7."""
+    own = {}
+    for r in rows:
+        own[r[dim]] = own.get(r[dim], 0) + r._tokens
+    total = sum(own.values())
+    aim = {k: (v / total) ** 0.7 for k, v in own.items()}
+    return {k: v / sum(aim.values()) for k, v in aim.items()}
+
+
+def expected(rows, dim):
+    have = {}
+    for r in rows:
+        have[r[dim]] = have.get(r[dim], 0) + r._tokens * r._probability
+    return {k: v / sum(have.values()) for k, v in have.items()}
+
+
+def test_probabilities_are_calibrated():
+    """No greater than 1, with the targets' marginals, and no smaller a sample than weights over the greatest weight give."""
     rng = np.random.default_rng(4)
-    tokens, weights = rng.integers(0, 500, 50), rng.uniform(0.01, 4, 50)
-    for share in (0.1, 0.5, 0.9, 0.999):
-        s = scale_for(tokens, weights, share * tokens.sum())
-        assert np.isclose((tokens * np.minimum(1, s * weights)).sum(), share * tokens.sum())
-    assert scale_for(tokens, weights, 2 * tokens.sum()) == float("inf")
-
-
-def test_distributed_fitting_agrees(spark):
-    rows = [(f"s{i % 3}", f"l{i % 2}", f"t{i // 6}", 100 + 37 * i) for i in range(12)]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    targets = {"lang": {"l0": 0.5, "l1": 0.5}}
-    near = {tuple(r)[:3]: r for r in cell_weights(cells, Mix(tolerance=1e-6), targets).collect()}
-    far = {tuple(r)[:3]: r for r in cell_weights(cells, Mix(tolerance=1e-6, most_cells=0), targets).collect()}
-    assert near.keys() == far.keys()
-    for k in near:
-        assert abs(near[k].weight - far[k].weight) < 1e-4 and abs(near[k].probability - far[k].probability) < 1e-4
-
-
-def test_sample_without_a_wanted_share_has_the_target_marginals(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = with_probabilities(docs, Mix(keep_tokens=None)).collect()
-    total, kept = sum(r._tokens for r in got), sum(r._tokens * r._probability for r in got)
-    assert max(r._probability for r in got if r._tokens) > 1 - 1e-9
+    for _ in range(5):
+        tokens = rng.integers(0, 500, 60)
+        codes = [np.arange(60) % 4, np.arange(60) // 4 % 5, np.arange(60) // 20]
+        shares = [np.bincount(c, tokens) ** 0.7 for c in codes]
+        targets = [x / x.sum() * tokens.sum() for x in shares]
+        weight = np.divide(rake(tokens, codes, targets, 500, 1e-12), tokens, out=np.ones(60), where=tokens > 0)
+        p, miss = calibrated(tokens, weight, codes, targets, Mix())
+        kept = (tokens * p).sum() / tokens.sum()
+        assert miss <= 1e-6 and p.max() <= 1 and missed(tokens * p / kept, codes, targets) <= 1e-5
+        assert kept >= 1 / weight[tokens > 0].max() - 1e-9
+        few, miss = calibrated(tokens, weight, codes, targets, Mix(keep_tokens=0.1))
+        assert miss <= 1e-6 and (tokens * few).sum() / tokens.sum() == pytest.approx(0.1, rel=1e-4)
+
+
+def test_targets_out_of_reach_are_told():
+    """Two values that always go together cannot have different shares."""
+    tokens, codes = np.array([100, 300]), [np.array([0, 1]), np.array([0, 1])]
+    targets = [np.array([200.0, 200.0]), np.array([100.0, 300.0])]
+    p, miss = calibrated(tokens, rake(tokens, codes, targets, 200, 1e-9) / tokens, codes, targets, Mix())
+    assert miss > 0.2 and p.max() <= 1
+
+
+def test_too_many_combinations_are_refused(spark):
+    cells = spark.createDataFrame([(f"s{i}", "l", "t", 1) for i in range(11)], "source string, lang string, topic string, tokens long")
+    with pytest.raises(ValueError, match="11 combinations"):
+        cell_weights(cells, Mix(most_cells=10))
+
+
+def test_expected_sample_has_the_target_marginals(spark):
+    got = with_probabilities(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     for d in ("source", "lang", "_topic"):
-        own, have = {}, {}
-        for r in got:
-            own[r[d]] = own.get(r[d], 0) + r._tokens / total
-            have[r[d]] = have.get(r[d], 0) + r._tokens * r._probability / kept
-        aim = {k: v**0.7 for k, v in own.items()}
-        assert all(abs(have[k] - aim[k] / sum(aim.values())) < 1e-6 for k in have)
+        have, aim = expected(got, d), flattened(got, d)
+        assert all(abs(have[k] / aim[k] - 1) < 1e-5 for k in aim)
+    assert max(r._residual for r in got) < 1e-5
 
 
-def test_distributed_sample_without_a_wanted_share_agrees(spark):
-    rows = [(f"s{i % 3}", f"l{i % 2}", f"t{i // 6}", 100 + 37 * i) for i in range(12)]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    near, far = ({tuple(r)[:3]: r.probability for r in cell_weights(cells, Mix(keep_tokens=None, tolerance=1e-6, most_cells=n)).collect()} for n in (100, 0))
-    assert near.keys() == far.keys() and all(abs(near[k] - far[k]) < 1e-4 for k in near)
+def test_given_targets(spark):
+    targets = {"lang": {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}}
+    got = with_probabilities(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), targets=targets).collect()
+    have = expected(got, "lang")
+    assert all(have[k] == pytest.approx(v, rel=1e-5) for k, v in targets["lang"].items())
 
 
 def test_sampling_equals_brute_force(spark):
@@ -67,19 +91,30 @@ def test_sampling_equals_brute_force(spark):
         draw = int(hashlib.md5(f"{r.doc_id}|mix".encode()).hexdigest()[:13], 16) / 2**52
         assert r._tokens == len(SPACE_WORD.findall(r.text)) and r._sampled == (draw < r._probability)
     total = sum(r._tokens for r in got)
-    assert abs(sum(r._tokens * r._probability for r in got) / total - 0.85) < 1e-6
     for d in ("source", "lang", "_topic"):  # weighted tokens meet the flattened shares
-        have, want = {}, {}
+        have = {}
         for r in got:
             have[r[d]] = have.get(r[d], 0) + r._tokens * r._weight / total
-            want[r[d]] = want.get(r[d], 0) + r._tokens / total
-        aim = {k: v**0.7 for k, v in want.items()}
-        assert all(abs(have[k] - aim[k] / sum(aim.values())) < 1e-6 for k in have)
+        assert all(abs(have[k] - v) < 1e-6 for k, v in flattened(got, d).items())
+    assert sorted(r.doc_id for r in sample(docs).collect()) == sorted(r.doc_id for r in got if r._sampled)
 
 
 def test_edges(spark):
     docs = clashing(edge_docs(spark))
+    names = added(docs)
     got = with_probabilities(docs)
-    assert got.count() == docs.count()
-    assert got.where(F.col("_probability").isNull() | F.col("_weight").isNull() | F.col("_sampled").isNull()).count() == 0
+    assert got.count() == docs.count() and got.columns == [*docs.columns, *(names[k] for k in ("topic", "tokens", "weight", "probability", "residual", "sampled"))]
+    assert got.where(F.col(names["probability"]).isNull() | F.col(names["weight"]).isNull() | F.col(names["sampled"]).isNull()).count() == 0
     assert with_probabilities(empty_docs(spark)).count() == 0
+    alike = {}
+    for r in got.collect():
+        alike.setdefault((r.doc_id, r.source, r.lang, r[names["topic"]]), set()).add(r[names["sampled"]])
+    assert all(len(x) == 1 for x in alike.values())
+
+
+def test_users_columns_keep_their_values(spark):
+    docs = clashing(edge_docs(spark))
+    kept = sample(docs)
+    assert kept.columns == docs.columns
+    extra = columns(kept)[5:]
+    assert {tuple(r) for r in kept.select(*extra).distinct().collect()} == {("extra",) * len(extra)}
