@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found
     context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
     return context._jsc.sc().getCheckpointDir().get()
@@ -30,6 +34,30 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._kept_at = path
+    if _scopes:
+        _scopes[-1].append(kept)
+    return kept
+
+
+#: Tables kept within each open scratch().
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """At its end the tables that keep() made within it are deleted."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(*_scopes.pop())
+
+
+def keep_beyond(df: DataFrame, name: str) -> DataFrame:
+    """keep() of a table that outlives the scratch() it is made in."""
+    kept = keep(df, name)
+    if _scopes:
+        _scopes[-1].pop()
     return kept
 
 
