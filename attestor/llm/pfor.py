@@ -5,11 +5,14 @@ the index's place and magic again.  A block of ids holds its minimum, a bit widt
 bits each, and an exception list: place and full difference of each id that needs more bits.  The width is the least
 that fits ``percentile`` of the block's differences.  All numbers are little-endian.
 
-Ranges of doc_id, one per file, are set from its quantiles.  Documents are encoded (each distinct piece of text once per
-chunk) and dealt out by range; a task sorts its ranges and writes a file for each, which appears only when whole.  A manifest row per file gives the ids before it.
-
-Defined results: a null or empty text is the end id alone; null ids come first; documents with equal ids lie side by
-side, ordered by their ids' bytes; an empty table writes no file and gives an empty result.
+Ranges of doc_id, one per file, are set from its quantiles: a thousand at most, between which further files share the
+numbers evenly.  An id that spans whole quantiles has their files to itself, dealt by a checksum of the document's ids.
+Documents are encoded (each distinct piece of text once per chunk) and dealt out by range; a task sorts its ranges and writes
+a file for each, which appears only when whole.  A manifest row per file gives the ids before it.
+
+Defined results: a null or empty text is the end id alone; null ids come first; documents with equal doc_id lie side by
+side, ordered by their ids' bytes (within a file, where they fill several); a very long text is one document of many blocks; other columns are ignored whatever their names;
+an empty table writes no file and gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from attestor.llm.files import opened, whole_file
 from attestor.llm.frames import fresh_path, keep, map_chunks
 from attestor.llm.text import SPACES, Texts, space_words, word_hashes
-from attestor.llm.tokencount import byte_alphabet, loaded, once, tokenizer_text
+from attestor.llm.tokencount import loaded, once, tokenizer_text
 
 MAGIC = b"PFORTOK1"
 #: White space of the tokenizer's pattern beyond ASCII; texts with any are left to the library whole.
 OTHER_SPACE = "[\u0085   -     　]"
 
-#: The tokenizer's own pattern (a fixed value of the vocabulary).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words that the library encodes in one call.
+_TOGETHER = 512
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True
 _MARK = np.zeros(256, dtype=bool)
@@ -68,21 +71,15 @@ class Encoder:
     a blank its last character is a piece of its own.  One stop, comma or the like that ends a word after an ASCII letter
     or digit is a piece of its own too.  The tokenizer's pattern never matches across these borders.
 
-    The ids are the tokenizers library's.  Texts with an added token's string or other white space and runs of white space
-    go through that library; words go, joined by line feeds, through the same merges as ranks, which is several times
-    faster: a line feed before a word or blank is always a token of its own and never part of a word's.
+    All ids come from the tokenizers library.  Texts with an added token's string or other white space go through it whole;
+    words go joined by line feeds, some hundreds a call: a line feed before a word or blank is always a token of its own
+    and never part of a word's.
     """
 
     def __init__(self, text: str, remembered: int = 300_000):
-        import tiktoken
-
-        spec = json.loads(text)
         self.tokenizer = loaded(text)
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        alphabet = byte_alphabet()
-        ranks = {bytes(alphabet[c] for c in entry): id_ for entry, id_ in spec["model"]["vocab"].items() if entry not in self.special}
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.feed = ranks[b"\n"]
+        self.special = [x["content"] for x in json.loads(text).get("added_tokens", [])]
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.remembered = remembered
         self.memo: dict[int, bytes] = {}
 
@@ -92,12 +89,14 @@ class Encoder:
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """Words hold no line feed and no white space but one leading blank."""
-        if not words:
-            return []
-        ids = np.frombuffer(self.fast.encode_to_tiktoken_buffer((b"\n" + b"\n".join(words)).decode(), set()), "<u4")
-        feeds = np.flatnonzero(ids == self.feed)
-        # the feeds go; word k begins k + 1 ids earlier than behind its feed
-        return _cut(ids[ids != self.feed], (*(feeds - np.arange(len(feeds))).tolist(), len(ids) - len(feeds)))
+        out: list[bytes] = []
+        parts = ["\n" + b"\n".join(words[i : i + _TOGETHER]).decode() for i in range(0, len(words), _TOGETHER)]
+        for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            feeds = np.flatnonzero(ids == self.feed)
+            # the feeds go; word k begins k + 1 ids earlier than behind its feed
+            out += _cut(ids[ids != self.feed], (*(feeds - np.arange(len(feeds))).tolist(), len(ids) - len(feeds)))
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the texts' offsets among them."""
@@ -158,10 +157,28 @@ class Encoder:
         return ids, total[np.searchsorted(whose, np.arange(texts.n + 1))]
 
 
-def encoded(docs: DataFrame, path: str, layout: Layout, bounds: list[int], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: its part (the bounds that are not above its id; null: 0), doc_id, n_tokens with the end
-    id, ids (little-endian, 2 bytes each if all fit, else 4)."""
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_text(path), np.array(bounds, dtype=np.int64)))  # the vocabulary file; a number per file
+#: What a null doc_id counts as.
+_NULL = -(2**63)
+#: Most quantiles of doc_id that are asked for.
+_QUANTILES = 1000
+
+
+def parts_of(ids: np.ndarray, sums: np.ndarray, cuts: np.ndarray, between: int) -> np.ndarray:
+    """The file of each document, ascending with its id; cuts: ascending quantiles, each the first id of a new range;
+    between: the files of a range; sums: checksums, by which the documents of an id that fills whole ranges are dealt."""
+    left, right = np.searchsorted(cuts, ids, side="left"), np.searchsorted(cuts, ids, side="right")
+    edges = np.concatenate([[cuts[0] if len(cuts) else 0], cuts, [cuts[-1] if len(cuts) else 0]]).astype(np.float64)
+    low, high = edges[right], edges[np.minimum(right + 1, len(edges) - 1)]
+    share = np.divide(ids - low, high - low, out=np.zeros(len(ids)), where=high > low)  # the first and last range are not divided
+    inner = (right > 0) & (right < len(cuts))
+    part = right * between + np.where(inner, np.clip(np.floor(share * between), 0, between - 1), 0).astype(np.int64)
+    whole = (right - left - 1) * between  # files of ranges that hold this id alone
+    return np.where(whole > 0, (left + 1) * between + sums % np.maximum(whole, 1), part)
+
+
+def encoded(docs: DataFrame, path: str, layout: Layout, cuts: list[int], between: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of docs: its file, doc_id, n_tokens with the end id, ids (little-endian, 2 bytes each if all fit, else 4)."""
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_text(path), np.array(cuts, dtype=np.int64)))  # the vocabulary file, and some numbers
     slim = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -179,8 +196,9 @@ def encoded(docs: DataFrame, path: str, layout: Layout, bounds: list[int], id_co
         cuts = np.concatenate([[0], ends + 1])
         raw, size = narrow.tobytes(), narrow.itemsize
         values = pa.array([raw[a * size : b * size] for a, b in zip(cuts, cuts[1:])], pa.binary())
-        known = pc.fill_null(part.column(0), -(2**63)).to_numpy(zero_copy_only=False)
-        files = np.searchsorted(borders, known, side="right")
+        known = pc.fill_null(part.column(0), _NULL).to_numpy(zero_copy_only=False)
+        sums = np.fromiter((zlib.crc32(x) for x in values.to_pylist()), np.int64, n) if len(np.unique(borders)) < len(borders) else np.zeros(n, np.int64)
+        files = parts_of(known, sums, borders, between)
         return pa.RecordBatch.from_arrays([pa.array(files), part.column(0), pa.array(np.diff(cuts)), values], names=["part", "doc_id", "n_tokens", "ids"])
 
     return map_chunks(slim, rows, "part long, doc_id long, n_tokens long, ids binary", limit=4 << 20)
@@ -311,14 +329,17 @@ def write_tokens(docs: DataFrame, path: str, layout: Layout = Layout(), folder:
     folder = folder or fresh_path(spark, "tokens")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     files = max(1, -(-size // (4 * layout.file_ids)))  # four bytes a token, about
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / files for i in range(1, files)], max(10_000, 20 * files))).first()[0] if files > 1 else None
-    rows = encoded(docs, path, layout, sorted(set(cuts or ())))
+    ranges = min(files, _QUANTILES)
+    between = -(-files // ranges)
+    ids = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL))
+    cuts = docs.agg(F.percentile_approx(ids, [i / ranges for i in range(1, ranges)], 20 * _QUANTILES)).first()[0] if ranges > 1 else None
+    rows = encoded(docs, path, layout, sorted(cuts or ()), between)
     ordered = rows.repartition(files, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches):
         rows = ((part, doc, n, ids) for batch in batches for part, doc, n, ids in zip(*(batch.column(k).to_pylist() for k in range(4))))
         for part, mine in groupby(rows, key=lambda r: r[0]):
-            name = f"{folder}/part-{part:06d}.pfor"
+            name = f"{folder}/part-{part:09d}.pfor"
             with whole_file(name) as out:
                 made = Writer(out, layout)
                 for _, doc, n, ids in mine:
@@ -327,7 +348,11 @@ def write_tokens(docs: DataFrame, path: str, layout: Layout = Layout(), folder:
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(made.docs)], "n_ids": [made.ids]})
 
     manifest = keep(ordered.mapInArrow(run, "part long, file string, n_docs long, n_ids long"), "manifest")
-    return manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    group = F.floor(F.col("part") / 1024).alias("group")
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    groups = manifest.groupBy(group).agg(F.sum("n_ids").alias("n_ids")).select("group", earlier(Window.orderBy("group")).alias("start"))  # a row per 1024 files
+    placed = manifest.withColumn("group", group).withColumn("within", earlier(Window.partitionBy("group").orderBy("part"))).join(groups, "group")
+    return placed.select("part", "file", "n_docs", "n_ids", (F.col("start") + F.col("within")).alias("before"))
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

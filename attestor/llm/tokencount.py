@@ -6,8 +6,9 @@ between ASCII white space, since the tokenizer drops white space and merges with
 distinct word is counted once: words and pre-tokens in the proved set count 1 without merging, and only the rest is
 merged by the library.  Texts that hold an added token's string, and words beyond ASCII, are left to the library whole.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives
-an empty result; extra columns are ignored.
+Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each, rows with one id and
+different texts too; very long texts and words are counted whole; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations

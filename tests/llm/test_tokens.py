@@ -83,3 +83,45 @@ def test_files_round_trip(spark, file_ids):
 
 def test_no_rows_no_files(spark):
     assert pfor.read_tokens(pfor.write_tokens(empty_docs(spark), BYTES)).count() == 0
+
+
+def test_very_long_texts_and_repeated_ids(spark):
+    rows = [(1, "one"), (1, "two words"), (None, "x"), (2, "abc" * 350_000), (3, "some words of a long text. " * 60_000)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    library = tokencount.loaded(tokencount.tokenizer_text(BYTES))
+    got = sorted(pfor.read_tokens(pfor.write_tokens(docs, BYTES)).collect(), key=lambda r: r.start)
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((i is not None, i or 0) for i, _ in rows)
+    sums = {zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in rows}
+    assert {r.ids_crc32 for r in got} == sums
+    words = tokencount.loaded(tokencount.tokenizer_text(WORDS))
+    counts = sorted((r.n_bytes, r.n_tokens) for r in tokencount.token_counts(docs, WORDS, 100).collect())
+    assert counts == sorted((len(t), len(words.encode(t, add_special_tokens=False).ids)) for _, t in rows)
+
+
+def test_files_ascend_with_the_ids_and_a_frequent_id_has_several():
+    rng = np.random.default_rng(5)
+    ids = np.sort(np.concatenate([rng.integers(-(2**40), 2**40, 6000), np.full(3000, 77), np.full(1000, -(2**63))]))
+    for quantiles, between in ((20, 1), (20, 4), (1, 1), (4, 50)):
+        cuts = ids[[i * len(ids) // quantiles for i in range(1, quantiles)]]
+        parts = pfor.parts_of(ids, rng.integers(0, 2**32, len(ids)), cuts, between)
+        known = np.unique(ids[ids != 77])
+        assert (np.diff(parts[ids != 77]) >= 0).all()
+        if quantiles > 4:
+            hot = parts[ids == 77]
+            assert len(set(hot.tolist())) >= 3 * between and parts[ids < 77].max() <= hot.min() and hot.max() <= parts[ids > 77].min()
+            assert len(set(parts.tolist())) >= 0.6 * quantiles * between
+        assert len(known) > 5000
+    assert pfor.parts_of(np.array([5, 6]), np.zeros(2, np.int64), np.array([], np.int64), 1).tolist() == [0, 0]
+
+
+def test_many_rows_of_one_id_round_trip(spark):
+    rows = [(7 if i % 3 else i, f"text number {i} of some words") for i in range(3000)] + [(None, f"none {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = pfor.write_tokens(docs, BYTES, pfor.Layout(block=64, file_ids=500))
+    got = sorted(pfor.read_tokens(manifest).collect(), key=lambda r: r.start)
+    library = tokencount.loaded(tokencount.tokenizer_text(BYTES))
+    assert [-1 if r.doc_id is None else r.doc_id for r in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in got) == sorted((i is not None, i or 0, crc(t)) for i, t in rows)
+    assert manifest.where("n_docs > 0").count() > 10
