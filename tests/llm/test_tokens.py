@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -48,6 +49,33 @@ def test_encoder_equals_the_library():
             assert ids[offsets[i] : offsets[i + 1]].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_ranks_are_used_only_where_they_are_proved():
+    spec = json.loads(tokencount.tokenizer_text(BYTES))
+    library = tokencount.loaded(json.dumps(spec))
+    ranks = pfor.same_merges(spec, library)
+    assert len(ranks) >= 50_000
+    for key, value in (("pre_tokenizer", None), ("normalizer", {"type": "NFC"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True})):
+        assert pfor.same_merges(spec | {key: value}, library) is None
+    for key, value in (("dropout", 0.1), ("ignore_merges", True), ("merges", spec["model"]["merges"][::-1])):
+        assert pfor.same_merges(spec | {"model": spec["model"] | {key: value}}, library) is None
+    # without its merge a token cannot be made: it is no rank, and words come out as the library has them
+    fewer = spec | {"model": spec["model"] | {"merges": [m for m in spec["model"]["merges"] if "".join(m) != "the"]}}
+    assert b"the" not in pfor.same_merges(fewer, tokencount.loaded(json.dumps(fewer)))
+
+
+@pytest.mark.parametrize("proved", [True, False])
+def test_words_equal_the_library_either_way(proved):
+    text = tokencount.tokenizer_text(BYTES)
+    encoder = pfor.Encoder(text if proved else text.replace('"ignore_merges": false', '"ignore_merges": true').replace('"ignore_merges":false', '"ignore_merges":true'))
+    assert bool(encoder.ranked) == proved
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(c) for c in rng.choice([*range(33, 127), 233, 223, 0x4E2D, 0x1F642, 0x301], rng.integers(1, 12))) for _ in range(5000)]
+    column = pa.array([" ".join(words[i : i + 50]) for i in range(0, 5000, 50)])
+    ids, offsets = encoder.encode(column)
+    for i, t in enumerate(column.to_pylist()):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     layout = pfor.Layout(block=256)
