@@ -8,6 +8,8 @@ negative).  ``now`` is always given.  Sums run over whole millionths or billiont
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestor.functions import exprs as X
@@ -27,11 +29,29 @@ def document_reliability(documents: DataFrame, model: Model = DEFAULT) -> DataFr
     spam = F.col("spam_score") if "spam_score" in documents.columns else F.lit(None).cast("double")
     override = F.col("reliability_override") if "reliability_override" in documents.columns else None
     own = F.col("classification") if "classification" in documents.columns else F.lit(None).cast("string")
-    ranked = accepted(documents).withColumn("percentile", X.percentile_rank(F.col("prominence"), Window.partitionBy("entity_id")))
+    ranked = with_percentile(accepted(documents))
     kinds = ranked.withColumn("classification", F.coalesce(own, X.classify_domain(F.col("domain_rank"), spam)))
     return kinds.withColumn("reliability", X.reliability(F.col("domain_rank"), F.col("url_rank"), F.col("percentile"), F.col("classification"), override, model))
 
 
+def with_percentile(documents: DataFrame, cuts: int = 64) -> DataFrame:
+    """documents with percentile: the share of lower prominences among an entity's other ones; 1 for a single one.
+
+    An entity's documents are dealt out by approximate quantiles of its prominence, so a rank is taken within a part and
+    moved on by the documents of the parts before it: no task sorts all documents of an entity.
+    """
+    part = lambda c: F.aggregate(F.coalesce("_cuts", F.array().cast("array<double>")), F.lit(0), lambda n, x: n + (x < c).cast("int"))
+    known = documents.where(F.col("prominence").isNotNull())
+    edges = known.groupBy("entity_id").agg(F.percentile_approx(F.col("prominence").cast("double"), [i / cuts for i in range(1, cuts)], 20 * cuts).alias("_cuts"))
+    placed = documents.join(edges, "entity_id", "left").withColumn("_part", part(F.col("prominence").cast("double"))).drop("_cuts")
+    sizes = placed.groupBy("entity_id", "_part").agg(F.count("prominence").alias("_n"))  # some numbers an entity
+    entity = Window.partitionBy("entity_id")
+    before = sizes.select("entity_id", "_part", F.sum("_n").over(entity).alias("_all"), F.coalesce(F.sum("_n").over(entity.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.rank().over(Window.partitionBy("entity_id", "_part").orderBy(F.col("prominence").asc_nulls_last())) - 1
+    found = F.when(F.col("prominence").isNull(), None).when(F.col("_all") == 1, 1.0).otherwise(rank / (F.col("_all") - 1))
+    return placed.join(before, ["entity_id", "_part"]).withColumn("percentile", found).drop("_part", "_before", "_all")
+
+
 def assign_independence(pairs: DataFrame, model: Model = DEFAULT) -> DataFrame:
     """pairs (entity_id, association_id, document_id, root_domain, cluster_id, cluster_kind, is_primary, reliability) with
     ordinal and independence.
@@ -42,7 +62,8 @@ def assign_independence(pairs: DataFrame, model: Model = DEFAULT) -> DataFrame:
     w = model["independence"]
     order = [F.col("is_primary").desc(), F.col("reliability").desc(), F.col("document_id")]
     by_domain = Window.partitionBy(*KEYS, F.coalesce(F.col("root_domain").cast("string"), F.concat(F.lit("doc:"), F.col("document_id").cast("string")))).orderBy(*order)
-    by_cluster = Window.partitionBy(*KEYS, "cluster_id").orderBy(*order)
+    # documents without a cluster are partitions of their own
+    by_cluster = Window.partitionBy(*KEYS, F.coalesce(F.concat(F.lit("c:"), F.col("cluster_id").cast("string")), F.concat(F.lit("d:"), F.col("document_id").cast("string")))).orderBy(*order)
     placed = pairs.select(
         "*", (F.row_number().over(by_domain) - 1).alias("ordinal"), F.row_number().over(by_cluster).alias("cluster_place"), F.first("root_domain").over(by_cluster).alias("cluster_domain")
     )
@@ -60,7 +81,7 @@ def evidence_scores(documents: DataFrame, evidence: DataFrame, now: Column, half
     pairs = evidence.select("association_id", "document_id").distinct().join(
         reliable.select("entity_id", "document_id", "root_domain", "cluster_id", "cluster_kind", "is_primary", "reliability", "entity_confidence", "effective_date"), "document_id"
     )
-    weights = assign_independence(pairs, model).select("entity_id", "association_id", "document_id", "reliability", "independence", "entity_confidence", "effective_date")
+    weights = assign_independence(pairs, model).select("entity_id", "association_id", "document_id", "root_domain", "reliability", "independence", "entity_confidence", "effective_date")
     index = F.row_number().over(Window.partitionBy("association_id", "document_id").orderBy("occurrence", "token_distance", "relationship_confidence")) - 1
     rows = evidence.withColumn("mention_weight", X.mention_weight(index)).join(weights, ["association_id", "document_id"])
     rows = rows.withColumn("proximity", X.proximity(F.col("token_distance"), F.col("boundary"), model)).withColumn("recency", X.recency(F.col("effective_date"), now, half_life, model))
@@ -68,14 +89,15 @@ def evidence_scores(documents: DataFrame, evidence: DataFrame, now: Column, half
     return rows.withColumn("evidence_score", X.evidence_score(*fixed, F.col("recency"), F.col("mention_weight"))).withColumn("undecayed", X.evidence_score(*fixed, F.lit(1.0), F.col("mention_weight")))
 
 
-def document_scores(scores: DataFrame) -> DataFrame:
-    """evidence_scores() rolled up to one row per (association, document); evidence in whole millionths."""
+def document_scores(scores: DataFrame, *more: str) -> DataFrame:
+    """evidence_scores() rolled up to one row per (association, document); evidence in whole millionths.  more: further
+    columns of the document."""
     micros = lambda c: F.sum(F.floor(F.col(c) * MICRO + 0.5).cast("long"))
     return scores.groupBy("entity_id", "association_id", "document_id").agg(
         F.count("*").alias("raw_mentions"), X.half_up(F.sum("mention_weight"), 4).alias("capped_weight"), F.max("proximity").alias("best_proximity"),
         X.half_up(F.max("relationship_confidence"), 4).alias("max_relationship"), F.max("independence").alias("independence"), F.max("recency").alias("recency"), F.max("reliability").alias("reliability"),
         micros("evidence_score").alias("evidence_micros"), micros("undecayed").alias("undecayed_micros"),
-        X.half_up(F.sum(F.col("positive") - F.col("negative")) / F.count("*"), 4).alias("sentiment"), F.max("effective_date").alias("effective_date"),
+        X.half_up(F.sum(F.col("positive") - F.col("negative")) / F.count("*"), 4).alias("sentiment"), F.max("effective_date").alias("effective_date"), *(F.first(c).alias(c) for c in more),
     )
 
 
@@ -94,30 +116,41 @@ def entity_documents(documents: DataFrame, since: Column | None = None, until: C
     return accepted(documents).where(_since(F.col("effective_date"), since, until)).groupBy("entity_id").agg(F.count("*").alias("entity_documents"))
 
 
+def _measures(now: Column, half_life: float | None, model: Model) -> dict[str, Column]:
+    """What is summed over the documents of an association, in whole numbers, so that partial sums add up."""
+    weight, relation = F.col("independence"), F.col("max_relationship")
+    undecayed, decay = F.col("undecayed_micros") / MICRO, X.recency(F.col("effective_date"), now, half_life, model)
+    return {
+        "documents": F.lit(1).cast("long"), "raw_mentions": F.col("raw_mentions"), "sources": X.scaled(weight), "authority": X.scaled(relation * F.col("reliability") * weight * F.col("capped_weight")),
+        "current": X.scaled(undecayed * decay), "historical": F.col("undecayed_micros"), "mass": X.scaled(relation * F.col("best_proximity") * weight),
+    }
+
+
+def _shown_components(sums: DataFrame, counts: DataFrame | None, split: list[str], model: Model, passing: Sequence[str] = ()) -> DataFrame:
+    """Sums of _measures, with domains, as the components; counts: entity_documents per entity (and window); passing:
+    columns that stay."""
+    joined = sums.join(counts, ["entity_id", *split], "left") if counts is not None else sums.withColumn("entity_documents", F.lit(0))
+    of = {c: X.unscaled(F.col(c)) for c in ("sources", "authority", "current", "mass")} | {"historical": F.col("historical") / MICRO}
+    corroboration = F.log1p(of["sources"]) if model.log_corroboration else of["sources"]
+    return joined.select(
+        *KEYS, *split, *passing, "documents", "domains", "raw_mentions", X.half_up(of["sources"], 3).alias("independent_sources"), X.half_up(corroboration, 4).alias("corroboration_raw"),
+        X.half_up(of["authority"], 4).alias("authority_evidence"), X.half_up(of["current"], 4).alias("current_evidence"), X.half_up(of["historical"], 4).alias("historical_evidence"),
+        X.half_up(X.safe_div(of["current"], of["historical"]), 4).alias("recency_ratio"), X.half_up(X.safe_div(of["mass"], of["sources"]), 4).alias("relationship_quality"),
+        X.half_up(X.safe_div(F.col("documents"), F.col("entity_documents")), 4).alias("corpus_share"),
+    )
+
+
 def components(scores: DataFrame, documents: DataFrame, counts: DataFrame, now: Column, half_life: float | None = None, model: Model = DEFAULT) -> DataFrame:
     """One row per (entity, association) of the given document scores; counts: entity_id, entity_documents.
 
     If the scores have a column ``window``, one row per window too, and counts are per window.
     """
     split = ["window"] if "window" in scores.columns else []
-    domains = documents.select("document_id", "root_domain")
-    decay = X.recency(F.col("effective_date"), now, half_life, model)
-    total = lambda c: X.unscaled(F.sum(X.scaled(c)))
-    weight, relation = F.col("independence"), F.col("max_relationship")
-    undecayed = F.col("undecayed_micros") / MICRO
-    sums = scores.join(domains, "document_id").groupBy(*KEYS, *split).agg(
-        F.count("*").alias("documents"), F.countDistinct("root_domain").alias("domains"), F.sum("raw_mentions").alias("raw_mentions"), total(weight).alias("sources"),
-        total(relation * F.col("reliability") * weight * F.col("capped_weight")).alias("authority"), total(undecayed * decay).alias("current"),
-        (F.sum("undecayed_micros") / MICRO).alias("historical"), total(relation * F.col("best_proximity") * weight).alias("mass"),
-    )
-    joined = sums.join(counts, ["entity_id", *split], "left") if counts is not None else sums.withColumn("entity_documents", F.lit(0))
-    corroboration = F.log1p("sources") if model.log_corroboration else F.col("sources")
-    return joined.select(
-        *KEYS, *split, "documents", "domains", "raw_mentions", X.half_up(F.col("sources"), 3).alias("independent_sources"), X.half_up(corroboration, 4).alias("corroboration_raw"),
-        X.half_up(F.col("authority"), 4).alias("authority_evidence"), X.half_up(F.col("current"), 4).alias("current_evidence"), X.half_up(F.col("historical"), 4).alias("historical_evidence"),
-        X.half_up(X.safe_div(F.col("current"), F.col("historical")), 4).alias("recency_ratio"), X.half_up(X.safe_div(F.col("mass"), F.col("sources")), 4).alias("relationship_quality"),
-        X.half_up(X.safe_div(F.col("documents"), F.col("entity_documents")), 4).alias("corpus_share"),
-    )
+    measures = _measures(now, half_life, model)
+    sums = scores.join(documents.select("document_id", "root_domain"), "document_id").groupBy(*KEYS, *split).agg(
+        *(F.sum(c).alias(name) for name, c in measures.items()), F.countDistinct("root_domain").alias("domains")
+    )
+    return _shown_components(sums, counts, split, model)
 
 
 def pias(parts: DataFrame, model: Model = DEFAULT) -> DataFrame:
@@ -165,22 +198,35 @@ def sentiment(scores: DataFrame, documents: DataFrame) -> DataFrame:
     return found.withColumn("label", label)
 
 
+def _momentum_sums(now: Column, model: Model) -> dict[str, Column]:
+    days = model["momentum"]["period_days"]
+    start, before, date = X.days_before(now, days), X.days_before(now, 2 * days), F.col("effective_date")
+    out = {}
+    for name, cond in (("current", (date >= start) & (date < now)), ("previous", (date >= before) & (date < start))):
+        out[f"{name}_period_micros"] = F.when(cond, F.col("undecayed_micros")).otherwise(0)
+        out[f"{name}_period_documents"] = F.coalesce(cond, F.lit(False)).cast("long")
+    return out
+
+
+def _with_totals(per: DataFrame) -> DataFrame:
+    """The sums of _momentum_sums with the entity's."""
+    entity = Window.partitionBy("entity_id")
+    return per.select("*", F.sum("current_period_micros").over(entity).alias("total_now"), F.sum("previous_period_micros").over(entity).alias("total_before"))
+
+
+def _momentum_fields(model: Model) -> tuple[Column, dict[str, Column]]:
+    """Whether there are too few documents, and the fields, over the columns of _with_totals."""
+    fields = X.momentum_fields(*(F.col(c) for c in ("current_period_micros", "previous_period_micros", "total_now", "total_before")), model)
+    return F.coalesce(F.col("current_period_documents") + F.col("previous_period_documents"), F.lit(0)) < model["momentum"]["min_documents"], fields
+
+
 def momentum(scores: DataFrame, now: Column, model: Model = DEFAULT) -> DataFrame:
     """Change between the last period and the one before, against the entity's own change; few documents are not measured."""
-    days, floor = model["momentum"]["period_days"], model["momentum"]["min_documents"]
-    start, before = X.days_before(now, days), X.days_before(now, 2 * days)
-    date = F.col("effective_date")
-    recent, earlier = (date >= start) & (date < now), (date >= before) & (date < start)
-    weight = lambda cond: F.sum(F.when(cond, F.col("undecayed_micros")).otherwise(0))
-    per = scores.groupBy(*KEYS).agg(
-        weight(recent).alias("current"), weight(earlier).alias("previous"), F.count_if(recent).alias("current_documents"), F.count_if(earlier).alias("previous_documents")
-    )
-    entity = Window.partitionBy("entity_id")
-    totals = per.select("*", F.sum("current").over(entity).alias("total_now"), F.sum("previous").over(entity).alias("total_before"))
-    fields = X.momentum_fields(*(F.col(c) for c in ("current", "previous", "total_now", "total_before")), model)
-    few = F.coalesce(F.col("current_documents") + F.col("previous_documents"), F.lit(0)) < floor
+    totals = _with_totals(scores.groupBy(*KEYS).agg(*(F.sum(c).alias(name) for name, c in _momentum_sums(now, model).items())))
+    few, fields = _momentum_fields(model)
     shown = [F.when(~few, fields[k]).alias(k) for k in ("raw_change", "relative_change", "basis")]
-    return totals.select(*KEYS, "current_documents", "previous_documents", *shown, F.when(few, "insufficient").otherwise(fields["bucket"]).alias("bucket"), few.alias("below_floor"))
+    counts = [F.col(f"{name}_period_documents").alias(f"{name}_documents") for name in ("current", "previous")]
+    return totals.select(*KEYS, *counts, *shown, F.when(few, "insufficient").otherwise(fields["bucket"]).alias("bucket"), few.alias("below_floor"))
 
 
 def timeline(scores: DataFrame, now: Column, months: int = 36) -> DataFrame:
@@ -199,33 +245,47 @@ def monthly_metrics(scores: DataFrame, documents: DataFrame, now: Column) -> Dat
 
 
 def leaderboard(documents: DataFrame, evidence: DataFrame, now: Column, window_days: int | None = None, half_life: int | None = None, cutoff: Column | None = None, model: Model = DEFAULT) -> DataFrame:
-    """One row per association: PIAS lifetime, current and historical, bands, counts, shares, momentum."""
+    """One row per association: PIAS lifetime, current and historical, bands, counts, shares, momentum.
+
+    The evidence is rolled up once; its windows, domains and momentum come from one aggregation by domain and then by
+    association, and the documents of all windows from one count.
+    """
     half_life = X.checked_half_life(half_life)
-    scores = rescore(documents, evidence, now, half_life, model)
+    scores = document_scores(evidence_scores(documents, evidence, now, half_life, model), "root_domain")
     window_start = X.days_before(now, window_days) if window_days else None
     current_start = cutoff if cutoff is not None else X.days_before(now, model.current_window_days)
-    inside = scores.where(_since(F.col("effective_date"), window_start, None))
-    is_current = F.coalesce(F.col("effective_date") >= current_start, F.lit(False))
-    windows = {"life": (window_start, None), "current": (current_start, None), "past": (window_start, current_start)}
-    counts = None
-    for name, (since, until) in windows.items():
-        one = entity_documents(documents, since, until).withColumn("window", F.lit(name))
-        counts = one if counts is None else counts.unionByName(one)
-    # every score counts for the lifetime and for one of the other windows: one aggregation for all three
-    tagged = inside.withColumn("window", F.explode(F.array(F.lit("life"), F.when(is_current, "current").otherwise("past"))))
-    scored = pias(components(tagged, documents, counts, now, half_life, model), model)
+    date = F.col("effective_date")
+    inside = F.coalesce(_since(date, window_start, None), F.lit(False))
+    is_current = F.coalesce(date >= current_start, F.lit(False))
+    tests = {"life": inside, "current": inside & is_current, "past": inside & ~is_current}
+    measures, moved = _measures(now, half_life, model), _momentum_sums(now, model)
+    # each measure is computed once, then summed where its document lies in a window
+    measured = scores.select(*KEYS, "root_domain", *(c.alias(f"_{name}") for name, c in (measures | moved).items()), *(test.alias(f"_in_{w}") for w, test in tests.items()))
+    parts = {f"{w}_{name}": F.when(F.col(f"_in_{w}"), F.col(f"_{name}")).otherwise(0) for w in tests for name in measures} | {name: F.col(f"_{name}") for name in moved}
+    by_domain = measured.groupBy(*KEYS, "root_domain").agg(*(F.sum(c).alias(name) for name, c in parts.items()))
+    domains = [F.count_if((F.col(f"{w}_documents") > 0) & F.col("root_domain").isNotNull()).alias(f"{w}_domains") for w in tests]
+    sums = _with_totals(by_domain.groupBy(*KEYS).agg(*(F.sum(name).alias(name) for name in parts), *domains))
+    passing = (*moved, "total_now", "total_before")
+    ranges = {"life": (window_start, None), "current": (current_start, None), "past": (window_start, current_start)}
+    counted = accepted(documents).groupBy("entity_id").agg(*(F.count_if(_since(date, *ranges[w])).alias(w) for w in ranges))
+    per_window = lambda *cells: F.explode(F.array(*cells)).alias("x")
+    counts = counted.select("entity_id", per_window(*(F.struct(F.lit(w).alias("window"), F.col(w).alias("entity_documents")) for w in ranges))).select("entity_id", "x.*")
+    cells = [F.struct(F.lit(w).alias("window"), *(F.col(f"{w}_{name}").alias(name) for name in (*measures, "domains"))) for w in tests]
+    windows = sums.select(*KEYS, *passing, per_window(*cells)).select(*KEYS, *passing, "x.*").where("documents > 0")
+    scored = pias(_shown_components(windows, counts, ["window"], model, passing), model)
     of = lambda window, column, name: F.max(F.when(F.col("window") == window, F.col(column))).alias(name)
     life = ("pias", "band", "documents", "domains", "raw_mentions", "independent_sources", "authority_evidence", "corpus_share", "recency_ratio")
     board = scored.groupBy(*KEYS).agg(
         *(of("life", c, c) for c in life), *(of("current", c, f"current_{c}") for c in ("pias", "band", "documents", "domains", "corpus_share")), of("current", "historical_evidence", "current_mass"),
-        *(of("past", c, f"historical_{c}") for c in ("pias", "band", "corpus_share")),
+        *(of("past", c, f"historical_{c}") for c in ("pias", "band", "corpus_share")), *(of("life", c, c) for c in passing),
     )
     mass = F.sum("current_mass").over(Window.partitionBy("entity_id"))
     zero = {"current_pias": 0.0, "historical_pias": 0.0, "current_documents": 0, "current_domains": 0, "current_corpus_share": 0.0, "historical_corpus_share": 0.0, "current_association_share": 0.0, "current_band": "marginal", "historical_band": "marginal"}
     shared = board.withColumn("current_association_share", X.half_up(X.safe_div(F.col("current_mass"), mass), 4)).fillna(zero)
-    joined = shared.join(entity_documents(documents, window_start), "entity_id")
-    moved = momentum(scores, now).select(*KEYS, F.col("bucket").alias("momentum"))
-    return joined.join(moved, KEYS).select(
+    few, fields = _momentum_fields(model)
+    shared = shared.withColumn("momentum", F.when(few, "insufficient").otherwise(fields["bucket"]))
+    joined = shared.join(counted.select("entity_id", F.col("life").alias("entity_documents")).where("entity_documents > 0"), "entity_id")
+    return joined.select(
         *KEYS, "pias", "band", "current_pias", "current_band", "historical_pias", "historical_band", "documents", "domains", "raw_mentions", "independent_sources", "authority_evidence",
         "current_documents", "current_domains", "corpus_share", "current_corpus_share", "historical_corpus_share", "current_association_share", "recency_ratio",
         X.conditional_score(F.col("documents"), F.col("entity_documents")).alias("corpus_conditional_score"), "momentum",

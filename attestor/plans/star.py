@@ -36,7 +36,9 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "2-HIGH", 0.7).otherwise(0.1).alias("sentiment_positive"), F.when(F.col("o_orderpriority") == "1-URGENT", 0.8).otherwise(0.1).alias("sentiment_negative"),
         F.when(F.col("o_orderpriority") == "2-HIGH", 0.2).when(F.col("o_orderpriority") == "1-URGENT", 0.1).otherwise(0.8).alias("sentiment_neutral"),
     )
-    clustered = Window.partitionBy("cluster_id").orderBy("seen_at", "document_id")
+    # a document without a cluster is a partition of its own, so that they do not all meet in one
+    own = F.coalesce(F.col("cluster_id"), -1 - F.col("document_id"))
+    clustered = Window.partitionBy(own).orderBy("seen_at", "document_id")
     return rows.withColumn("is_primary", F.col("cluster_id").isNotNull() & (F.row_number().over(clustered) == 1))
 
 
