@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -15,17 +17,39 @@ def growth_candidates(board: DataFrame, limit: int = 15) -> DataFrame:
     return board.where(fit).withColumn("place", place).where(F.col("place") <= limit)
 
 
-def pick_facts(facts: DataFrame, per_association: int = 5, most: int = 25) -> DataFrame:
-    """Facts (entity_id, association_id, document_id, cluster_id, weight) taken in order of weight under caps: so many per
-    association, one per document, one per cluster.  The choice depends on the ones before it, so an entity's facts are
-    walked in one task; only the best ``most`` times the caps can matter and the rest never leave their partition.
+FACT = "entity_id {0}, association_id string, document_id long, evidence_id long, place int"
+
+
+def pick_facts(facts: DataFrame, per_association: int = 5, most: int = 25, pool: int = 600, shortest: int = 40, block_terms: Sequence[str] = ()) -> DataFrame:
+    """Facts (entity_id, association_id, document_id, cluster_id, evidence_id, weight, page_rank, passage) for a text.
+
+    Of an entity's ``pool`` heaviest, those on the search page come first by rank, then the others by weight, and one after the
+    other is taken unless its association has ``per_association``, its passage is short or names a blocked term, or its
+    document or cluster is used; ``most`` are taken.  What is taken depends on what was taken before, so the pool, which has
+    a fixed size, is walked in one task.
     """
-    best = Window.partitionBy("entity_id", "association_id").orderBy(F.desc("weight"), "document_id")
-    one_per_document = facts.withColumn("_k", F.row_number().over(Window.partitionBy("entity_id", "document_id").orderBy(F.desc("weight"), "association_id"))).where("_k = 1").drop("_k")
-    one_per_cluster = one_per_document.withColumn("_k", F.row_number().over(Window.partitionBy("entity_id", F.coalesce(F.col("cluster_id").cast("string"), F.concat(F.lit("d"), F.col("document_id").cast("string")))).orderBy(F.desc("weight"), "document_id"))).where("_k = 1").drop("_k")
-    capped = one_per_cluster.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= per_association).drop("_k")
-    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "association_id", "document_id"))
-    return capped.withColumn("place", place).where(F.col("place") <= most)
+    heaviest = Window.partitionBy("entity_id").orderBy(F.desc("weight"), "association_id", "document_id", "evidence_id", "passage")
+    wanted = facts.withColumn("_place", F.row_number().over(heaviest)).where(F.col("_place") <= pool).select("entity_id", "association_id", "document_id", F.col("cluster_id").cast("string").alias("cluster_id"), "evidence_id", "page_rank", F.col("_place").alias("at"), "passage")
+    kind = facts.schema["entity_id"].dataType.simpleString()
+    blocked = list(block_terms)
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["page_rank", "at"], na_position="last")
+        taken, counts, documents, clusters = [], {}, set(), set()
+        for entity, association, document, cluster, evidence, passage in zip(*(frame[c] for c in ("entity_id", "association_id", "document_id", "cluster_id", "evidence_id", "passage"))):
+            body = T.squeeze(passage or "")
+            used = document in documents or (cluster is not None and cluster in clusters)
+            if counts.get(association, 0) >= per_association or len(body) < shortest or used or (blocked and T.occurrences(body, blocked)):
+                continue
+            documents.add(document)
+            clusters.add(cluster)
+            counts[association] = counts.get(association, 0) + 1
+            taken.append((entity, association, document, evidence, len(taken) + 1))
+            if len(taken) == most:
+                break
+        return pd.DataFrame(taken, columns=["entity_id", "association_id", "document_id", "evidence_id", "place"])
+
+    return wanted.groupBy("entity_id").applyInPandas(walk, FACT.format(kind))
 
 
 def passages(texts: DataFrame, size: int = 700, most: int = 25) -> DataFrame:

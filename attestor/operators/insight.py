@@ -180,26 +180,48 @@ def alerts(board: DataFrame, prior: DataFrame) -> DataFrame:
     return j.select(*KEYS, F.explode(rows).alias("a")).select(*KEYS, "a.kind", "a.severity")
 
 
-def coverage(documents: DataFrame, now: Column, sources: Column | None = None) -> DataFrame:
-    """Per entity the coverage criteria that its documents can answer, as rows (criterion, met, partial), and the level.
+def coverage(documents: DataFrame, now: Column, log: DataFrame | None = None) -> DataFrame:
+    """Per entity the nine coverage criteria as rows (criterion, met, partial).
 
-    Criteria about the ingest run (exhausted, aliases, citations) need its log; they are met or not by the caller.
+    documents may have a column provider.  log: one row per entity of what its ingest run and provider report: stop_reason,
+    known_aliases, queried_aliases (arrays), total_citations; an entity without a row meets none of those criteria.
     """
     ok = F.col("verdict") == "accept"
+    provider = F.col("provider") if "provider" in documents.columns else F.lit(None).cast("string")
     sums = documents.groupBy("entity_id").agg(
         F.count_if(ok).alias("total"), F.countDistinct(F.when(ok, F.col("root_domain"))).alias("domains"), F.count_if(ok & F.col("published_at").isNull() & F.col("group_date").isNotNull()).alias("inferred"),
-        F.count_if(ok & F.col("effective_date").isNull()).alias("undated"), F.min(F.when(ok, F.col("effective_date"))).alias("earliest"),
+        F.count_if(ok & F.col("effective_date").isNull()).alias("undated"), F.min(F.when(ok, F.col("effective_date"))).alias("earliest"), F.countDistinct(provider).alias("providers"),
         F.sum(F.when(ok, X.scaled(F.col("entity_confidence")))).alias("confidence"), F.count_if(F.col("verdict") == "review").alias("review"),
     )
+    fields = {"stop_reason": "string", "known_aliases": "array<string>", "queried_aliases": "array<string>", "total_citations": "long"}
+    if log is None:
+        known = sums.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in fields.items()))
+    else:
+        known = sums.join(log.select("entity_id", *fields), "entity_id", "left")
     total, years = F.col("total"), F.coalesce(X.age_days(F.col("earliest"), now) / 365.25, F.lit(0.0))
     mean = X.half_up(X.unscaled(F.col("confidence")) / total, 3)
+    folded = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower))
+    aliases, asked = folded("known_aliases"), F.size(F.array_intersect(folded("known_aliases"), folded("queried_aliases")))
+    cited = F.coalesce(F.col("total_citations"), F.lit(0))
     criteria = [
         ("corpus_size", total >= 500, total >= 100), ("domain_diversity", F.col("domains") >= 150, F.col("domains") >= 40),
+        ("corpus_exhausted", F.col("stop_reason") == "exhausted", F.col("stop_reason") == "max_documents"), ("alias_coverage", F.col("stop_reason").isNotNull() & (asked == F.size(aliases)), asked > 0),
         ("disambiguation", (mean >= 0.85) & (F.col("review") < total * 0.25), mean >= 0.75), ("historical_depth", years >= 5, years >= 2),
-        ("dating", F.col("undated") + F.col("inferred") < total * 0.3, F.col("undated") < total * 0.3),
+        ("dating", F.col("undated") + F.col("inferred") < total * 0.3, F.col("undated") < total * 0.3), ("provider_diversity", F.col("providers") >= 2, F.col("providers") >= 1),
+        ("corpus_sampling", (cited > 0) & (total >= cited * 0.5), (cited > 0) & (total >= cited * 0.1)),
     ]
     rows = F.array(*(F.struct(F.lit(k).alias("criterion"), F.coalesce(met, F.lit(False)).alias("met"), F.coalesce(part, F.lit(False)).alias("partial")) for k, met, part in criteria))
-    return sums.select("entity_id", F.explode(rows).alias("c")).select("entity_id", "c.*")
+    return known.select("entity_id", F.explode(rows).alias("c")).select("entity_id", "c.*")
+
+
+def stop_reason_text(reason: Column, available: Column) -> Column:
+    """An ingest run's reason to stop, in words."""
+    of = F.when(available > 0, F.concat(F.lit(" of "), F.format_number(available, 0), F.lit(" available"))).otherwise("")
+    return (
+        F.when(reason == "exhausted", "provider corpus exhausted").when(reason == "max_documents", F.concat(F.lit("stopped at the document ceiling"), of)).when(reason == "budget", "stopped at the cost ceiling")
+        .when(reason == "provider_depth_limit", "stopped at the provider pagination limit").when(reason == "provider_balance", "stopped — provider account balance exhausted")
+        .when(F.coalesce(reason, F.lit("")) != "", F.concat(F.lit("stopped: "), reason)).otherwise("unknown")
+    )
 
 
 def coverage_level(criteria: DataFrame) -> DataFrame:

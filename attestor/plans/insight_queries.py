@@ -152,19 +152,34 @@ def alerts(spark, sf):
     return I.alerts(board, prior)
 
 
-_COVER = f"""cov AS (SELECT entity_id, count(*) FILTER (WHERE verdict = 'accept') AS total, count(DISTINCT CASE WHEN verdict = 'accept' THEN root_domain END) AS domains,
+# What an ingest run and its provider report of an entity: the first was read whole, the next two were cut short, the last has no log.
+_ALIASES = "list(n_name ORDER BY n_nationkey)"
+_COVER = f"""cov AS (SELECT entity_id, count(*) FILTER (WHERE verdict = 'accept') AS total, count(DISTINCT CASE WHEN verdict = 'accept' THEN root_domain END) AS domains, count(DISTINCT document_id % 2) AS providers,
   count(*) FILTER (WHERE verdict = 'accept' AND published_at IS NULL AND group_date IS NOT NULL) AS inferred, count(*) FILTER (WHERE verdict = 'accept' AND effective_date IS NULL) AS undated,
-  min(CASE WHEN verdict = 'accept' THEN effective_date END) AS earliest, sum(CASE WHEN verdict = 'accept' THEN CAST(floor(entity_confidence * 1000000000 + 0.5) AS BIGINT) END) / 1000000000.0::DOUBLE AS confidence,
-  count(*) FILTER (WHERE verdict = 'review') AS review FROM docs GROUP BY 1),
-covm AS (SELECT *, {r('confidence / total', 3)} AS mean, {age('earliest')} / 365.25 AS years FROM cov, params),
-crit AS (SELECT entity_id, 'corpus_size' AS criterion, total >= 500 AS met, total >= 100 AS partial FROM covm UNION ALL SELECT entity_id, 'domain_diversity', domains >= 150, domains >= 40 FROM covm
-  UNION ALL SELECT entity_id, 'disambiguation', mean >= 0.85 AND review < total * 0.25, mean >= 0.75 FROM covm UNION ALL SELECT entity_id, 'historical_depth', years >= 5, years >= 2 FROM covm
-  UNION ALL SELECT entity_id, 'dating', undated + inferred < total * 0.3, undated < total * 0.3 FROM covm)"""
+  min(CASE WHEN verdict = 'accept' THEN effective_date END) AS earliest, avg(entity_confidence) FILTER (WHERE verdict = 'accept') AS confidence, count(*) FILTER (WHERE verdict = 'review') AS review FROM docs GROUP BY 1),
+covn AS (SELECT n_regionkey AS entity_id, count(DISTINCT lower(n_name)) AS known, count(DISTINCT CASE WHEN n_regionkey = 0 OR n_nationkey % 2 = 0 THEN lower(n_name) END) AS asked FROM nation GROUP BY 1),
+covm AS (SELECT cov.*, known, asked, {r('confidence', 3)} AS mean, {age('earliest')} / 365.25 AS years, ['exhausted', 'max_documents', 'budget', 'exhausted', NULL][cov.entity_id + 1] AS stop,
+  CAST(floor(total * [1.5, 5, 20, 3, NULL][cov.entity_id + 1]) AS BIGINT) AS cited FROM cov JOIN covn ON covn.entity_id = cov.entity_id, params),
+crit AS (SELECT entity_id, unnest([
+  struct_pack(criterion := 'corpus_size', met := total >= 500, partial := total >= 100), struct_pack(criterion := 'domain_diversity', met := domains >= 150, partial := domains >= 40),
+  struct_pack(criterion := 'corpus_exhausted', met := coalesce(stop = 'exhausted', FALSE), partial := coalesce(stop = 'max_documents', FALSE)),
+  struct_pack(criterion := 'alias_coverage', met := stop IS NOT NULL AND asked = known, partial := stop IS NOT NULL AND asked > 0),
+  struct_pack(criterion := 'disambiguation', met := mean >= 0.85 AND review < total * 0.25, partial := mean >= 0.75), struct_pack(criterion := 'historical_depth', met := years >= 5, partial := years >= 2),
+  struct_pack(criterion := 'dating', met := undated + inferred < total * 0.3, partial := undated < total * 0.3), struct_pack(criterion := 'provider_diversity', met := providers >= 2, partial := providers >= 1),
+  struct_pack(criterion := 'corpus_sampling', met := coalesce(total >= cited * 0.5, FALSE), partial := coalesce(total >= cited * 0.1, FALSE))], recursive := true) FROM covm)"""
 
 
 @query("m43_coverage", f"{BASE_SQL}, {_COVER} SELECT * FROM crit")
 def coverage(spark, sf):
-    return I.coverage(star.documents(spark, sf), star.now())
+    docs = star.documents(spark, sf).withColumn("provider", F.when(F.col("document_id") % 2 == 0, "citations").otherwise("url_index"))
+    nations = star.table(spark, sf, "nation").withColumn("entity_id", F.col("n_regionkey").cast("long"))
+    asked = F.collect_list(F.when((F.col("n_regionkey") == 0) | (F.col("n_nationkey") % 2 == 0), F.upper("n_name")))
+    counts = docs.where("verdict = 'accept'").groupBy("entity_id").agg(F.count("*").alias("total"))
+    at = lambda *values: F.get(F.array(*(F.lit(v) for v in values)), F.col("entity_id").cast("int"))
+    log = nations.groupBy("entity_id").agg(F.collect_list("n_name").alias("known_aliases"), asked.alias("queried_aliases")).join(counts, "entity_id").where("entity_id < 4").select(
+        "*", at("exhausted", "max_documents", "budget", "exhausted").alias("stop_reason"), F.floor(F.col("total") * at(1.5, 5.0, 20.0, 3.0)).cast("long").alias("total_citations")
+    )
+    return I.coverage(docs, star.now(), log)
 
 
 @query("m43_coverage_level", f"""{BASE_SQL}, {_COVER}, s AS (SELECT entity_id, count(*) FILTER (WHERE met) + count(*) FILTER (WHERE NOT met AND partial) * 0.5::DOUBLE AS score FROM crit GROUP BY 1)

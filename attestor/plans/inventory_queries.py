@@ -118,9 +118,10 @@ def ranked_board(spark, sf):
     return _board(spark, sf).select("entity_id", "association_id", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("pias"), "association_id")).cast("long").alias("place"))
 
 
-@query("f7_gap_order", f"{BOARD_SQL}, {PAGE}, {GRS}, g AS (SELECT b.entity_id, b.association_id, {r('coalesce(grs.grs, 0.0) - current_corpus_share * 100', 1)} AS gap FROM board b LEFT JOIN grs ON grs.entity_id = b.entity_id AND grs.association_id = b.association_id) SELECT * FROM g ORDER BY abs(gap) DESC, entity_id, association_id LIMIT 25")
+@query("f7_gap_order", f"{BOARD_SQL}, {PAGE}, {GRS}, g AS (SELECT b.entity_id, b.association_id, {r('coalesce(grs.grs, 0.0) - current_corpus_share * 100', 1)} AS gap FROM board b LEFT JOIN grs ON grs.entity_id = b.entity_id AND grs.association_id = b.association_id) SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY abs(gap) DESC, association_id) AS place FROM g")
 def gap_order(spark, sf):
-    return retrieval_gap(spark, sf).orderBy(F.desc(F.abs("gap")), "entity_id", "association_id").limit(25).select("entity_id", "association_id", "gap")
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc(F.abs("gap")), "association_id")).cast("long")
+    return retrieval_gap(spark, sf).select("entity_id", "association_id", "gap", place.alias("place"))
 
 
 @query("g3_missing_aliases", "SELECT n_nationkey, len(list_filter([lower(n_name), n_name || ' x'], lambda a: NOT list_contains([lower(n_name)], lower(a)))) AS missing FROM nation")

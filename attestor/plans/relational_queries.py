@@ -9,6 +9,7 @@ from attestor.operators import corrections as K
 from attestor.operators import identity
 from attestor.operators import scoring as S
 from attestor.plans import star
+from attestor.plans.insight_queries import PAGE, _page
 from attestor.plans.scoring_queries import _scores
 from attestor.plans.star import BASE_SQL, SCORES_SQL, age, r
 from attestor.sources import candidates
@@ -291,16 +292,29 @@ def top3(spark, sf):
     return _scores(spark, sf).withColumn("k", place).where("k <= 3").select("document_id", "association_id")
 
 
-@query("e17_pick_facts", f"""{SCORES_SQL}, f AS (SELECT a.entity_id, a.association_id, a.document_id, d.cluster_id, a.undecayed_micros AS weight FROM adscores a JOIN docs d USING (document_id)),
-a1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, document_id ORDER BY weight DESC, association_id) AS k1 FROM f) WHERE k1 = 1),
-a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, coalesce(cluster_id::VARCHAR, 'd' || document_id::VARCHAR) ORDER BY weight DESC, document_id) AS k2 FROM a1) WHERE k2 = 1),
-a3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, association_id ORDER BY weight DESC, document_id) AS k3 FROM a2) WHERE k3 <= 5),
-a4 AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY weight DESC, association_id, document_id) AS INTEGER) AS place FROM a3) SELECT entity_id, association_id, document_id, place FROM a4 WHERE place <= 25""")
+@query("e17_pick_facts", f"""{SCORES_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {PAGE},
+pool AS (SELECT * FROM (SELECT s.entity_id, s.association_id, s.document_id, s.occurrence::BIGINT AS evidence_id, coalesce('c' || d.cluster_id::VARCHAR, 'd' || s.document_id::VARCHAR) AS used,
+  length(trim(repeat(s.association_id || ' ', s.token_distance::INTEGER))) AS chars, row_number() OVER (PARTITION BY s.entity_id ORDER BY s.evidence_score DESC, s.association_id, s.document_id, s.occurrence, s.token_distance) AS pos
+  FROM evidence_scores s JOIN docs d USING (document_id)) WHERE pos <= 600),
+ordered_pool AS (SELECT p.*, row_number() OVER (PARTITION BY p.entity_id ORDER BY g.rank NULLS LAST, p.pos) AS step FROM pool p LEFT JOIN page g ON g.document_id = p.document_id),
+walk AS (
+  SELECT DISTINCT entity_id, 0::BIGINT AS step, 0 AS place, ''::VARCHAR AS association_id, 0::BIGINT AS document_id, 0::BIGINT AS evidence_id, []::VARCHAR[] AS taken, []::VARCHAR[] AS used FROM ordered_pool
+  UNION ALL
+  SELECT w.entity_id, min(o.step), w.place + 1, arg_min(o.association_id, o.step), arg_min(o.document_id, o.step), arg_min(o.evidence_id, o.step), list_append(w.taken, arg_min(o.association_id, o.step)), list_append(w.used, arg_min(o.used, o.step))
+  FROM walk w JOIN ordered_pool o ON o.entity_id = w.entity_id AND o.step > w.step AND o.chars >= 40 AND NOT list_contains(w.used, o.used) AND len(list_filter(w.taken, lambda a: a = o.association_id)) < 5
+  WHERE w.place < 25 GROUP BY w.entity_id, w.step, w.place, w.taken, w.used)
+SELECT entity_id, association_id, document_id, evidence_id, CAST(place AS INTEGER) AS place FROM walk WHERE place > 0""")
 def pick_facts(spark, sf):
+    """The greedy walk; the passage of a piece of evidence is its association's name, as often as its distance says."""
     from attestor.operators.content import pick_facts as pick
 
-    facts = _scores(spark, sf).join(star.documents(spark, sf).select("document_id", "cluster_id"), "document_id").withColumn("weight", F.col("undecayed_micros"))
-    return pick(facts).select("entity_id", "association_id", "document_id", "place")
+    docs = star.documents(spark, sf)
+    scored = S.evidence_scores(docs, star.evidence(spark, sf), star.now())
+    facts = scored.join(docs.select("document_id", "cluster_id"), "document_id").join(_page(spark, sf).select("document_id", F.col("rank").alias("page_rank")), "document_id", "left").select(
+        "entity_id", "association_id", "document_id", "cluster_id", F.col("occurrence").cast("long").alias("evidence_id"), F.col("evidence_score").alias("weight"), "page_rank",
+        F.repeat(F.concat("association_id", F.lit(" ")), F.col("token_distance").cast("int")).alias("passage"),
+    )
+    return pick(facts)
 
 
 @query("e_frames", f"SELECT o_orderkey, CAST(ntile(4) OVER w AS INTEGER) AS quartile, {r('cume_dist() OVER w', 6)} AS below, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
@@ -313,14 +327,16 @@ def frames(spark, sf):
 # ---- F, G: order, limits, sets ----
 
 
-@query("f2_nulls_last", f"{BASE_SQL} SELECT document_id FROM docs ORDER BY group_date DESC NULLS LAST, document_id LIMIT 50")
+@query("f2_nulls_last", f"{BASE_SQL} SELECT entity_id, document_id, row_number() OVER (PARTITION BY entity_id ORDER BY group_date DESC NULLS LAST, document_id) AS place FROM docs")
 def nulls_last(spark, sf):
-    return star.documents(spark, sf).orderBy(F.desc_nulls_last("group_date"), "document_id").limit(50).select("document_id")
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc_nulls_last("group_date"), "document_id")).cast("long")
+    return star.documents(spark, sf).select("entity_id", "document_id", place.alias("place"))
 
 
-@query("f3_tiered_sort", "SELECT o_orderkey FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 ELSE 1 END, o_orderpriority, o_orderkey LIMIT 40")
+@query("f3_tiered_sort", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 ELSE 1 END, o_orderpriority, o_orderkey) AS place FROM orders")
 def tiered_sort(spark, sf):
-    return t(spark, sf, "orders").orderBy(F.when(F.col("o_orderstatus") == "P", 0).otherwise(1), "o_orderpriority", "o_orderkey").limit(40).select("o_orderkey")
+    order = Window.partitionBy("o_custkey").orderBy(F.when(F.col("o_orderstatus") == "P", 0).otherwise(1), "o_orderpriority", "o_orderkey")
+    return t(spark, sf, "orders").select("o_orderkey", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("f10_cluster_primary", f"{BASE_SQL} SELECT cluster_id, document_id FROM docs WHERE is_primary")

@@ -122,7 +122,7 @@ independent AS (
       CASE WHEN cluster_kind = 'exact' THEN 0.0 WHEN cluster_domain = root_domain THEN 0.05 ELSE 0.2 END
     WHEN ordinal = 0 THEN 1.0 ELSE 0.35 END::DOUBLE AS independence FROM ordered),
 scored AS (
-  SELECT i.entity_id, i.association_id, i.document_id, e.occurrence, i.independence, i.reliability, {PROXIMITY} AS proximity, {recency('d.effective_date')} AS recency,
+  SELECT i.entity_id, i.association_id, i.document_id, e.occurrence, e.token_distance, i.independence, i.reliability, {PROXIMITY} AS proximity, {recency('d.effective_date')} AS recency,
     CASE row_number() OVER (PARTITION BY i.association_id, i.document_id ORDER BY e.occurrence, e.token_distance, e.relationship_confidence) WHEN 1 THEN 1.0 WHEN 2 THEN 0.2 WHEN 3 THEN 0.1 ELSE 0.0 END::DOUBLE AS mention_weight,
     d.entity_confidence, e.relationship_confidence, e.positive, e.negative, d.effective_date
   FROM ev e JOIN independent i USING (association_id, document_id) JOIN docs d USING (document_id), params),
