@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestor.functions import exprs as X
+from attestor.functions import text as T
 from attestor.model import CURRENT_WINDOW_DAYS
 from attestor.operators.scoring import KEYS, accepted
 
@@ -106,6 +107,16 @@ def with_labels(board: DataFrame, sentiment: DataFrame) -> DataFrame:
     return board.join(sentiment.select(*KEYS, F.col("label").alias("sentiment")), KEYS)
 
 
+def full_board(board: DataFrame, retrieval: DataFrame, freshness: DataFrame, sentiment: DataFrame, markers: DataFrame) -> DataFrame:
+    """The leaderboard with each association's share of the search page, its gap to recent coverage, freshness, sentiment, and
+    whether it is one of the entity's identity markers (entity_id, value)."""
+    keys = markers.select("entity_id", T.label_key_column(F.col("value")).alias("_key")).distinct().withColumn("_marked", F.lit(True))
+    joined = board.join(retrieval.select(*KEYS, "grs"), KEYS, "left").join(freshness, KEYS, "left").join(sentiment.select(*KEYS, F.col("label").alias("sentiment")), KEYS, "left")
+    marked = joined.withColumn("_key", T.label_key_column(F.col("association_id"))).join(keys, ["entity_id", "_key"], "left").withColumn("identity", F.coalesce("_marked", F.lit(False)))
+    grs = F.coalesce("grs", F.lit(0.0))
+    return marked.withColumn("grs", grs).withColumn("retrieval_gap", X.half_up(F.col("grs") - F.col("current_corpus_share") * 100, 1)).drop("_key", "_marked")
+
+
 def priorities(board: DataFrame) -> DataFrame:
     """board with sentiment: the first reading that fits."""
     negative, strong_now, strong_then, rising = F.col("sentiment") == "negative", F.col("current_pias") >= 60, F.col("historical_pias") >= 50, F.col("momentum").isin(*RISING)

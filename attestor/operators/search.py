@@ -168,3 +168,58 @@ def entity_summary(board: DataFrame, prior: DataFrame, gaps: DataFrame, top: int
     ]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
+
+
+_ITEMS = "array<struct<type:string,title:string,subtitle:string,description:string,items:array<string>>>"
+
+
+def search_signals(items: Column) -> Column:
+    """What a captured page (its items as JSON) shows beside results: struct<related_searches, people_also_ask, people_also_search,
+    top_stories, knowledge_graph>.  An element of an item is a string or an object; objects stay JSON until they are read."""
+    listed = F.coalesce(F.from_json(items, _ITEMS), F.from_json(F.lit("[]"), _ITEMS))
+    of = lambda kind: F.flatten(F.transform(F.filter(listed, lambda i: i["type"] == kind), lambda i: F.coalesce(i["items"], F.array().cast("array<string>"))))
+    is_object = lambda e: F.startswith(F.ltrim(e), F.lit("{"))
+    field = lambda e, name: F.get_json_object(e, f"$.{name}")
+    given = lambda array: F.array_distinct(F.filter(array, lambda x: x.isNotNull() & (x != "")))
+    related = given(F.transform(F.filter(of("related_searches"), lambda e: ~is_object(e)), lambda e: F.trim(e)))
+    asked = given(F.transform(F.filter(of("people_also_ask"), is_object), lambda e: field(e, "title")))
+    searched = given(F.transform(of("people_also_search"), lambda e: F.when(is_object(e), field(e, "title")).otherwise(e)))
+    stories = F.filter(F.transform(of("top_stories"), lambda e: F.struct(field(e, "title").alias("title"), field(e, "url").alias("url"), F.coalesce(field(e, "source"), field(e, "domain")).alias("source"))), lambda s: s["title"].isNotNull())
+    panel = F.get(F.filter(listed, lambda i: i["type"] == "knowledge_graph"), F.lit(0))
+    rows = F.coalesce(panel["items"], F.array().cast("array<string>"))
+    facts = F.transform(
+        F.filter(rows, lambda e: (field(e, "type") == "knowledge_graph_row_item") & (F.coalesce(field(e, "text"), F.lit("")) != "")), lambda e: F.struct(field(e, "title").alias("label"), field(e, "text").alias("text"))
+    )
+    domains = given(F.flatten(F.transform(rows, lambda e: F.coalesce(F.from_json(field(e, "links"), "array<struct<domain:string>>")["domain"], F.array().cast("array<string>")))))
+    graph = F.when(panel.isNotNull(), F.struct(panel["title"].alias("title"), panel["subtitle"].alias("subtitle"), panel["description"].alias("description"), facts.alias("facts"), domains.alias("sources")))
+    return F.struct(related.alias("related_searches"), asked.alias("people_also_ask"), searched.alias("people_also_search"), stories.alias("top_stories"), graph.alias("knowledge_graph"))
+
+
+def surfaces(signals: Column) -> Column:
+    """struct<related, also_ask, panel>: each surface of search_signals() as one text."""
+    graph = signals["knowledge_graph"]
+    panel = F.concat(F.array(graph["subtitle"], graph["description"]), F.coalesce(F.transform(graph["facts"], lambda f: f["text"]), F.array().cast("array<string>")))
+    join = lambda array: F.array_join(F.filter(array, lambda x: x.isNotNull() & (x != "")), " | ")
+    return F.struct(join(signals["related_searches"]).alias("related"), join(signals["people_also_ask"]).alias("also_ask"), join(F.coalesce(panel, F.array().cast("array<string>"))).alias("panel"))
+
+
+def search_view(classified: DataFrame, page: DataFrame, labels: DataFrame, shown: DataFrame, limit: int = 30) -> DataFrame:
+    """Per entity and association of its page: results, those in the first ten, best rank, share of the results, and on which other
+    surface it stands.  classified: entity_id, rank, association_id; page: entity_id, rank; labels: association_id, forms
+    (array); shown: entity_id and surfaces()."""
+    total = page.groupBy("entity_id").agg(F.count("*").alias("total"))
+    rows = classified.where("association_id IS NOT NULL").select(*KEYS, "rank").distinct().groupBy(*KEYS).agg(
+        F.count("*").alias("results"), F.count_if(F.col("rank") <= 10).alias("top10"), F.min("rank").alias("best_rank")
+    )
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("results"), "best_rank", "association_id"))
+    kept = rows.withColumn("place", place).where(F.col("place") <= limit)
+    joined = kept.join(total, "entity_id").join(labels, "association_id").join(shown, "entity_id", "left")
+    on = lambda surface: F.exists("forms", lambda f: T.contains_phrase_column(F.coalesce(F.col(surface), F.lit("")), f)).alias(f"in_{surface}")
+    return joined.select(*KEYS, "place", "results", "top10", "best_rank", X.half_up(X.safe_div(F.col("results"), F.col("total")), 3).alias("organic_share"), on("related"), on("also_ask"), on("panel"))
+
+
+def top_by_document(scores: DataFrame, top: int = 5) -> DataFrame:
+    """evidence_scores() to each document's associations with the highest single score."""
+    best = scores.groupBy("document_id", "association_id").agg(F.max("evidence_score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("score"), "association_id"))
+    return best.withColumn("place", place).where(F.col("place") <= top).select("document_id", "association_id", "place")
