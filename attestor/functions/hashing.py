@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as Ty
 
-from attestor.functions.text import fold, squeezed_column, words_column
+from attestor.functions.text import fold, folded_column, squeezed_column, words_column
 
 PERMUTATIONS = 64
 MODULUS = 1 << 32
@@ -34,17 +34,35 @@ def shingles(text: Column, size: int = 3) -> Column:
     return F.flatten(F.transform(F.array(words_column(text)), runs))
 
 
+def minhash_of(folded: str) -> list[int] | None:
+    """64 minima of (h1 + i * h2) mod 2^32 over the shingles of a folded text."""
+    words = folded.split(" ") if folded else []
+    grams = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) >= 3 else {folded} if words else set()
+    if not grams:
+        return None
+    md5 = hashlib.md5
+    digests = np.frombuffer(b"".join([md5(g.encode()).digest()[:8] for g in grams]), ">u4").reshape(-1, 2).astype(np.uint32)
+    value, step, out = digests[:, 0].copy(), digests[:, 1] | np.uint32(1), []
+    for _ in range(PERMUTATIONS):
+        out.append(int(value.min()))
+        value += step  # modulo 2^32 by its width
+    return out
+
+
+@F.pandas_udf(Ty.ArrayType(Ty.LongType()))
+def minhash_signature(folded: pd.Series) -> pd.Series:
+    """The signature of each folded text in one pass over it; null without words."""
+    return folded.map(minhash_of)
+
+
 def minhash(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, signature): 64 minima of (h1 + i * h2) mod 2^32 over the text's shingles, h1 and h2 from their md5.
 
-    Shingles are rows and the minima plain aggregates, so long texts are spread over tasks and combined before the
-    shuffle.  Texts without words have no row.
+    Texts are dealt out evenly, then each gives its 64 numbers in one pass; no shingle becomes a row.  Texts without words have
+    no row.
     """
-    grams = docs.select(F.col(id_column), F.explode(F.array_distinct(shingles(F.col(text_column)))).alias("g")).withColumn("digest", F.md5("g"))
-    part = lambda a: F.conv(F.substring("digest", a, 8), 16, 10).cast("long")
-    hashed = grams.select(id_column, part(1).alias("h1"), part(9).bitwiseOR(F.lit(1)).alias("h2"))
-    mins = [F.min(F.pmod(F.col("h1") + i * F.col("h2"), F.lit(MODULUS))).alias(f"m{i}") for i in range(PERMUTATIONS)]
-    return hashed.groupBy(id_column).agg(*mins).select(id_column, F.array(*(f"m{i}" for i in range(PERMUTATIONS))).alias("signature"))
+    dealt = docs.select(F.col(id_column), folded_column(F.col(text_column)).alias("folded")).repartition(F.col(id_column))
+    return dealt.select(id_column, minhash_signature("folded").alias("signature")).where("signature IS NOT NULL")
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -153,9 +155,49 @@ def repetition_waste(texts: DataFrame, phrases: Mapping[str, Sequence[str]]) ->
 
 
 def verbatim_overlaps(texts: DataFrame, passages: DataFrame, n: int = 12) -> DataFrame:
-    """(text_id, passage_id, runs): runs of n folded words that a text shares with a passage."""
-    runs = lambda df, key: df.select(key, F.explode(F.array_distinct(H.shingles(F.col("text"), n))).alias("run")).where(F.size(F.split("run", " ")) == n)
-    return runs(texts, "text_id").join(runs(passages, "passage_id"), "run").groupBy("text_id", "passage_id").agg(F.count("*").alias("runs"))
+    """(text_id, passage_id, runs): distinct runs of n folded words that a text shares with a passage.
+
+    Runs are compared by hashes of 8 bytes; the places where they meet are compared again by the words themselves.
+    """
+    fold = lambda df, key: df.select(key, T.folded_column(F.col("text")).alias("_folded"))
+    mine, kept = fold(texts, "text_id"), fold(passages, "passage_id")
+    places = lambda df, key: df.repartition(F.col(key)).select(key, F.explode(run_places(n)(F.col("_folded"))).alias("p")).select(key, F.col("p.hash").alias("hash"), F.col("p.at").alias("at"))
+    met = places(mine, "text_id").join(places(kept, "passage_id").toDF("passage_id", "hash", "there"), "hash")
+    pairs = met.groupBy("text_id", "passage_id").agg(F.collect_set(F.struct("at", "there")).alias("_places"))
+    both = pairs.join(mine, "text_id").join(kept.withColumnRenamed("_folded", "_theirs"), "passage_id").select("text_id", "passage_id", "_places", F.split("_folded", " ").alias("_a"), F.split("_theirs", " ").alias("_b"))
+    run = lambda words, at: F.array_join(F.slice(words, at + 1, F.lit(n)), " ")
+    same = F.filter("_places", lambda p: run(F.col("_a"), p["at"]) == run(F.col("_b"), p["there"]))
+    runs = F.size(F.array_distinct(F.transform(same, lambda p: run(F.col("_a"), p["at"])))).cast("long")
+    return both.select("text_id", "passage_id", runs.alias("runs")).where("runs > 0")
+
+
+def run_places(n: int):
+    """Column function: array<struct<hash, at>> of the runs of n words of a folded text."""
+
+    @F.pandas_udf("array<struct<hash:long,at:int>>")
+    def find(column: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def code(word):
+            found = known.get(word)
+            if found is None:
+                found = known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            return found
+
+        def one(folded):
+            words = folded.split(" ")
+            if len(words) < n:
+                return []
+            codes = np.fromiter(map(code, words), np.uint64, len(words))
+            runs = np.zeros(len(codes) - n + 1, np.uint64)
+            for k in range(n):
+                runs = (runs * np.uint64(0x9E3779B97F4A7C15)) ^ codes[k : k + len(runs)]
+                runs ^= runs >> np.uint64(29)
+            return [{"hash": h, "at": i} for i, h in enumerate(runs.view(np.int64).tolist())]
+
+        return column.map(one)
+
+    return find
 
 
 def exclusion_breaches(texts: DataFrame, excluded: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
@@ -140,14 +141,36 @@ def merge_generic_variants(associations: DataFrame) -> DataFrame:
     return associations.join(best, ["kind", "label_key"], "left")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_column: str = "vec_id", kind_column: str = "label", vector_column: str = "embedding") -> DataFrame:
-    """Pairs within a kind whose vectors' cosine reaches the threshold; for shortlists of labels, which are few per kind."""
-    from attestor.functions.exprs import cosine, half_up
+def similar_pairs(vectors: DataFrame, threshold: float, id_column: str = "vec_id", kind_column: str = "label", vector_column: str = "embedding", block: int = 1024) -> DataFrame:
+    """Pairs (a, b, similarity) within a kind whose vectors' cosine, to four places, reaches the threshold.
 
-    a, b = vectors.alias("a"), vectors.alias("b")
-    pairs = a.join(b, (F.col(f"a.{kind_column}") == F.col(f"b.{kind_column}")) & (F.col(f"a.{id_column}") < F.col(f"b.{id_column}")))
-    scored = pairs.select(F.col(f"a.{id_column}").alias("a"), F.col(f"b.{id_column}").alias("b"), half_up(cosine(F.col(f"a.{vector_column}"), F.col(f"b.{vector_column}")), 4).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    A kind is dealt into blocks of ``block`` vectors; every two blocks meet in one task as a product of two matrices.
+    """
+    kind, id_type = (vectors.schema[c].dataType.simpleString() for c in (kind_column, id_column))
+    rows = vectors.select(F.col(kind_column).alias("kind"), F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    blocks = rows.groupBy("kind").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    own = rows.join(blocks, "kind").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = own.selectExpr("kind", "least(own, other) AS low", "greatest(own, other) AS high", "own", "id", "v")
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.array(frame["v"].tolist())
+        matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1)), 1e-300)[:, None]
+        ids, mine, low = frame["id"].to_numpy(), frame["own"].to_numpy(), frame["low"].iloc[0]
+        left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == frame["high"].iloc[0])
+        similarity = np.floor(matrix[left] @ matrix[right].T * 10_000 + 0.5) / 10_000
+        i, j = np.nonzero(similarity >= threshold)
+        a, b = ids[left[i]], ids[right[j]]
+        once = a < b if low == frame["high"].iloc[0] else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": similarity[i, j][once]})
+
+    return dealt.groupBy("kind", "low", "high").applyInPandas(meet, f"a {id_type}, b {id_type}, similarity double")
+
+
+def merge_suggestions(associations: DataFrame, threshold: float = 0.86) -> DataFrame:
+    """associations (kind, label_key): pairs of labels of a kind that read alike, for an analyst to merge: (kind, a, b, similarity)."""
+    vectors = associations.select("kind", "label_key", hashed_vector(F.col("label_key")).alias("vector"))
+    pairs = similar_pairs(vectors, threshold, "label_key", "kind", "vector")
+    return pairs.join(associations.select("kind", F.col("label_key").alias("a")), "a").select("kind", "a", "b", "similarity").distinct()
 
 
 def hashed_vector(text, dimensions: int = 256):

@@ -10,7 +10,7 @@ from attestor.operators import identity
 from attestor.operators import scoring as S
 from attestor.plans import star
 from attestor.plans.insight_queries import PAGE, _page
-from attestor.plans.scoring_queries import _scores
+from attestor.plans.scoring_queries import BOARD_SQL, _scores
 from attestor.plans.star import BASE_SQL, SCORES_SQL, age, r
 from attestor.sources import candidates
 
@@ -396,11 +396,30 @@ def upsert(spark, sf):
     return K.upsert(base, filled.unionByName(added), "k")
 
 
-@query("p6_reviews_rescore", None)
+_REVIEWED = f"""{BASE_SQL.replace('docs AS (', 'docs0 AS (', 1).replace('ev AS (', 'ev0 AS (', 1)},
+docs AS (SELECT * REPLACE (CASE WHEN document_id = 1 THEN 'reject' WHEN document_id = 2 THEN 'accept' ELSE verdict END AS verdict) FROM docs0 WHERE root_domain <> 7),
+ev AS (SELECT * REPLACE (CASE WHEN association_id = 'Brand#2' THEN 'Brand#1' WHEN association_id = 'Brand#4' AND boundary = 'same_clause' THEN 'Brand#4 first' ELSE association_id END AS association_id) FROM ev0
+  WHERE association_id <> 'Brand#5' AND NOT (association_id = 'Brand#6' AND boundary = 'same_clause'))"""
+
+
+@query("p6_reviews_rescore", f"{BOARD_SQL.replace(BASE_SQL, _REVIEWED)} SELECT * FROM board")
 def reviews_rescore(spark, sf):
-    """The leaderboard after a document is rejected, a domain excluded and an association merged."""
-    reviews = spark.createDataFrame([("wrong_entity", "1", None, 1), ("exclude_source", "7", None, 2), ("merge_association", "Brand#2", "Brand#1", 3)], "action string, target string, value string, reviewed_at int")
-    return S.leaderboard(*K.apply_reviews(star.documents(spark, sf), star.evidence(spark, sf), reviews), star.now())
+    """The leaderboard after every kind of review."""
+    rows = [
+        ("right_entity", "1", None, 0, None), ("wrong_entity", "1", None, 1, None), ("wrong_entity", "2", None, 0, None), ("right_entity", "2", None, 4, None), ("exclude_source", "7", None, 2, None), ("merge_association", "Brand#2", "Brand#1", 3, None),
+        ("split_association", "Brand#4", "Brand#4 first", 5, "same_clause"), ("exclude_association", "Brand#5", None, 6, None), ("exclude_evidence", "Brand#6 same_clause", None, 7, None), ("exclude_evidence", "Brand#7 same_clause", None, 7, None),
+        ("include_evidence", "Brand#7 same_clause", None, 8, None),
+    ]
+    reviews = spark.createDataFrame(rows, "action string, target string, value string, reviewed_at int, surface string")
+    ev = star.evidence(spark, sf).withColumn("surface_form", F.col("boundary")).withColumn("evidence_id", F.concat("association_id", F.lit(" "), "boundary"))
+    return S.leaderboard(*K.apply_reviews(star.documents(spark, sf), ev, reviews), star.now())
+
+
+@query("p6_recategorised", "SELECT DISTINCT p_brand AS association_id, CASE WHEN p_brand = 'Brand#1' THEN 'person' ELSE 'organization' END AS category FROM part")
+def recategorised(spark, sf):
+    reviews = spark.createDataFrame([("recategorise", "Brand#1", "place", 1), ("recategorise", "Brand#1", "person", 2), ("exclude_association", "Brand#2", "x", 3)], "action string, target string, value string, reviewed_at int")
+    brands = t(spark, sf, "part").select(F.col("p_brand").alias("association_id")).distinct().withColumn("category", F.lit("organization"))
+    return K.recategorised(brands, reviews)
 
 
 @query("j3_age_days", f"{BASE_SQL} SELECT document_id, {r(age('effective_date'), 4)} AS age FROM docs, params WHERE effective_date IS NOT NULL")
