@@ -264,17 +264,19 @@ def link_placement(links: DataFrame, targets: Column, late: float = 0.66) -> Dat
 def near_duplicates(texts: DataFrame, corpus: DataFrame, minhash_floor: float = 0.5, bits: int = 12) -> DataFrame:
     """(text_id, document_id, similarity) of corpus documents that a text nearly equals; both with simhash and minhash.
 
-    Candidates share one of four bands or one of sixteen minhash positions in fours, so no text meets the whole corpus.
+    Candidates share one of four bands or one of sixteen minhash positions in fours, so no text meets the whole corpus.  Pairs
+    are met by ids alone; the fingerprints are fetched once per pair.
     """
     def keyed(df, key):
-        rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.concat(F.lit("m"), i.cast("string"), F.lit(":"), F.xxhash64(F.slice("minhash", i * 4 + 1, 4)).cast("string")))
-        bands = F.transform(H.band_keys(F.col("simhash")), lambda b: F.concat(F.lit("s"), b.cast("string")))
-        return df.select(key, "simhash", "minhash", F.explode(F.concat(rows, bands)).alias("k"))
-
-    a, b = keyed(texts, "text_id").alias("a"), keyed(corpus, "document_id").alias("b")
-    met = a.join(b, F.col("a.k") == F.col("b.k")).dropDuplicates(["text_id", "document_id"])
-    similarity = H.minhash_similarity(F.col("a.minhash"), F.col("b.minhash"))
-    return met.where((H.hamming(F.col("a.simhash"), F.col("b.simhash")) <= bits) | (similarity >= minhash_floor)).select("text_id", "document_id", similarity.alias("similarity"))
+        rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.xxhash64(i, F.slice("minhash", i * 4 + 1, 4)))
+        bands = F.transform(H.band_keys(F.col("simhash")), lambda b: F.xxhash64(F.lit("band"), b))
+        return df.where("simhash IS NOT NULL AND minhash IS NOT NULL").select(key, F.explode(F.concat(rows, bands)).alias("k")).distinct()
+
+    met = keyed(texts, "text_id").join(keyed(corpus, "document_id"), "k").select("text_id", "document_id").distinct()
+    a, b = (df.select(key, F.col("simhash").alias(f"_s{side}"), F.col("minhash").alias(f"_m{side}")) for df, key, side in ((texts, "text_id", "a"), (corpus, "document_id", "b")))
+    similarity = H.minhash_similarity(F.col("_ma"), F.col("_mb"))
+    pairs = met.join(a, "text_id").join(b, "document_id")
+    return pairs.where((H.hamming(F.col("_sa"), F.col("_sb")) <= bits) | (similarity >= minhash_floor)).select("text_id", "document_id", similarity.alias("similarity"))
 
 
 def sign_off(results: DataFrame) -> DataFrame:

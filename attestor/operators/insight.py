@@ -296,3 +296,9 @@ def what_if(documents: DataFrame, evidence: DataFrame, new_documents: DataFrame,
     moved = joined.select(*KEYS, X.half_up(F.col("new_pias") - F.col("pias"), 1).alias("delta"), X.half_up(F.col("new_current_pias") - F.col("current_pias"), 1).alias("current_delta"))
     return moved.where((F.abs("delta") >= 0.5) | (F.abs("current_delta") >= 0.5))
 
+
+def by_movement(deltas: DataFrame) -> DataFrame:
+    """what_if() with each association's place in its entity by how much it moves in all."""
+    order = Window.partitionBy("entity_id").orderBy(F.desc(F.abs("delta") + F.abs("current_delta")), "association_id")
+    return deltas.withColumn("place", F.row_number().over(order))
+

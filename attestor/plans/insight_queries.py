@@ -141,7 +141,17 @@ def compare(spark, sf):
     return I.compare(_board(spark, sf), _METRICS)
 
 
-@query("m49_alerts")
+def older_board_sql(then: str) -> str:
+    """A subquery: the board at an earlier instant over the documents seen before it."""
+    seen = f"FROM (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{then}') orders JOIN customer"
+    return f"({BOARD_SQL.replace(f'{star.NOW}', then).replace('FROM orders JOIN customer', seen)} SELECT * FROM board)"
+
+
+@query("m49_alerts", f"""{LABELLED}, {PAGE}, {GRS}, j AS (SELECT l.*, g.grs, p.entity_id IS NOT NULL AS seen, l.domains - coalesce(p.domains, 0) AS gain, (l.current_corpus_share - coalesce(p.current_corpus_share, 0.0)) * 100 AS rise, p.momentum AS was
+  FROM lab l LEFT JOIN grs g ON g.entity_id = l.entity_id AND g.association_id = l.association_id LEFT JOIN {older_board_sql('2001-06-02 00:00:00')} p ON p.entity_id = l.entity_id AND p.association_id = l.association_id)
+SELECT entity_id, association_id, 'new_negative' AS kind, CASE WHEN domains >= 8 THEN 'critical' ELSE 'warning' END AS severity FROM j WHERE NOT seen AND sentiment = 'negative' AND domains >= 3
+UNION ALL SELECT entity_id, association_id, 'rapid_growth', 'info' FROM j WHERE seen AND rise >= 8
+UNION ALL SELECT entity_id, association_id, 'resurgence', CASE WHEN sentiment = 'negative' THEN 'critical' ELSE 'warning' END FROM j WHERE seen AND gain >= 5 AND was IN ('down', 'rapid_down')""")
 def alerts(spark, sf):
     """Against the board of half a year earlier, read back from its snapshot."""
     docs, ev, then = star.documents(spark, sf), star.evidence(spark, sf), X.days_before(star.now(), 182)
@@ -224,13 +234,21 @@ def plan_displacement(spark, sf):
     return I.plan_displacement(_board(spark, sf), S.entity_documents(docs, X.days_before(star.now(), 365)))
 
 
-@query("m62_what_if")
+_WHAT_IF = f"""{BASE_SQL.replace('docs AS (', 'docs0 AS (', 1).replace('ev AS (', 'ev0 AS (', 1)},
+fresh AS (SELECT entity_id, (1000000000000 + entity_id)::BIGINT AS document_id FROM (SELECT DISTINCT entity_id FROM docs0)),
+docs AS (SELECT * FROM docs0 UNION ALL BY NAME SELECT entity_id, document_id, -1::BIGINT AS root_domain, 90.0::DOUBLE AS domain_rank, 0.0::DOUBLE AS prominence, 0.95::DOUBLE AS entity_confidence, 'accept' AS verdict, now_ts AS published_at, now_ts AS effective_date, FALSE AS is_primary FROM fresh, params),
+ev AS (SELECT * FROM ev0 UNION ALL BY NAME SELECT 'Brand#1' AS association_id, document_id, 1::INTEGER AS occurrence, 3.0::DOUBLE AS token_distance, 'same_clause' AS boundary, 0.85::DOUBLE AS relationship_confidence, 0.0::DOUBLE AS positive, 0.0::DOUBLE AS negative FROM fresh)"""
+_DELTA = lambda c: r(f"coalesce(n.{c}, 0) - coalesce(o.{c}, 0)", 1)
+
+
+@query("m62_what_if", f"""SELECT * FROM (SELECT coalesce(o.entity_id, n.entity_id) AS entity_id, coalesce(o.association_id, n.association_id) AS association_id, {_DELTA('pias')} AS delta, {_DELTA('current_pias')} AS current_delta,
+FROM ({BOARD_SQL} SELECT * FROM board) o FULL JOIN ({BOARD_SQL.replace(BASE_SQL, _WHAT_IF)} SELECT * FROM board) n ON o.entity_id = n.entity_id AND o.association_id = n.association_id) WHERE abs(delta) >= 0.5 OR abs(current_delta) >= 0.5""")
 def what_if(spark, sf):
     """A new favourable document per entity for its association Brand#1."""
     docs, ev = star.documents(spark, sf), star.evidence(spark, sf)
     new = docs.groupBy("entity_id").agg(F.max("document_id").alias("top")).select(
-        "entity_id", (F.lit(10**12) + F.col("entity_id")).cast("long").alias("document_id"), F.lit(-1).cast("long").alias("root_domain"), F.lit(90.0).alias("domain_rank"), F.lit(0.95).alias("entity_confidence"),
-        F.lit("accept").alias("verdict"), star.now().alias("published_at"), star.now().alias("effective_date"), F.lit(False).alias("is_primary"),
+        "entity_id", (F.lit(10**12) + F.col("entity_id")).cast("long").alias("document_id"), F.lit(-1).cast("long").alias("root_domain"), F.lit(90.0).alias("domain_rank"), F.lit(0.0).alias("prominence"),
+        F.lit(0.95).alias("entity_confidence"), F.lit("accept").alias("verdict"), star.now().alias("published_at"), star.now().alias("effective_date"), F.lit(False).alias("is_primary"),
     )
     said = new.select(F.lit("Brand#1").alias("association_id"), "document_id", F.lit(1).alias("occurrence"), F.lit(3.0).alias("token_distance"), F.lit("same_clause").alias("boundary"), F.lit(0.85).alias("relationship_confidence"), F.lit(0.0).alias("positive"), F.lit(0.0).alias("negative"))
     return I.what_if(docs, ev, new, said, lambda d, e: S.leaderboard(d, e, star.now()))

@@ -13,8 +13,8 @@ from attestor.operators import corrections as K
 from attestor.operators import insight as I
 from attestor.operators import scoring as S
 from attestor.operators import search as R
-from attestor.plans import star
-from attestor.plans.insight_queries import GRS, PAGE, _board, _labelled, _page, classify_results, retrieval_gap
+from attestor.plans import insight_queries, star
+from attestor.plans.insight_queries import GRS, LABELLED, PAGE, _board, _labelled, _page, classify_results, older_board_sql, retrieval_gap, what_if
 from attestor.plans.scoring_queries import BOARD_SQL, _scores
 from attestor.plans.star import BASE_SQL, SCORES_SQL, age, r
 from attestor.plans.text_queries import SQUEEZE, _docs
@@ -22,6 +22,7 @@ from attestor.sources import candidates
 
 QUERIES, ORACLE_SQL = {}, {}
 t = star.table
+_WHAT_IF_SQL = insight_queries.ORACLE_SQL["m62_what_if"]
 
 
 def query(name: str, sql: str | None = None):
@@ -145,9 +146,12 @@ def occurrences(spark, sf):
     return _docs(spark, sf).select("document_id", F.explode(T.occurrence_spans(F.col("text"), ["of the", "de la", "und"])).alias("s")).select("document_id", "s.*")
 
 
-@query("h17_unverified_quotes")
+@query("h17_unverified_quotes", """SELECT p_partkey AS text_id, p_name || ' of ' || p_type AS quote FROM part WHERE NOT (p_type = 'ECONOMY' AND p_name IN ('small ring', 'red widget')) AND p_partkey % 3 <> 0""")
 def unverified_quotes(spark, sf):
-    return audit.unverified_quotes(_docs(spark, sf), ["the"])
+    """Every part is quoted, by name and type; the passages hold two of them, and a third of the quotes are to be confirmed."""
+    quote = F.concat(F.when(F.col("p_partkey") % 3 == 0, "[CONFIRM: who] ").otherwise(""), "p_name", F.lit(" of "), "p_type")
+    texts = t(spark, sf, "part").select(F.col("p_partkey").alias("text_id"), F.concat(F.lit("They said “"), quote, F.lit("” and \"so it is\" today.")).alias("text"))
+    return audit.unverified_quotes(texts, ["A small ring of economy, they say.", "Red Widget: of economy!", "so it is"])
 
 
 @query("h20_target_coverage")
@@ -155,23 +159,38 @@ def target_coverage(spark, sf):
     return content.target_coverage(_docs(spark, sf).withColumn("title", F.substring("text", 1, 60)), "the", ["of the"], ["and"])
 
 
-@query("h24_unsupported_events")
+@query("h24_unsupported_events", """SELECT n_nationkey AS text_id, unnest(list_filter([CASE WHEN n_nationkey % 3 = 0 THEN 'join' END, CASE WHEN n_nationkey % 2 = 0 THEN 'launch' END, CASE WHEN n_nationkey % 5 = 0 THEN 'appoint' END], lambda e: e IS NOT NULL)) AS event FROM nation""")
 def unsupported_events(spark, sf):
-    return audit.unsupported_events(_docs(spark, sf).withColumn("title", F.substring("text", 1, 60)), F.array(F.lit("")))
+    """Events in the title, a heading and the second paragraph; those of the third paragraph and of the passages do not count."""
+    k = F.col("n_nationkey")
+    title = F.concat("n_name", F.when(k % 3 == 0, " joins the board").otherwise(" at work"))
+    heading = F.when(k % 2 == 0, "# A fund is launched\n\n").otherwise("# A fund\n\n")
+    second = F.when(k % 5 == 0, "He was appointed and hired.").otherwise("He works and was hired.")
+    text = F.concat(heading, F.lit("First paragraph.\n\n"), second, F.lit("\n\nOthers announced and promoted him."))
+    return audit.unsupported_events(t(spark, sf, "nation").select(k.alias("text_id"), title.alias("title"), text.alias("text")), F.array(F.lit("They hire many people.")))
 
 
-@query("h25_probe_terms", None)
+@query("h25_probe_terms", """SELECT term, min(p_partkey) AS place FROM (SELECT p_partkey, regexp_replace(p_name, '^small ', '') AS term FROM part) GROUP BY 1 ORDER BY place, term LIMIT 8""")
 def probe_terms(spark, sf):
-    return R.probe_terms(t(spark, sf, "part").select(F.col("p_partkey").alias("place"), F.col("p_name").alias("query")), ["part"])
+    """Eight terms are the feature."""
+    return R.probe_terms(t(spark, sf, "part").select(F.col("p_partkey").alias("place"), F.col("p_name").alias("query")), ["Small"])
 
 
-@query("i7_signature_pairs", None)
+_SIGNED = """s AS (SELECT md5(concat_ws(' ', p_name, p_type, p_brand, 'is a part of common words')) AS k, concat_ws(' ', p_name, lower(p_type), lower(replace(p_brand, '#', ' ')), 'is a part of common words') AS folded FROM (SELECT DISTINCT p_name, p_type, p_brand FROM part)),
+g AS (SELECT DISTINCT k, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT k, string_split(folded, ' ') AS w FROM s))),
+h AS (SELECT k, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h1, ('0x' || substr(md5(g), 9, 8))::BIGINT | 1 AS h2 FROM g),
+m AS (SELECT k, i, min((h1 + i * h2) % 4294967296) AS m FROM h, range(64) t(i) GROUP BY 1, 2), z AS (SELECT k, m FROM m WHERE i = 0)"""
+
+
+@query("i7_signature_pairs", f"""WITH {_SIGNED}, p AS (SELECT a.k AS a, b.k AS b FROM z a JOIN z b ON a.m = b.m AND a.k < b.k)
+SELECT p.a, p.b, count(*) FILTER (WHERE x.m = y.m) / 64.0::DOUBLE AS similarity FROM p JOIN m x ON x.k = p.a JOIN m y ON y.k = p.b AND y.i = x.i GROUP BY 1, 2""")
 def signature_pairs(spark, sf):
-    """Benchmark signatures compared with one another."""
-    signed = H.minhash(t(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text")
+    """Signatures of part descriptions that share their first minimum, compared with one another."""
+    parts = t(spark, sf, "part").select("p_name", "p_type", "p_brand").distinct().select(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("is a part of common words")).alias("text"))
+    signed = H.minhash(parts.withColumn("k", F.md5(F.col("text").cast("binary"))), "k", "text")
     a, b = signed.alias("a"), signed.alias("b")
-    pairs = a.join(b, (F.col("a.signature")[0] == F.col("b.signature")[0]) & (F.col("a.item_id") < F.col("b.item_id")))
-    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), H.minhash_similarity(F.col("a.signature"), F.col("b.signature")).alias("similarity"))
+    pairs = a.join(b, (F.col("a.signature")[0] == F.col("b.signature")[0]) & (F.col("a.k") < F.col("b.k")))
+    return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), H.minhash_similarity(F.col("a.signature"), F.col("b.signature")).alias("similarity"))
 
 
 @query("i13_is_linked", r"SELECT page_id FROM pages WHERE regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') IN (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') FROM pages WHERE page_id = 0)")
@@ -205,10 +224,18 @@ def safe_json(spark, sf):
     return t(spark, sf, "events").select("event_id", F.coalesce(parsed["k"], F.lit(-1).cast("long")).alias("k"))
 
 
-@query("l8_link_placement")
+@query("l8_link_placement", """SELECT n_nationkey AS text_id, 1::BIGINT AS links, CASE WHEN n_nationkey % 4 IN (0, 3) THEN 1::BIGINT ELSE 0::BIGINT END AS in_body, CASE n_nationkey % 4 WHEN 0 THEN 'pass' WHEN 3 THEN 'warn' ELSE 'fail' END AS result FROM nation WHERE n_nationkey % 4 <> 2""")
 def link_placement(spark, sf):
-    found = t(spark, sf, "pages").select(F.col("page_id").alias("text_id"), F.explode(P.links("html")).alias("l")).select("text_id", "l.*")
-    return audit.link_placement(found, F.array(F.lit("https://example.com/")))
+    """A link to the target early in the body, in the footer, nowhere, and late in the body."""
+    k = F.col("n_nationkey")
+    own = F.concat(F.lit('<a href="https://www.target.example/'), k.cast("string"), F.lit('">own</a>'))
+    other = F.lit('<p>Some words stand here and <a href="https://other.example/x">another</a> link.</p>')
+    html = F.concat(
+        F.lit("<html><body><p>Words "), F.when(k % 4 == 0, own).otherwise(""), F.lit(" go on.</p>"), F.repeat(other, 8), F.when(k % 4 == 3, F.concat(F.lit("<p>Late "), own, F.lit("</p>"))).otherwise(""),
+        F.lit("<footer>"), F.when(k % 4 == 1, own).otherwise(""), F.lit("</footer></body></html>"),
+    )
+    found = t(spark, sf, "nation").select(k.alias("text_id"), F.explode(P.links(html)).alias("l")).select("text_id", "l.*")
+    return audit.link_placement(found, F.array(F.lit("https://target.example/"))).select("text_id", "links", "in_body", "result")
 
 
 @query("m3_verdict_bands", f"{BASE_SQL} SELECT document_id, CASE WHEN entity_confidence >= 0.7 THEN 'accept' WHEN entity_confidence >= 0.4 THEN 'review' ELSE 'reject' END AS verdict FROM docs")
@@ -222,9 +249,10 @@ def search_prior(spark, sf):
     return identity.with_search_prior(scored, _page(spark, sf).select("document_id", "rank")).select("document_id", "confidence")
 
 
-@query("m14_default_hierarchy", None)
+@query("m14_default_hierarchy", """SELECT * FROM (VALUES ('Arts & Culture', 'Contemporary Art'), ('Arts & Culture', 'Museum Patronage'), ('Legal', 'Lawsuit'), ('Controversy', 'Investigation'), ('Controversy', 'Criticism')) v(parent, child)""")
 def default_hierarchy(spark, sf):
-    labels = [c for _, children in R.HIERARCHY for c in children[:2]] + ["Legal"]
+    """Two children make a parent; one child needs the parent to be there."""
+    labels = ["Contemporary Art", "Museum Patronage", "Education Philanthropy", "Legal", "Lawsuit", "Investigation", "Criticism", "Chess"]
     return R.default_hierarchy(spark.createDataFrame([(x,) for x in labels], "label string"))
 
 
@@ -268,13 +296,22 @@ def probe_budget(spark, sf):
     return n.select("n", *(c.alias(k) for k, c in R.probe_budget(F.col("n").cast("double"), F.lit(3), F.lit(4)).items()))
 
 
-@query("m50_entity_summary", None)
+@query("m50_entity_summary", f"""{BOARD_SQL}, {PAGE}, {GRS}, g AS (SELECT b.entity_id, b.association_id, {r('coalesce(grs.grs, 0.0) - current_corpus_share * 100', 1)} AS gap FROM board b LEFT JOIN grs ON grs.entity_id = b.entity_id AND grs.association_id = b.association_id),
+o AS (SELECT * FROM {older_board_sql('2000-12-01 00:00:00')})
+SELECT entity_id, association_id, 'strongest' AS reading, pias AS value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pias DESC, association_id) AS k FROM board) WHERE k <= 5
+UNION ALL SELECT b.entity_id, b.association_id, 'moved', {r('b.current_pias - o.current_pias', 1)} FROM board b JOIN o ON o.entity_id = b.entity_id AND o.association_id = b.association_id WHERE abs(b.current_pias - o.current_pias) >= 15 AND b.current_documents >= 3
+UNION ALL SELECT entity_id, association_id, 'gap', gap FROM g WHERE abs(gap) >= 15""")
 def entity_summary(spark, sf):
     docs, ev, then = star.documents(spark, sf), star.evidence(spark, sf), X.days_before(star.now(), 365)
     older = S.leaderboard(docs.where(F.col("seen_at") < then), ev, then)
     return R.entity_summary(_board(spark, sf), older, retrieval_gap(spark, sf))
 
 
+@query("f8_by_movement", f"""SELECT entity_id, association_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY abs(delta) + abs(current_delta) DESC, association_id) AS INTEGER) AS place FROM ({_WHAT_IF_SQL})""")
+def by_movement(spark, sf):
+    return I.by_movement(what_if(spark, sf)).select("entity_id", "association_id", "place")
+
+
 @query("m51_diagnose", f"{BASE_SQL} SELECT r_regionkey::BIGINT AS entity_id, CASE r_regionkey WHEN 3 THEN 'failed' WHEN 4 THEN 'never_built' ELSE 'ok' END AS verdict FROM region")
 def diagnose(spark, sf):
     entities = t(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("entity_id"))
@@ -302,7 +339,8 @@ def sign_off(spark, sf):
     return audit.sign_off(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("text_id"), kind.alias("result"), (F.col("l_linenumber") < 4).alias("blocking"), (F.col("l_linestatus") == "O").alias("signed")))
 
 
-@query("m70_growth_candidates", None)
+@query("m70_growth_candidates", f"""{LABELLED} SELECT entity_id, association_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY current_pias DESC, independent_sources DESC, documents DESC, association_id) AS place FROM lab
+  WHERE sentiment <> 'negative' AND documents >= 2 AND domains >= 2 AND current_pias < 75 AND current_documents > 0) WHERE place <= 15""")
 def growth_candidates(spark, sf):
     return content.growth_candidates(_labelled(spark, sf)).select("entity_id", "association_id", "place")
 

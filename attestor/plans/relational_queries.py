@@ -429,10 +429,10 @@ def age_days(spark, sf):
 
 @query("k5_cosine_pairs", f"""WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b,
 {r('list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))', 4)} AS similarity FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id
-WHERE {r('list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))', 4)} >= 0.82""")
+WHERE {r('list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))', 4)} >= 0.3""")
 def cosine_pairs(spark, sf):
     from attestor.operators.extraction import similar_pairs
 
-    return similar_pairs(t(spark, sf, "embeddings"), 0.82)
+    return similar_pairs(t(spark, sf, "embeddings"), 0.3)
 
 
