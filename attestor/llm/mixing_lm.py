@@ -30,12 +30,14 @@ and a very long word is spelled whole; other columns are ignored whatever their
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -557,7 +559,11 @@ def _counters(pairs: DataFrame, learned: Learned, model: Model) -> list[np.ndarr
     shared = pairs.sparkSession.sparkContext.broadcast(learned)
     span = 1 << 15
 
+    tasks = pairs.rdd.getNumPartitions()
+    salts = max(1, math.isqrt(tasks))  # so many tasks' parts are added up first, then so many sums
+
     def count(batches):
+        task = TaskContext.get().partitionId()
         tables = [np.zeros(2 << s, np.int64) for s in model.slots]
         for row in _rows(batches):
             counts = _read(row["counts"])
@@ -569,20 +575,24 @@ def _counters(pairs: DataFrame, learned: Learned, model: Model) -> list[np.ndarr
             for at in range(0, len(t), 2 * span):
                 part = t[at : at + 2 * span]
                 if part.any():
-                    yield pa.RecordBatch.from_pydict({"k": [k], "at": [at // 2], "size": [len(part)], "cells": [_cells(part)]})
+                    yield pa.RecordBatch.from_pydict({"k": [k], "at": [at // 2], "salt": [task % salts], "size": [len(part)], "cells": [_cells(part)]})
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        total = np.zeros(2 * span, np.int64)
+        total = np.zeros(max(x["size"] for x in rows), np.int64)
         for x in rows:
-            total[: x["size"]] += _read_cells(x["cells"], x["size"])
-        return pa.table({"k": pa.array([rows[0]["k"]], pa.int64()), "at": [rows[0]["at"]], "codes": [encode_counts(total[::2], total[1::2]).tobytes()]})
-
-    sums = pairs.select("data", "lengths", "codes", "counts").mapInArrow(count, "k long, at long, size long, cells binary").groupBy("k", "at").applyInArrow(add, "k long, at long, codes binary")
+            total += _read_cells(x["cells"], x["size"])
+        return pa.table({"k": pa.array([rows[0]["k"]], pa.int64()), "at": [rows[0]["at"]], "salt": [0], "size": [len(total)], "cells": [_cells(total)]})
+
+    cells = "k long, at long, salt long, size long, cells binary"
+    sums = pairs.select("data", "lengths", "codes", "counts").mapInArrow(count, cells)
+    if salts > 4:
+        sums = sums.groupBy("k", "at", "salt").applyInArrow(add, cells)
+    sums = sums.groupBy("k", "at").applyInArrow(add, cells)
     tables = [np.zeros(1 << s, np.uint16) for s in model.slots]
     for r in sums.toLocalIterator():  # the tables' fixed size in all
-        part = np.frombuffer(bytes(r["codes"]), np.uint16)
-        tables[r["k"]][r["at"] : r["at"] + span] = part[: len(tables[r["k"]])]
+        part = _read_cells(bytes(r["cells"]), r["size"])
+        tables[r["k"]][r["at"] : r["at"] + r["size"] // 2] = encode_counts(part[::2], part[1::2])
     return tables
 
 

@@ -140,14 +140,18 @@ def _digest(text):
 
 
 def likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
-    """The pairs (a, b) of classes whose likeliest similarity does not lie clearly under the threshold."""
+    """The pairs (a, b, salt) of classes whose likeliest similarity does not lie clearly under the threshold.
+
+    A hub a may have a third of all pairs: it is met by (a, salt), of which there is one per ``block`` pairs.
+    """
     slim = classes.select("class", "n_shingles", "registers")
+    hubs = pairs.select("a", "salt").distinct().join(slim.toDF("a", "size_a", "registers_a"), "a")
     joined = (
-        pairs.join(slim.toDF("a", "size_a", "registers_a"), "a")
+        pairs.join(hubs, ["a", "salt"])
         .join(slim.toDF("b", "size_b", "registers_b"), "b")
         # sizes alone bound the similarity
         .where("100 * least(size_a, size_b) >= %d * greatest(size_a, size_b)" % sketch.threshold)
-        .select("a", "b", "size_a", "size_b", "registers_a", "registers_b")
+        .select("a", "b", "salt", "size_a", "size_b", "registers_a", "registers_b")
     )
     low = sketch.threshold / 100
 
@@ -155,25 +159,23 @@ def likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
         for part in batches:
             if not part.num_rows:
                 continue
-            regs = [np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(part.num_rows, -1) for k in (4, 5)]
-            sizes = [part.column(k).to_numpy() for k in (2, 3)]
+            regs = [np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(part.num_rows, -1) for k in (5, 6)]
+            sizes = [part.column(k).to_numpy() for k in (3, 4)]
             j = likeliest_jaccard(*regs, *sizes, sketch)
             spread = np.sqrt(low * (1 - low) / sketch.registers)
-            yield part.filter(pa.array(j >= low - sketch.slack * spread)).select([0, 1])
+            yield part.filter(pa.array(j >= low - sketch.slack * spread)).select([0, 1, 2])
 
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(run, "a binary, b binary, salt long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets.
 
-    The pairs of one hub a are dealt out in blocks; its set is sent once per block, each b's once per pair.
+    The pairs of one hub a meet in blocks, one per salt; its set is sent once per block, each b's once per pair.
     texts: (class, text), a text for every class of the pairs.
     """
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / sketch.block).alias("blocks"))
-    numbered = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
-    left = numbered.select("a", "block").distinct().join(texts.toDF("a", "text_a"), "a").toDF("a", "block", "text_a")
-    right = numbered.join(texts.toDF("b", "text_b"), "b").select("a", "block", "b", "text_b").toDF("a", "block", "b", "text_b")
+    left = pairs.select("a", "salt").distinct().join(texts.toDF("a", "text_a"), "a").select("a", "salt", "text_a").toDF("a", "salt", "text_a")
+    right = pairs.join(texts.toDF("b", "text_b"), "b").select("a", "salt", "b", "text_b").toDF("a", "salt", "b", "text_b")
 
     def run(left_table, right_table):
         if not left_table.num_rows or not right_table.num_rows:
@@ -188,7 +190,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
                 done += 1
         return right_table.select(["a", "b"]).filter(pa.array(good))
 
-    return left.groupBy("a", "block").cogroup(right.groupBy("a", "block")).applyInArrow(run, "a binary, b binary")
+    return left.groupBy("a", "salt").cogroup(right.groupBy("a", "salt")).applyInArrow(run, "a binary, b binary")
 
 
 def _set(column, sketch: Sketch) -> list[np.ndarray]:
@@ -344,16 +346,18 @@ def _grouped(docs: DataFrame, sketch: Sketch, id_column: str, text_column: str)
     classes = full.groupBy("class").agg(least, F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands"))
     classes = keep(classes, "classes")
     buckets = classes.select("class", F.posexplode("bands").alias("band", "key"))
-    hubs = buckets.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("class", "band").alias("order"), F.col("class").alias("hub"))).alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "key", "least.hub")
+    hubs = buckets.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("class", "band").alias("order"), F.col("class").alias("hub"))).alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "key", "least.hub", "n")
     shared = keep(buckets.join(hubs, ["band", "key"]), "buckets")
-    star = shared.where("class <> hub").selectExpr("least(class, hub) AS a", "greatest(class, hub) AS b", "hub").groupBy("a", "b").agg(F.min("hub").alias("hub")).selectExpr("hub AS a", "CASE WHEN hub = a THEN b ELSE a END AS b")
+    star = shared.where("class <> hub").selectExpr("least(class, hub) AS a", "greatest(class, hub) AS b", "hub", "n").groupBy("a", "b").agg(F.min(F.struct("hub", "n")).alias("x"))
+    star = star.selectExpr("x.hub AS a", "CASE WHEN x.hub = a THEN b ELSE a END AS b", "x.n AS n")
+    star = star.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / sketch.block)).alias("salt"))
     first = keep(likely(star, classes, sketch), "pairs")
     texts = _with_text(classes, slim, first)
     links = keep(confirmed(first, texts, sketch), "confirmed")
     drop(first, texts)
     labels = components(links)
     # second pass: buckets whose classes are still in more than one component
-    labelled = shared.join(labels.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    labelled = shared.drop("n").join(labels.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_buckets = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "key", "n")
     left = keep(labelled.join(open_buckets, ["band", "key"]).select("band", "key", "class", "root", "n"), "open")
     drop(shared)
