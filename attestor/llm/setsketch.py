@@ -348,9 +348,10 @@ def _grouped(docs: DataFrame, sketch: Sketch, id_column: str, text_column: str)
     buckets = classes.select("class", F.posexplode("bands").alias("band", "key"))
     hubs = buckets.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("class", "band").alias("order"), F.col("class").alias("hub"))).alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "key", "least.hub", "n")
     shared = keep(buckets.join(hubs, ["band", "key"]), "buckets")
-    star = shared.where("class <> hub").selectExpr("least(class, hub) AS a", "greatest(class, hub) AS b", "hub", "n").groupBy("a", "b").agg(F.min(F.struct("hub", "n")).alias("x"))
-    star = star.selectExpr("x.hub AS a", "CASE WHEN x.hub = a THEN b ELSE a END AS b", "x.n AS n")
-    star = star.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / sketch.block)).alias("salt"))
+    star = shared.where("class <> hub").selectExpr("least(class, hub) AS a", "greatest(class, hub) AS b", "hub", "n", "band").groupBy("a", "b").agg(F.min(F.struct("hub", "n", "band")).alias("x"))
+    star = star.selectExpr("x.hub AS a", "CASE WHEN x.hub = a THEN b ELSE a END AS b", "x.n AS n", "x.band AS band")
+    # of each bucket of which a class is the hub, blocks of its pairs
+    star = star.select("a", "b", (F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / sketch.block)) * sketch.bands + F.col("band")).alias("salt"))
     first = keep(likely(star, classes, sketch), "pairs")
     texts = _with_text(classes, slim, first)
     links = keep(confirmed(first, texts, sketch), "confirmed")
