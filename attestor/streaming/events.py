@@ -42,17 +42,16 @@ def changes(events: DataFrame, least: float) -> DataFrame:
 
     def step(key, frames, state):
         last, at = state.get if state.exists else (None, None)
-        out = []
-        for frame in frames:
-            for row in frame.sort_values(["ts", "event_id"]).itertuples():
-                if at is not None and row.ts < at:
-                    continue
-                if last is not None and abs(row.value - last) >= least:
-                    out.append((key[0], row.event_id, last, row.value))
-                last, at = float(row.value), row.ts
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])  # all of the key's rows of this micro-batch, in order
         if at is not None:
-            state.update((last, at))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "was", "now"])
+            rows = rows[rows["ts"] >= at]
+        was = rows["value"].shift().astype(float)
+        if last is not None and len(rows):
+            was.iloc[0] = last
+        moved = (rows["value"] - was).abs() >= least
+        if len(rows):
+            state.update((float(rows["value"].iloc[-1]), rows["ts"].iloc[-1]))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"][moved], "was": was[moved], "now": rows["value"][moved]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, was double, now double", "last double, at timestamp", "append", "NoTimeout")
 
