@@ -245,7 +245,7 @@ def coverage_level(criteria: DataFrame) -> DataFrame:
 
 def characterise(scored: DataFrame, documents: DataFrame, board: DataFrame) -> DataFrame:
     """What kind of association this is, from all its evidence rows.  documents: with classification."""
-    rows = scored.join(documents.select("document_id", "root_domain", "classification"), "document_id")
+    rows = scored.drop("root_domain").join(documents.select("document_id", "root_domain", "classification"), "document_id")
     domain = rows.groupBy(*KEYS, "root_domain").agg(F.count("*").alias("n"), F.first("classification").alias("kind")).groupBy(*KEYS).agg(
         F.max("n").alias("largest"), F.count_if(F.col("kind").isin("major", "specialist")).alias("top_tier_domains"), F.count_if(F.col("kind") == "major").alias("major_domains")
     )

@@ -195,7 +195,7 @@ def search_signals(items: Column) -> Column:
     return F.struct(related.alias("related_searches"), asked.alias("people_also_ask"), searched.alias("people_also_search"), stories.alias("top_stories"), graph.alias("knowledge_graph"))
 
 
-def surfaces(signals: Column) -> Column:
+def surface_texts(signals: Column) -> Column:
     """struct<related, also_ask, panel>: each surface of search_signals() as one text."""
     graph = signals["knowledge_graph"]
     panel = F.concat(F.array(graph["subtitle"], graph["description"]), F.coalesce(F.transform(graph["facts"], lambda f: f["text"]), F.array().cast("array<string>")))
@@ -206,7 +206,7 @@ def surfaces(signals: Column) -> Column:
 def search_view(classified: DataFrame, page: DataFrame, labels: DataFrame, shown: DataFrame, limit: int = 30) -> DataFrame:
     """Per entity and association of its page: results, those in the first ten, best rank, share of the results, and on which other
     surface it stands.  classified: entity_id, rank, association_id; page: entity_id, rank; labels: association_id, forms
-    (array); shown: entity_id and surfaces()."""
+    (array); shown: entity_id and the fields of surface_texts()."""
     total = page.groupBy("entity_id").agg(F.count("*").alias("total"))
     rows = classified.where("association_id IS NOT NULL").select(*KEYS, "rank").distinct().groupBy(*KEYS).agg(
         F.count("*").alias("results"), F.count_if(F.col("rank") <= 10).alias("top10"), F.min("rank").alias("best_rank")

@@ -238,7 +238,7 @@ def search_signals(spark, sf):
     return found.select(
         "k", F.array_join("s.related_searches", ",").alias("related"), F.array_join("s.people_also_ask", ",").alias("asked"), F.array_join("s.people_also_search", ",").alias("searched"),
         F.array_join(F.transform("s.top_stories", lambda x: F.concat(x["title"], F.lit("@"), x["source"])), ",").alias("stories"), g["subtitle"].alias("subtitle"),
-        F.array_join(F.transform(g["facts"], lambda x: F.concat(x["label"], F.lit("="), x["text"])), ",").alias("facts"), F.array_join(g["sources"], ",").alias("sources"), search.surfaces(F.col("s"))["panel"].alias("panel"),
+        F.array_join(F.transform(g["facts"], lambda x: F.concat(x["label"], F.lit("="), x["text"])), ",").alias("facts"), F.array_join(g["sources"], ",").alias("sources"), search.surface_texts(F.col("s"))["panel"].alias("panel"),
     )
 
 
