@@ -34,16 +34,17 @@ def document_reliability(documents: DataFrame, model: Model = DEFAULT) -> DataFr
     return kinds.withColumn("reliability", X.reliability(F.col("domain_rank"), F.col("url_rank"), F.col("percentile"), F.col("classification"), override, model))
 
 
-def with_percentile(documents: DataFrame, cuts: int = 64) -> DataFrame:
+def with_percentile(documents: DataFrame, cuts: int = 32) -> DataFrame:
     """documents with percentile: the share of lower prominences among an entity's other ones; 1 for a single one.
 
     An entity's documents are dealt out by approximate quantiles of its prominence, so a rank is taken within a part and
     moved on by the documents of the parts before it: no task sorts all documents of an entity.
     """
-    part = lambda c: F.aggregate(F.coalesce("_cuts", F.array().cast("array<double>")), F.lit(0), lambda n, x: n + (x < c).cast("int"))
-    known = documents.where(F.col("prominence").isNotNull())
-    edges = known.groupBy("entity_id").agg(F.percentile_approx(F.col("prominence").cast("double"), [i / cuts for i in range(1, cuts)], 20 * cuts).alias("_cuts"))
-    placed = documents.join(edges, "entity_id", "left").withColumn("_part", part(F.col("prominence").cast("double"))).drop("_cuts")
+    shares = ", ".join(f"{i / cuts}D" for i in range(1, cuts))
+    edges = documents.where("prominence IS NOT NULL").groupBy("entity_id").agg(F.expr(f"percentile_approx(CAST(prominence AS DOUBLE), array({shares}), {20 * cuts})").alias("_cuts"))
+    # written out, so that it is compiled; without a prominence the part is 0
+    part = F.expr(" + ".join(f"CAST(coalesce(get(_cuts, {i}) < prominence, false) AS INT)" for i in range(cuts - 1)))
+    placed = documents.join(edges, "entity_id", "left").withColumn("_part", part).drop("_cuts")
     sizes = placed.groupBy("entity_id", "_part").agg(F.count("prominence").alias("_n"))  # some numbers an entity
     entity = Window.partitionBy("entity_id")
     before = sizes.select("entity_id", "_part", F.sum("_n").over(entity).alias("_all"), F.coalesce(F.sum("_n").over(entity.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
