@@ -409,13 +409,6 @@ def _rows(batches):
         yield from batch.to_pylist()
 
 
-def _dealt(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which a chunk's words go to the ranges, and each range's part of it."""
-    part = hashes % np.uint64(ranges)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(ranges + 1))
-
-
 def _clusters(counts: np.ndarray, states: int) -> np.ndarray:
     """A cluster from 1 for each frequent word, by how they follow each other: k-means of smoothed transition rows."""
     n = len(counts)
