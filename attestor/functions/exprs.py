@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -38,6 +39,17 @@ def unscaled(value: Column) -> Column:
     return value / F.lit(float(NANO))
 
 
+def mean_at_least(value: Column, floor: str) -> Column:
+    """Aggregate: whether the mean of the values as they are written (0.07 is seven hundredths) is at least floor.
+
+    A sum of doubles depends on the order of its rows, and a mean that equals floor falls on either side of it.  Values that
+    18 places do not hold (over 10^10, infinite, NaN) have their group compared by doubles.
+    """
+    exact, n = value.try_cast("decimal(28,18)"), F.count(value)
+    by_digits = F.sum(exact) >= F.lit(Decimal(floor)) * n.cast("decimal(18,0)")
+    return F.when(F.count(exact) == n, by_digits).otherwise(F.avg(value) >= F.lit(float(floor)))
+
+
 def normalise_within(value: Column, largest: Column) -> Column:
     return F.when(largest > 0, clamp(value / largest) * 100).otherwise(F.lit(0.0))
 

@@ -188,8 +188,8 @@ def median_quantile(spark, sf):
 
 @query("d14_having", "SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 5 AND avg(l_discount) >= 0.045")
 def having(spark, sf):
-    g = t(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("orders"), F.avg("l_discount").alias("d"))
-    return g.where("orders >= 5 AND d >= 0.045").select("l_suppkey", "orders")
+    g = t(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("orders"), X.mean_at_least(F.col("l_discount"), "0.045").alias("high"))
+    return g.where("orders >= 5 AND high").select("l_suppkey", "orders")
 
 
 @query("d15_group_concat", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation GROUP BY 1")

@@ -16,6 +16,13 @@ def value(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
+def sum_in_turn(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
 @pytest.mark.parametrize("days,want", [(0, 1.0), (365, 0.5), (730, 0.25), (None, 0.35)])
 def test_half_life(spark, days, want):
     ts = F.lit(None).cast("timestamp") if days is None else X.days_before(now(), days)
@@ -26,6 +33,24 @@ def test_rounding_goes_half_up(spark):
     assert value(spark, X.half_up(F.lit(1.005), 2)) == 1.0 and value(spark, X.half_up(F.lit(-0.00005), 4)) == 0.0 and value(spark, X.half_up(F.lit(2.5), 0)) == 3.0
 
 
+def test_a_mean_at_the_floor_does_not_mind_order(spark, tmp_path):
+    """d14_having: the mean is 0.045, a sum of doubles row by row gives less, backwards too."""
+    from attestor.plans.relational_queries import having
+
+    hundredths = [9, 0, 6, 3, 0, 9, 1, 8, 4, 5] * 20
+    assert sum(hundredths) == 45 * len(hundredths) // 10 and sum_in_turn([h / 100 for h in hundredths]) / len(hundredths) < 0.045
+    for name, rows in (("on", hundredths), ("back", hundredths[::-1]), ("sorted", sorted(hundredths)), ("under", [*hundredths[1:], 8])):
+        at = str(tmp_path / name)
+        spark.createDataFrame([(1, k, h / 100, "R") for k, h in enumerate(rows)], "l_suppkey long, l_orderkey long, l_discount double, l_returnflag string").coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+        assert [(r.l_suppkey, r.orders) for r in having(spark, at).collect()] == ([] if name == "under" else [(1, 200)])
+
+
+@pytest.mark.parametrize("values,want", [([0.04, 0.05, None], True), ([0.04], False), ([float("nan"), 0.0], True), ([1e300, -1e300, 0.0], False), ([float("-inf"), 1.0], False), ([None], None)])
+def test_means_of_odd_values(spark, values, want):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.agg(X.mean_at_least(F.col("v"), "0.045").alias("v")).first().v is want
+
+
 def test_proximity(spark):
     assert value(spark, X.proximity(F.lit(0.0), F.lit("same_clause"))) == 1.0
     assert value(spark, X.proximity(F.lit(None).cast("double"), F.lit("nowhere"))) == 0.35
