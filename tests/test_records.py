@@ -103,3 +103,14 @@ def test_driver_side_helpers():
     assert strict["properties"]["b"]["items"]["required"] == ["c"] and schema["required"] == ["a"]
     state, ran = ledger.skip_steps([("one", lambda s: {"x": 1}), ("two", lambda s: {"y": s["x"] + 1}), ("three", lambda s: None)], ["one"], {"x": 5})
     assert state == {"x": 5, "y": 6} and ran == ["two", "three"]
+
+
+def test_clusters_move_no_signatures_of_far_pairs(spark):
+    """m15: texts cross to Python once, and a pair that shares a band but differs in more bits is dropped where it is met."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "v w x y z")], "document_id long, text string")
+    plan = duplicates.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    rows = [(k, f"h{k}", s, [k] * 64) for k, s in enumerate([0, 7, 0x7FFF_0000_0000_0000, 0xFFFF << 16])]
+    prints = spark.createDataFrame(rows, "document_id long, content_hash string, simhash long, minhash array<long>")
+    assert {(r.document_id_a, r.document_id_b) for r in duplicates.near_pairs(prints).collect()} == {(0, 1)}
+    assert duplicates.banded_pairs(prints).count() == 6 and not [c for c in duplicates.banded_pairs(prints).columns if "minhash" in c]
