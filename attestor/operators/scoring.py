@@ -245,14 +245,16 @@ def monthly_metrics(scores: DataFrame, documents: DataFrame, now: Column) -> Dat
     return timeline(scores, now, 120).join(domains, ["entity_id", "association_id", "month"])
 
 
-def leaderboard(documents: DataFrame, evidence: DataFrame, now: Column, window_days: int | None = None, half_life: int | None = None, cutoff: Column | None = None, model: Model = DEFAULT) -> DataFrame:
+def leaderboard(documents: DataFrame, evidence: DataFrame, now: Column, window_days: int | None = None, half_life: int | None = None, cutoff: Column | None = None, model: Model = DEFAULT, scores: DataFrame | None = None) -> DataFrame:
     """One row per association: PIAS lifetime, current and historical, bands, counts, shares, momentum.
 
     The evidence is rolled up once; its windows, domains and momentum come from one aggregation by domain and then by
-    association, and the documents of all windows from one count.
+    association, and the documents of all windows from one count.  scores: document_scores() of the same with root_domain, if
+    they are at hand.
     """
     half_life = X.checked_half_life(half_life)
-    scores = document_scores(evidence_scores(documents, evidence, now, half_life, model), "root_domain")
+    if scores is None:
+        scores = document_scores(evidence_scores(documents, evidence, now, half_life, model), "root_domain")
     window_start = X.days_before(now, window_days) if window_days else None
     current_start = cutoff if cutoff is not None else X.days_before(now, model.current_window_days)
     date = F.col("effective_date")

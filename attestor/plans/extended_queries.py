@@ -14,7 +14,7 @@ from attestor.operators import scoring as S
 from attestor.operators import search
 from attestor.operators import insight as I
 from attestor.plans import star
-from attestor.plans.insight_queries import GRS, PAGE, _board, _labelled, _page, classify_results, retrieval_scores
+from attestor.plans.insight_queries import GRS, PAGE, _scored, _labelled, _page, classify_results, retrieval_scores
 from attestor.plans.scoring_queries import BOARD_SQL, SENTIMENT, _scores
 from attestor.plans.star import BASE_SQL, EVENTS_NOW, SCORES_SQL, age, r
 
@@ -270,9 +270,9 @@ fresh AS (SELECT entity_id, association_id, {r('min(age)', 1)} AS latest_mention
 FROM board b LEFT JOIN grs g ON g.entity_id = b.entity_id AND g.association_id = b.association_id JOIN sent s ON s.entity_id = b.entity_id AND s.association_id = b.association_id JOIN fresh f ON f.entity_id = b.entity_id AND f.association_id = b.association_id""")
 def full_board(spark, sf):
     """The leaderboard with retrieval, freshness, sentiment and the mark of what is part of the identity."""
-    scores = _scores(spark, sf)
+    scores, board = _scored(spark, sf)
     markers = t(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("entity_id"), F.lit("brand 1").alias("value"))
-    board = I.full_board(_board(spark, sf), retrieval_scores(spark, sf), S.freshness(scores, star.now()), S.sentiment(scores, star.documents(spark, sf)), markers)
+    board = I.full_board(board, retrieval_scores(spark, sf, scores), S.freshness(scores, star.now()), S.sentiment(scores, star.documents(spark, sf)), markers)
     return board.select("entity_id", "association_id", "pias", "band", "momentum", "grs", "retrieval_gap", "sentiment", "latest_mention_age_days", "median_age_days", "evidence_share_under_365d", "identity")
 
 

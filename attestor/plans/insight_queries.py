@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestor.durable import settle
 from attestor.functions import exprs as X
 from attestor.operators import insight as I
 from attestor.operators import scoring as S
@@ -28,6 +29,13 @@ def _board(spark, sf):
     return S.leaderboard(star.documents(spark, sf), star.evidence(spark, sf), star.now())
 
 
+def _scored(spark, sf):
+    """The evidence scored once for all readings: the scores by document, and the board of them, both written."""
+    docs, ev = star.documents(spark, sf), star.evidence(spark, sf)
+    scores = settle(S.document_scores(S.evidence_scores(docs, ev, star.now()), "root_domain"), "scores")
+    return scores, settle(S.leaderboard(docs, ev, star.now(), scores=scores), "board")
+
+
 def _labelled(spark, sf):
     return I.with_labels(_board(spark, sf), S.sentiment(_scores(spark, sf), star.documents(spark, sf)))
 
@@ -76,20 +84,21 @@ def organic_page(spark, sf):
 
 
 @query("m35_classify_results", f"{SCORES_SQL}, {PAGE} SELECT * FROM classified")
-def classify_results(spark, sf):
-    return I.classify_results(_page(spark, sf), _scores(spark, sf))
+def classify_results(spark, sf, scores=None):
+    return I.classify_results(_page(spark, sf), _scores(spark, sf) if scores is None else scores)
 
 
 @query("m36_retrieval_scores", f"{SCORES_SQL}, {PAGE}, {GRS} SELECT * FROM grs")
-def retrieval_scores(spark, sf):
-    return I.retrieval_scores(classify_results(spark, sf))
+def retrieval_scores(spark, sf, scores=None):
+    return I.retrieval_scores(classify_results(spark, sf, scores))
 
 
 @query("m38_retrieval_gap", f"""{BOARD_SQL}, {PAGE}, {GRS}, g AS (SELECT b.entity_id, b.association_id, current_pias, historical_pias, {r('current_corpus_share * 100', 1)} AS current_corpus_share_pct, coalesce(grs.grs, 0.0) AS grs,
   {r('coalesce(grs.grs, 0.0) - current_corpus_share * 100', 1)} AS gap FROM board b LEFT JOIN grs ON grs.entity_id = b.entity_id AND grs.association_id = b.association_id)
 SELECT *, gap > 15 AS overweighted, gap < -15 AS underweighted, gap > 5 AND historical_pias > current_pias AS historically_anchored FROM g""")
 def retrieval_gap(spark, sf):
-    return I.retrieval_gap(_board(spark, sf), retrieval_scores(spark, sf))
+    scores, board = _scored(spark, sf)
+    return I.retrieval_gap(board, retrieval_scores(spark, sf, scores))
 
 
 @query("m39_association_queries", f"""{SCORES_SQL}, s AS (SELECT entity_id, association_id, CAST(sum(undecayed_micros) AS BIGINT) AS weight FROM adscores GROUP BY 1, 2),
@@ -156,9 +165,10 @@ def alerts(spark, sf):
     """Against the board of half a year earlier, read back from its snapshot."""
     docs, ev, then = star.documents(spark, sf), star.evidence(spark, sf), X.days_before(star.now(), 182)
     known = docs.where(F.col("seen_at") < then)
-    older = I.snapshot(S.leaderboard(known, ev, then), then)
+    older = I.snapshot(settle(S.leaderboard(known, ev, then), "board"), then)
     prior = I.prior_snapshot(older, star.now()).withColumn("grs", F.lit(None).cast("double"))
-    board = _labelled(spark, sf).join(retrieval_scores(spark, sf).select(*S.KEYS, "grs"), S.KEYS, "left")
+    scores, board = _scored(spark, sf)
+    board = I.with_labels(board, S.sentiment(scores, docs)).join(retrieval_scores(spark, sf, scores).select(*S.KEYS, "grs"), S.KEYS, "left")
     return I.alerts(board, prior)
 
 
@@ -251,4 +261,4 @@ def what_if(spark, sf):
         F.lit(0.95).alias("entity_confidence"), F.lit("accept").alias("verdict"), star.now().alias("published_at"), star.now().alias("effective_date"), F.lit(False).alias("is_primary"),
     )
     said = new.select(F.lit("Brand#1").alias("association_id"), "document_id", F.lit(1).alias("occurrence"), F.lit(3.0).alias("token_distance"), F.lit("same_clause").alias("boundary"), F.lit(0.85).alias("relationship_confidence"), F.lit(0.0).alias("positive"), F.lit(0.0).alias("negative"))
-    return I.what_if(docs, ev, new, said, lambda d, e: S.leaderboard(d, e, star.now()))
+    return I.what_if(docs, ev, new, said, lambda d, e: settle(S.leaderboard(d, e, star.now()), "board"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from attestor.durable import settle
 from attestor.functions import exprs as X
 from attestor.functions import hashing as H
 from attestor.functions import html as P
@@ -14,7 +15,7 @@ from attestor.operators import insight as I
 from attestor.operators import scoring as S
 from attestor.operators import search as R
 from attestor.plans import insight_queries, star
-from attestor.plans.insight_queries import GRS, LABELLED, PAGE, _board, _labelled, _page, classify_results, older_board_sql, retrieval_gap, what_if
+from attestor.plans.insight_queries import GRS, LABELLED, PAGE, _board, _labelled, _page, _scored, classify_results, older_board_sql, retrieval_gap, retrieval_scores, what_if
 from attestor.plans.scoring_queries import BOARD_SQL, _scores
 from attestor.plans.star import BASE_SQL, SCORES_SQL, age, r
 from attestor.plans.text_queries import SQUEEZE, _docs
@@ -303,8 +304,9 @@ UNION ALL SELECT b.entity_id, b.association_id, 'moved', {r('b.current_pias - o.
 UNION ALL SELECT entity_id, association_id, 'gap', gap FROM g WHERE abs(gap) >= 15""")
 def entity_summary(spark, sf):
     docs, ev, then = star.documents(spark, sf), star.evidence(spark, sf), X.days_before(star.now(), 365)
-    older = S.leaderboard(docs.where(F.col("seen_at") < then), ev, then)
-    return R.entity_summary(_board(spark, sf), older, retrieval_gap(spark, sf))
+    older = settle(S.leaderboard(docs.where(F.col("seen_at") < then), ev, then), "board")
+    scores, board = _scored(spark, sf)
+    return R.entity_summary(board, older, I.retrieval_gap(board, retrieval_scores(spark, sf, scores)))
 
 
 @query("f8_by_movement", f"""SELECT entity_id, association_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY abs(delta) + abs(current_delta) DESC, association_id) AS INTEGER) AS place FROM ({_WHAT_IF_SQL})""")

@@ -1,6 +1,7 @@
 """Operators whose queries have no SQL twin, and driver-side helpers, on small inputs."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
@@ -114,3 +115,17 @@ def test_clusters_move_no_signatures_of_far_pairs(spark):
     prints = spark.createDataFrame(rows, "document_id long, content_hash string, simhash long, minhash array<long>")
     assert {(r.document_id_a, r.document_id_b) for r in duplicates.near_pairs(prints).collect()} == {(0, 1)}
     assert duplicates.banded_pairs(prints).count() == 6 and not [c for c in duplicates.banded_pairs(prints).columns if "minhash" in c]
+
+
+@pytest.mark.parametrize("name,passes,written", [("f7_gap_order", 1, 2), ("m32_full_board", 1, 2), ("m49_alerts", 2, 3), ("m50_entity_summary", 2, 3), ("m62_what_if", 2, 2), ("f8_by_movement", 2, 2)])
+def test_readings_of_a_board_share_its_scores(spark, monkeypatch, name, passes, written):
+    """The evidence is scored once for each state of the documents, and what each pass moved is deleted before the next."""
+    from attestor.operators import scoring
+    from attestor.plans import insight_queries, inventory_queries, registry
+
+    calls, kept, real = [], [], scoring.evidence_scores
+    monkeypatch.setattr(scoring, "evidence_scores", lambda *a, **k: calls.append(1) or real(*a, **k))
+    for module in (insight_queries, inventory_queries):
+        monkeypatch.setattr(module, "settle", lambda df, what: kept.append(what) or df)
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert (len(calls), len(kept)) == (passes, written)
